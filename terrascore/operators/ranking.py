@@ -43,11 +43,18 @@ def value_ranks(df: DataFrame, score: str, bins: int = 2048) -> DataFrame:
     )
 
 
-def competition_rank(df: DataFrame, score: str, out: str = "rank", bins: int = 2048) -> DataFrame:
+def competition_rank(
+    df: DataFrame, score: str, out: str = "rank", bins: int = 2048, rows: int | None = None, one_task_rows: int = 200_000
+) -> DataFrame:
     """Add ``out`` = 1 + number of rows with a greater ``score``; null scores get null.
 
-    ``df`` is read twice, so hand over a materialised or cheap frame.
+    ``df`` is read twice, so hand over a materialised or cheap frame. ``rows``
+    is its row count when the caller knows it; up to ``one_task_rows`` a plain
+    window is the shorter plan.
     """
+    if rows is not None and rows <= one_task_rows:
+        place = F.rank().over(Window.orderBy(F.col(score).desc_nulls_last())).cast("bigint")
+        return df.withColumn(out, F.when(F.col(score).isNotNull(), place))
     key = "_rank_key"
     keyed = df.withColumn(key, F.col(score))
     ranks = materialize(value_ranks(keyed, key, bins).withColumnRenamed("rank", out), "ranks")

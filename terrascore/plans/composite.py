@@ -118,7 +118,7 @@ def composite_index(roles: IndexRoles, settings: IndexSettings | None = None) ->
     """The published view: names, flags, components on two scales, index on three, rank and labels."""
     s = settings or IndexSettings()
     inputs = materialize(index_inputs(roles, s), "index-inputs")
-    ranked = competition_rank(component_scores(inputs, s), "rank_score", out="index_rank")
+    ranked = competition_rank(component_scores(inputs, s), "rank_score", out="index_rank", rows=inputs.count())
     flags = [F.coalesce(F.col(f), F.lit(False)).alias(f) for f in ("is_zone", "is_remote", "is_special", "is_suburb")]
     return ranked.select(
         "entity_id",

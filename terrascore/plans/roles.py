@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrascore.operators.climate import yearly_degree_days
 from terrascore.sources.tables import read_table
 
 YEARS = (1996, 1997)
@@ -111,7 +112,7 @@ def consumption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def measurements(spark: SparkSession, sf_dir: str, years: tuple[int, ...] | None) -> DataFrame:
     """Temperature readings, cut to whole years by a range the Parquet scan can use."""
-    rows = scan(spark, sf_dir, "lineitem")
+    rows = scan(spark, sf_dir, "lineitem").filter(F.col("l_suppkey").isNotNull())
     if years:
         rows = rows.filter(
             (F.col("l_shipdate") >= F.lit(f"{min(years)}-01-01").cast("date"))
@@ -120,26 +121,25 @@ def measurements(spark: SparkSession, sf_dir: str, years: tuple[int, ...] | None
     return rows
 
 
-def climate_monthly(spark: SparkSession, sf_dir: str, years: tuple[int, ...] | None = None) -> DataFrame:
+def climate_daily(spark: SparkSession, sf_dir: str, years: tuple[int, ...] | None = None) -> DataFrame:
+    """Daily sums; the monthly and yearly tables below share this one scan."""
     return (
         measurements(spark, sf_dir, years)
-        .groupBy(
-            F.col("l_suppkey").alias("entity_id"),
-            F.year("l_shipdate").alias("year"),
-            F.month("l_shipdate").alias("month"),
-        )
-        .agg((F.avg("l_quantity") - 25).alias("temperature"))
+        .groupBy(F.col("l_suppkey").alias("entity_id"), F.to_date("l_shipdate").alias("date"))
+        .agg(F.sum("l_quantity").alias("total"), F.count("l_quantity").alias("readings"))
     )
 
 
-def climate_daily(spark: SparkSession, sf_dir: str, years: tuple[int, ...] | None = None) -> DataFrame:
-    return (
-        measurements(spark, sf_dir, years)
-        .groupBy(F.col("l_suppkey").alias("entity_id"), F.to_date("l_shipdate").alias("date"))
-        .agg((F.avg("l_quantity") - 25).alias("temperature"))
+def climate_monthly(daily: DataFrame) -> DataFrame:
+    return daily.groupBy("entity_id", F.year("date").alias("year"), F.month("date").alias("month")).agg(
+        (F.sum("total") / F.sum("readings") - 25).alias("temperature")
     )
 
 
+def daily_means(daily: DataFrame) -> DataFrame:
+    return daily.select("entity_id", "date", (F.col("total") / F.col("readings") - 25).alias("temperature"))
+
+
 def mobility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         scan(spark, sf_dir, "nation")
@@ -153,8 +153,7 @@ def mobility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_roles(spark: SparkSession, sf_dir: str) -> IndexRoles:
-    from terrascore.operators.climate import yearly_degree_days
-
+    daily = climate_daily(spark, sf_dir, YEARS)
     return IndexRoles(
         settlements=settlements(spark, sf_dir),
         regions=regions(spark, sf_dir),
@@ -164,7 +163,46 @@ def index_roles(spark: SparkSession, sf_dir: str) -> IndexRoles:
         market=market(spark, sf_dir),
         consumption=consumption(spark, sf_dir),
         access=access(spark, sf_dir),
-        climate_monthly=climate_monthly(spark, sf_dir, YEARS),
-        climate_yearly=yearly_degree_days(climate_daily(spark, sf_dir, YEARS)),
+        climate_monthly=climate_monthly(daily),
+        climate_yearly=yearly_degree_days(daily_means(daily)),
         mobility=mobility(spark, sf_dir),
     )
+
+
+def category_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly mean spending per territory and category.
+
+    Orders are reduced per customer before the join, so a customer with a
+    large share of all orders contributes one row per month and category.
+    """
+    per_customer = (
+        scan(spark, sf_dir, "orders")
+        .groupBy("o_custkey", F.trunc(F.to_date("o_orderdate"), "month").alias("date"), F.col("o_orderpriority").alias("category"))
+        .agg(F.sum("o_totalprice").alias("total"), F.count("o_totalprice").alias("orders"))
+    )
+    owner = scan(spark, sf_dir, "customer").select(F.col("c_custkey"), F.col("c_nationkey").cast("string").alias("territory_id"))
+    return (
+        per_customer.join(owner, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("territory_id", "date", "category")
+        .agg((F.sum("total") / F.sum("orders")).alias("consumption"))
+    )
+
+
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category dictionary; one category is left without an entry."""
+    return (
+        scan(spark, sf_dir, "orders")
+        .groupBy(F.col("o_orderpriority").alias("category_name"))
+        .agg(F.lit(None).cast("string").alias("none"))
+        .filter(F.col("category_name") != "5-LOW")
+        .select("category_name", F.concat(F.lit("Priority "), "category_name").alias("description"))
+    )
+
+
+def population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entity_id, year, population`` from yearly order totals."""
+    return (
+        scan(spark, sf_dir, "orders")
+        .groupBy(F.col("o_custkey").alias("entity_id"), F.year("o_orderdate").alias("year"))
+        .agg(F.sum("o_totalprice").alias("population"))
+    )

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-AREAS = ("index",)
+AREAS = ("index", "views")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
