@@ -68,18 +68,28 @@ def mobility_by_name(mobility: DataFrame, year: int) -> DataFrame:
     )
 
 
+def territory_facts(territories: DataFrame, market: DataFrame, mobility: DataFrame, year: int) -> DataFrame:
+    """``territory_id, territory_key, market_raw, mobility_raw``, written once.
+
+    Entities crowd into few territories, so shuffling them by territory would
+    be lopsided; a stored table of known size lets Catalyst broadcast it.
+    """
+    this_year = market.filter(F.col("year") == year).select("territory_id", F.col("market_access").alias("market_raw"))
+    keyed = territories.select("territory_id", F.lower(F.trim("territory_name")).alias("territory_key"))
+    joined = keyed.join(this_year, "territory_id", "left").join(mobility_by_name(mobility, year), "territory_key", "left")
+    return materialize(joined, "territory-facts")
+
+
 def index_inputs(roles: IndexRoles, s: IndexSettings) -> DataFrame:
     """One row per entity with the raw component values.
 
     Fact tables are reduced to one row per entity or territory before they
     meet the entities, so a busy key costs one row in every join.
     """
-    base = entity_base(roles.settlements, roles.regions, roles.territories)
-    market = roles.market.filter(F.col("year") == s.year).select("territory_id", F.col("market_access").alias("market_raw"))
     climate = seasonal_climate(roles.climate_monthly, roles.climate_yearly, s.climate_years)
     return (
-        base.join(market, "territory_id", "left")
-        .join(mobility_by_name(roles.mobility, s.year), "territory_key", "left")
+        roles.settlements.join(roles.regions, "region_id")
+        .join(territory_facts(roles.territories, roles.market, roles.mobility, s.year), "territory_id", "left")
         .join(consumption_mean(roles.consumption, "entity_id", s.period), "entity_id", "left")
         .join(roles.quality, "entity_id", "left")
         .join(roles.access, "entity_id", "left")

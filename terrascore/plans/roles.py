@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascore.operators.climate import yearly_degree_days
+from terrascore.operators.series import latest_value
+from terrascore.session import materialize
 from terrascore.sources.tables import read_table
 
 YEARS = (1996, 1997)
@@ -189,13 +191,14 @@ def category_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category dictionary; one category is left without an entry."""
-    return (
+    """Category dictionary, stored so that its size is known; one category has no entry."""
+    return materialize(
         scan(spark, sf_dir, "orders")
-        .groupBy(F.col("o_orderpriority").alias("category_name"))
-        .agg(F.lit(None).cast("string").alias("none"))
+        .select(F.col("o_orderpriority").alias("category_name"))
+        .distinct()
         .filter(F.col("category_name") != "5-LOW")
-        .select("category_name", F.concat(F.lit("Priority "), "category_name").alias("description"))
+        .select("category_name", F.concat(F.lit("Priority "), "category_name").alias("description")),
+        "categories",
     )
 
 
@@ -206,3 +209,46 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("o_custkey").alias("entity_id"), F.year("o_orderdate").alias("year"))
         .agg(F.sum("o_totalprice").alias("population"))
     )
+
+
+def indicator_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long-form facts: one row per order, its priority as the indicator code."""
+    return scan(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("fact_id"),
+        F.col("o_custkey").alias("entity_id"),
+        F.col("o_orderpriority").alias("code"),
+        F.year("o_orderdate").alias("year"),
+        F.col("o_totalprice").alias("value"),
+    )
+
+
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity attributes used by reports: region, type, zone flag and size (latest population)."""
+    sized = latest_value(population(spark, sf_dir), "entity_id", "population").select("entity_id", "population")
+    base = settlements(spark, sf_dir).join(regions(spark, sf_dir), "region_id")
+    return base.select(
+        "entity_id", "entity_name", "entity_type", "region_name", (F.col("territory_id").cast("int") % 3 == 0).alias("is_zone")
+    ).join(sized, "entity_id", "left")
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entity_id, entity_name, size, lat, lon``; some places have no coordinates."""
+    key = F.col("s_suppkey")
+    known = key % 17 != 3
+    return scan(spark, sf_dir, "supplier").select(
+        key.alias("entity_id"),
+        F.col("s_name").alias("entity_name"),
+        F.col("s_acctbal").alias("size"),
+        F.when(known, F.lit(50.0) + (key * 37 % 300) / F.lit(10.0)).alias("lat"),
+        F.when(known, F.lit(30.0) + (key * 53 % 1500) / F.lit(10.0)).alias("lon"),
+    )
+
+
+def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as places: many entities around few positions."""
+    key = F.col("c_custkey")
+    return scan(spark, sf_dir, "customer").select(
+        key.alias("entity_id"),
+        (F.lit(50.0) + (key * 29 % 290) / F.lit(10.0)).alias("lat"),
+        (F.lit(30.0) + (key * 31 % 1490) / F.lit(10.0)).alias("lon"),
+    )

@@ -9,6 +9,7 @@ from terrascore.functions.numbers import round_half_up
 from terrascore.operators.scaling import group_mean_fill, minmax_scale
 from terrascore.plans import composite as plan
 from terrascore.plans import roles
+from terrascore.session import materialize
 from terrascore.workloads import register
 from terrascore.workloads.sql import ENTITIES, INDEX, MARKET, SCORED, rnd
 
@@ -53,7 +54,7 @@ def entity_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT entity_id, territory_key, mobility_raw FROM entities LEFT JOIN mobility USING (territory_key)""",
 )
 def name_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_name = plan.mobility_by_name(roles.mobility(spark, sf_dir), roles.INDEX_YEAR)
+    by_name = materialize(plan.mobility_by_name(roles.mobility(spark, sf_dir), roles.INDEX_YEAR), "mobility")
     return entity_base(spark, sf_dir).join(by_name, "territory_key", "left").select("entity_id", "territory_key", "mobility_raw")
 
 
@@ -65,7 +66,8 @@ def name_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM entities LEFT JOIN market USING (territory_id)""",
 )
 def regional_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = roles.settlements(spark, sf_dir).join(roles.market(spark, sf_dir), "territory_id", "left")
+    market = materialize(roles.market(spark, sf_dir), "market")
+    raw = roles.settlements(spark, sf_dir).join(market, "territory_id", "left")
     return group_mean_fill(raw, "region_id", ["market_access"]).select(
         "entity_id",
         "region_id",
@@ -128,7 +130,7 @@ def welfare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.component_scores(
-        plan.materialize(plan.index_inputs(roles.index_roles(spark, sf_dir), SETTINGS), "index-inputs"), SETTINGS
+        materialize(plan.index_inputs(roles.index_roles(spark, sf_dir), SETTINGS), "index-inputs"), SETTINGS
     )
 
 

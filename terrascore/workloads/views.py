@@ -9,6 +9,7 @@ from terrascore.functions.numbers import round_half_up
 from terrascore.operators import changes, climate, series
 from terrascore.operators.ranking import competition_rank
 from terrascore.plans import composite, roles
+from terrascore.session import materialize
 from terrascore.workloads import register
 from terrascore.workloads.sql import CLIMATE, MARKET, rnd
 
@@ -30,7 +31,7 @@ series AS (
 )
 def consumption_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = roles.category_series(spark, sf_dir).filter(F.col("territory_id").cast("int") % 4 != 3)
-    means = composite.consumption_mean(known, "territory_id", roles.HALF_YEAR, category="1-URGENT")
+    means = materialize(composite.consumption_mean(known, "territory_id", roles.HALF_YEAR, category="1-URGENT"), "means")
     return (
         roles.settlements(spark, sf_dir)
         .join(means, "territory_id", "left")
