@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -48,11 +49,10 @@ def entity_label(name: Column, region: Column, score: Column) -> Column:
     return F.format_string("%s (%s) — index %.2f", name, region, score)
 
 
-def glob_pattern(glob: Column) -> Column:
-    """Anchored regular expression for a ``*`` / ``?`` pattern, any case."""
-    # everything that is not a word character, star or question mark is escaped
-    escaped = F.regexp_replace(glob, r"([^\w*?])", r"\\$1")
-    return F.concat(F.lit("(?is)^"), F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+def glob_regex(pattern: str) -> str:
+    """Anchored, case-blind regular expression for a ``*`` / ``?`` file pattern."""
+    wild = {"*": ".*", "?": "."}
+    return "(?i)^" + "".join(wild.get(ch, re.escape(ch)) for ch in pattern) + "$"
 
 
 def period_from_name(name: Column, given: Column | None = None) -> Column:

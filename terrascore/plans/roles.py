@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascore.operators.climate import yearly_degree_days
 from terrascore.operators.series import latest_value
 from terrascore.session import materialize
+from terrascore.sources.landing import FileRule
 from terrascore.sources.tables import read_table
 
 YEARS = (1996, 1997)
@@ -252,3 +253,57 @@ def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(50.0) + (key * 29 % 290) / F.lit(10.0)).alias("lat"),
         (F.lit(30.0) + (key * 31 % 1490) / F.lit(10.0)).alias("lon"),
     )
+
+
+def landing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landing rows built from events: JSON lists and objects, CSV texts, bad payloads, unknown files."""
+    shape = F.col("event_id") % 6
+    user = F.col("user_id").cast("string")
+    units = F.get_json_object("props", "$.k")
+    money = F.format_string("%.2f", "value")
+    number = F.col("event_id").cast("string")
+
+    def text(template: str) -> Column:
+        parts = {"{user}": user, "{units}": units, "{money}": money}
+        pieces, rest = [], template
+        while rest:
+            at = min((rest.find(k) for k in parts if k in rest), default=-1)
+            if at < 0:
+                pieces.append(F.lit(rest))
+                break
+            key = next(k for k in parts if rest.startswith(k, at))
+            pieces += [F.lit(rest[:at]), parts[key]]
+            rest = rest[at + len(key) :]
+        return F.concat(*pieces)
+
+    many = '[{"Country":"U{user}","Units":"{units}","Gross Revenue (USD)":"${money}"},{"Country":"","Units":null},{"Country":"V{user}","Units":"n/a"}]'
+    one = '{"country":" U{user} ","detail":{"units_sold":{units}},"gross_usd":{money}}'
+    quoted = 'Sales report\\n\\nsep=,\\nCountry,Units,Gross Revenue (USD)\\n"Land, U{user}",{units},"$1,{units}.50"\\nNA,7,\\n\\n'.replace("\\n", "\n")
+    shares = "Territory;Additional Revenue Share (USD)\nU{user};${money}\n"
+    name = (
+        F.when(shape == 0, F.concat(F.lit("sales_January_2024_"), number, F.lit(".csv")))
+        .when(shape == 1, F.concat(F.lit("sales-"), number, F.lit(".csv")))
+        .when(shape == 3, F.concat(F.lit("RevShare_MAY 2024_"), number, F.lit(".csv")))
+        .when(shape == 4, F.concat(F.lit("sales_"), number, F.lit(".csv")))
+        .when(shape == 5, F.concat(F.lit("notes_"), number, F.lit(".txt")))
+    )
+    return scan(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"),
+        F.lit("events").alias("source_name"),
+        name.alias("file_name"),
+        F.when(shape == 2, F.concat(F.lit("Sales march-2024 "), number, F.lit(".csv"))).alias("file_path"),
+        F.col("event_type").alias("report_type"),
+        F.when(F.col("event_id") % 12 == 1, F.lit(" 2023-12 ")).alias("report_period"),
+        F.when(shape == 0, text(many)).when(shape == 1, text(one)).when(shape == 2, F.lit("oops{")).when(shape == 4, F.lit("42")).alias("payload"),
+        F.when(shape == 2, text(quoted)).when(shape == 3, text(shares)).when(shape == 5, F.lit("free text")).alias("content"),
+        F.col("ts").alias("loaded_at"),
+        "value",
+        units.cast("double").alias("units"),
+        user.alias("user"),
+    )
+
+
+RULES = [
+    FileRule("revenue_share_monthly", "revshare*.csv", sep=";", skip_rows=0),
+    FileRule("sales_monthly", "sales*.csv", sep=",", skip_rows=3),
+]
