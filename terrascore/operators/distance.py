@@ -246,17 +246,18 @@ def tile_map(
     schema: str,
     symmetric: bool = False,
     tile: int = TILE_POSITIONS,
+    spread: Sequence[str] = ("lat", "lon"),
 ) -> DataFrame:
     """Run ``kernel`` on every pair of position tiles and union its partial results.
 
-    Positions are hashed into tiles of about ``tile`` rows, so a task holds two
+    Positions are hashed by their ``spread`` columns into tiles of about ``tile`` rows, so a task holds two
     tiles however many positions there are. With ``symmetric`` (both sides the
     same frame) only half of the tile pairs run; the kernel is told whether the
     two tiles are the same one.
     """
     n_left = max(1, math.ceil(left.count() / tile))
     n_right = n_left if symmetric else max(1, math.ceil(right.count() / tile))
-    where = F.xxhash64("lat", "lon")
+    where = F.xxhash64(*spread)
     a = left.withColumn("_i", F.pmod(where, F.lit(n_left)).cast("int"))
     b = right.withColumn("_j", F.pmod(where, F.lit(n_right)).cast("int"))
     a = a.withColumn("_j", F.explode(F.sequence(F.col("_i") if symmetric else F.lit(0), F.lit(n_right - 1))))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrascore.operators import matrix
+from terrascore.operators.learning import pca_components, to_vectors
 from terrascore.operators.ranking import competition_rank
 from terrascore.session import materialize
 
@@ -28,8 +29,15 @@ def first_index(
     max_missing: float = 0.5,
     factors: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``entity_id, index_v1, place``; factors default to those that follow ``population`` best."""
+    """``entity_id, index_v1, place``.
+
+    Factors default to those that follow ``population`` best or, where the
+    entities have no such column, to those that weigh most in the components.
+    """
     wide, kept = imputed_matrix(entities, facts, max_missing)
+    if factors is None and "population" not in wide.columns:
+        found = pca_components(to_vectors(wide, kept)).importance(kept)
+        factors = [r.code for r in found.orderBy(F.desc("importance"), "code").limit(n_factors).collect()]
     if factors is None:
         factors = [r.code for r in matrix.top_factors(wide, kept, "population", n_factors).collect()]
     scored = matrix.index_v1(wide, sorted(factors)).withColumn("_rank", F.round("index_v1", 12))
