@@ -18,7 +18,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrascore.operators.distance import tile_map
@@ -130,7 +130,7 @@ def kmeans_select(
     return spark.createDataFrame([(*r, r[0] == best) for r in rows], schema), models[best]
 
 
-def _gap(a: str, b: str) -> F.Column:
+def _gap(a: str, b: str) -> Column:
     squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
 

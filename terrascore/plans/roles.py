@@ -256,6 +256,10 @@ def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landing_from_events(scan(spark, sf_dir, "events"))
+
+
+def landing_from_events(events: DataFrame) -> DataFrame:
     """Landing rows built from events: JSON lists and objects, CSV texts, bad payloads, unknown files."""
     shape = F.col("event_id") % 6
     user = F.col("user_id").cast("string")
@@ -287,7 +291,7 @@ def landing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 4, F.concat(F.lit("sales_"), number, F.lit(".csv")))
         .when(shape == 5, F.concat(F.lit("notes_"), number, F.lit(".txt")))
     )
-    return scan(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         F.lit("events").alias("source_name"),
         name.alias("file_name"),

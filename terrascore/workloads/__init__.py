@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-AREAS = ("index", "views", "indicators", "places", "reports", "landing", "contracts", "learning")
+AREAS = ("index", "views", "indicators", "places", "reports", "landing", "contracts", "learning", "streams")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
