@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrascore.operators import changes, curated
-from terrascore.session import materialize
+from terrascore.session import materialize, spread
 from terrascore.sources import landing
 
 
@@ -28,7 +28,7 @@ class CuratedBatch:
 def curate(l0: DataFrame, rules: Sequence[landing.FileRule]) -> CuratedBatch:
     # parsed once, then read by both targets and the statistics
     kept = ["id", "source_name", "report_period", "source_file", "rule", "records", "columns"]
-    parsed = materialize(landing.with_records(landing.match_rule(l0, rules)).select(*kept), "l0-records")
+    parsed = materialize(landing.with_records(spread(landing.match_rule(l0, rules))).select(*kept), "l0-records")
     ready = parsed.filter(F.size("records") > 0)
     return CuratedBatch(
         parsed,
@@ -47,5 +47,5 @@ def upsert_curated(target: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 def profile(l0: DataFrame) -> DataFrame:
     """Roles inferred per landing row, for votes, examples and the suggested mapping."""
-    parsed = materialize(landing.sniffed_records(l0).select("id", "records", "columns"), "l0-records")
+    parsed = materialize(landing.sniffed_records(spread(l0)).select("id", "records", "columns"), "l0-records")
     return curated.infer_roles(parsed)

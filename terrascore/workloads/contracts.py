@@ -130,7 +130,7 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "watermark_advance",
     """SELECT event_type AS source_name, max(CAST(ts AS DATE)) AS watermark_date, 3::SMALLINT AS grace_days FROM events GROUP BY 1
-    UNION ALL SELECT 'idle', DATE '2023-05-01', 3""",
+    UNION ALL SELECT 'idle', DATE '2023-05-01', 3::SMALLINT""",
 )
 def watermark_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = roles.scan(spark, sf_dir, "events")
