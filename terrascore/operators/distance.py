@@ -259,11 +259,16 @@ def tile_map(
     n_right = n_left if symmetric else max(1, math.ceil(right.count() / tile))
     where = F.xxhash64(*spread)
     a = left.withColumn("_i", F.pmod(where, F.lit(n_left)).cast("int"))
-    b = right.withColumn("_j", F.pmod(where, F.lit(n_right)).cast("int"))
+    # fresh aliases: the two sides may be one frame, and shared attributes lose columns to pruning
+    b = right.select(*[F.col(c).alias(c) for c in right.columns]).withColumn("_j", F.pmod(where, F.lit(n_right)).cast("int"))
     a = a.withColumn("_j", F.explode(F.sequence(F.col("_i") if symmetric else F.lit(0), F.lit(n_right - 1))))
     b = b.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j") if symmetric else F.lit(n_left - 1))))
 
+    columns = [f.split()[0] for f in schema.split(", ")]
+
     def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({c: [] for c in columns})
         return kernel(x, y, symmetric and key[0] == key[1])
 
     return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(run, schema)

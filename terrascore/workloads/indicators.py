@@ -145,7 +145,7 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINKS = """links AS (
   SELECT DISTINCT o_orderpriority AS code, CASE WHEN o_orderpriority < '3' THEN 'fast' ELSE 'slow' END AS block,
-         CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(left(o_orderpriority, 1) AS DOUBLE) / 4 END AS weight FROM orders)"""
+         CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(left(o_orderpriority, 1) AS DOUBLE) / 3 END AS weight FROM orders)"""
 
 
 @register(
@@ -161,7 +161,7 @@ def esg_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(code.alias("code"))
         .distinct()
         .withColumn("block", F.when(F.col("code") < "3", "fast").otherwise("slow"))
-        .withColumn("weight", F.when(F.col("code") != "5-LOW", F.left("code", F.lit(1)).cast("double") / 4))
+        .withColumn("weight", F.when(F.col("code") != "5-LOW", F.left("code", F.lit(1)).cast("double") / 3))
     )
     out = matrix.block_score(roles.indicator_facts(spark, sf_dir), materialize(links, "links"))
     return out.withColumn("block_score", round_half_up(F.col("block_score"), 6))
