@@ -52,6 +52,8 @@ def dense_codes(wide: DataFrame, codes: Sequence[str], max_missing: float = 0.5)
 
 def median_impute(wide: DataFrame, codes: Sequence[str]) -> DataFrame:
     """Replace nulls by the median of their column."""
+    if not codes:
+        return wide
     medians = exact_quantiles(to_long(wide, codes), ["code"], "value", {"median": 0.5})
     row = medians.agg(F.struct(*[F.max(F.when(F.col("code") == c, F.col("median"))).alias(c) for c in codes]).alias("m")).scalar()
     filled = {c: F.coalesce(F.col(f"`{c}`"), F.col("_medians")[c]) for c in codes}
@@ -81,7 +83,7 @@ def top_factors(wide: DataFrame, codes: Sequence[str], size: str, n: int = 10) -
     long = to_long(wide.filter(F.col(size).isNotNull()), codes, keep=("entity_id", size))
     strength = long.groupBy("code").agg(F.abs(safe_corr(F.col("value"), F.col(size))).alias("correlation"))
     best = strength.orderBy(F.col("correlation").desc_nulls_last(), "code").limit(n)
-    rows = F.sort_array(F.collect_list(F.struct((-F.col("correlation")).alias("minus"), "code")))
+    rows = F.sort_array(F.collect_list(F.struct(F.col("correlation").isNull().alias("unknown"), (-F.col("correlation")).alias("minus"), "code")))
     # at most n rows are left, so numbering them is a bounded list
     return best.agg(rows.alias("rows")).select(F.posexplode("rows")).select(
         (F.col("pos") + 1).cast("bigint").alias("place"), F.col("col.code").alias("code"), (-F.col("col.minus")).alias("correlation")
