@@ -25,28 +25,28 @@ from terrascore.session import materialize
 KM_PER_DEGREE = EARTH_RADIUS_KM * math.pi / 180
 TILE_POSITIONS = 8_192
 INLINE_HUBS = 1_024
-CELL_HUBS = 64
+CELL_HUBS = 16
 
 
-def positions(df: DataFrame, entity: str = "entity_id", lat: str = "lat", lon: str = "lon", mass: str | None = None) -> DataFrame:
-    """One row per distinct coordinate: ``lat, lon, first_id, second_id, n, mass``.
+def positions(
+    df: DataFrame, entity: str = "entity_id", lat: str = "lat", lon: str = "lon", mass: str | None = None, second: bool = False
+) -> DataFrame:
+    """One row per distinct coordinate: ``lat, lon, first_id, n, mass``.
 
-    Rows without coordinates are left out. ``second_id`` is the next smallest
-    id at the same spot, or null.
+    Rows without coordinates are left out. With ``second`` also the next
+    smallest id at the same spot (or null); every task passes on at most two
+    ids per spot, however crowded it is.
     """
     placed = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    at = [F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")]
     weight = F.sum(mass) if mass else F.count(F.lit(1)).cast("double")
-    one = placed.groupBy(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).agg(
-        F.min(entity).alias("first_id"), F.count(F.lit(1)).alias("n"), weight.alias("mass"), F.max(entity).alias("last_id")
-    )
-    # the second smallest id is only looked up where a spot is shared
-    first = one.filter("n > 1").select(F.col("lat").alias("_la"), F.col("lon").alias("_lo"), F.col("first_id").alias("_first"))
-    spot = placed.select(F.col(lat).cast("double").alias("_la"), F.col(lon).cast("double").alias("_lo"), F.col(entity).alias("_id"))
-    smallest = spot.groupBy("_la", "_lo", "_id").agg(F.lit(1).alias("_x")).join(first, ["_la", "_lo"]).filter("_id > _first")
-    second = smallest.groupBy("_la", "_lo").agg(F.min("_id").alias("second_id"))
-    return one.join(second, (F.col("lat") == F.col("_la")) & (F.col("lon") == F.col("_lo")), "left").select(
-        "lat", "lon", "first_id", "second_id", "n", "mass"
-    )
+    spots = placed.groupBy(*at).agg(F.min(entity).alias("first_id"), F.count(F.lit(1)).alias("n"), weight.alias("mass"))
+    if not second:
+        return spots
+    place = F.row_number().over(Window.partitionBy("_la", "_lo").orderBy("_id"))
+    firsts = placed.select(at[0].alias("_la"), at[1].alias("_lo"), F.col(entity).alias("_id")).withColumn("_place", place).filter("_place <= 2")
+    seconds = firsts.groupBy("_la", "_lo").agg(F.max(F.when(F.col("_place") == 2, F.col("_id"))).alias("second_id"))
+    return spots.join(seconds, (F.col("lat") == F.col("_la")) & (F.col("lon") == F.col("_lo")), "left").drop("_la", "_lo")
 
 
 # -- nearest hub --------------------------------------------------------------------
@@ -90,14 +90,18 @@ def nearest_hub(df: DataFrame, hubs: DataFrame, inline_hubs: int = INLINE_HUBS)
 def _nearest_inline(spots: DataFrame, hub_spots: DataFrame) -> DataFrame:
     """Few hubs (checked by the caller): one array literal, no shuffle."""
     hubs = hub_spots.agg(F.collect_list(F.struct("hub_id", "hub_lat", "hub_lon"))).scalar()
+    return _closest(spots.withColumn("_hubs", hubs))
+
+
+def _closest(spots: DataFrame) -> DataFrame:
+    """The nearest of the hubs listed in ``_hubs``, measured row by row."""
     options = F.transform(
-        F.col("_hubs"),
+        "_hubs",
         lambda h: F.struct(
             F.round(haversine_km(F.col("lat"), F.col("lon"), h["hub_lat"], h["hub_lon"]), 6).alias("hub_km"), h["hub_id"].alias("hub_id")
         ),
     )
-    best = F.array_min(options)
-    return spots.withColumn("_hubs", hubs).select("lat", "lon", "n", best.alias("_b")).select("lat", "lon", "n", "_b.hub_id", "_b.hub_km")
+    return spots.select("lat", "lon", "n", F.array_min(options).alias("_b")).select("lat", "lon", "n", "_b.hub_id", "_b.hub_km")
 
 
 def _cell(lat: Column, lon: Column, size: float) -> Column:
@@ -149,15 +153,15 @@ def _nearest_by_cells(spots: DataFrame, hub_spots: DataFrame) -> DataFrame:
         grown = pairs.join(kids_a, f"a{level - 1}").join(kids_h, f"h{level - 1}").select(f"a{level}", f"h{level}")
         pairs = _prune(grown, sizes[level], level)
     last = len(sizes) - 1
-    pairs = materialize(pairs.select(F.col(f"a{last}").alias("a"), F.col(f"h{last}").alias("h")), "cell-pairs")
-    near = (
-        spots.withColumn("a", _cell(F.col("lat"), F.col("lon"), finest))
-        .join(pairs, "a")
-        .join(hub_spots.withColumn("h", _cell(F.col("hub_lat"), F.col("hub_lon"), finest)), "h")
-    )
-    km = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("hub_lat"), F.col("hub_lon")), 6)
-    best = near.groupBy("lat", "lon").agg(F.min(F.struct(km.alias("hub_km"), F.col("hub_id"))).alias("_b"), F.first("n").alias("n"))
-    return best.select("lat", "lon", "n", "_b.hub_id", "_b.hub_km")
+    candidates = pairs.select(F.col(f"a{last}").alias("a"), F.col(f"h{last}").alias("h"))
+
+    # the few hubs that can be nearest are listed per spot cell; spots look their cell up
+    placed = spots.withColumn("a", _cell(F.col("lat"), F.col("lon"), finest))
+    hubs = hub_spots.withColumn("h", _cell(F.col("hub_lat"), F.col("hub_lon"), finest))
+    listed = candidates.join(hubs, "h").groupBy("a").agg(F.collect_list(F.struct("hub_id", "hub_lat", "hub_lon")).alias("_hubs"))
+    crowd = placed.groupBy("a").agg(F.count(F.lit(1)).alias("spots"))
+    cells = materialize(listed.join(crowd, "a"), "cell-hubs")
+    return _closest(lookup_join(placed, cells, ["a"], "spots", hot_share=0.01))
 
 
 def _pyramid(cells: DataFrame, name: str, sizes: Sequence[float]) -> DataFrame:
@@ -177,7 +181,7 @@ def _prune(pairs: DataFrame, size: float, level: int) -> DataFrame:
 
 def _nearest_other(df: DataFrame) -> DataFrame:
     """Nearest other entity for every entity."""
-    spots = materialize(positions(df), "positions")
+    spots = materialize(positions(df, second=True), "positions")
     shared = spots.filter(F.col("second_id").isNotNull()).select("lat", "lon", "n", "first_id", "second_id")
     alone = tile_map(spots.filter(F.col("second_id").isNull()), spots, _nearest_kernel, "lat double, lon double, hub_km double, hub_id bigint")
     best = alone.groupBy("lat", "lon").agg(F.min(F.struct("hub_km", "hub_id")).alias("_b")).select("lat", "lon", "_b.hub_id", "_b.hub_km")

@@ -4,39 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascore.operators.joins import lookup_join
-from terrascore.operators.scaling import column_bounds
 from terrascore.session import materialize
 
 
-def value_ranks(df: DataFrame, score: str, bins: int = 2048) -> DataFrame:
+def value_ranks(df: DataFrame, score: str, bins: int = 512) -> DataFrame:
     """``score, n, rank``: one row per distinct score, best first, ties share a rank.
 
-    Equal scores are counted before the shuffle. Scores fall into ordered bins;
+    Equal scores are counted before the shuffle. Approximate quantiles cut the
+    distinct scores into bins of about equal size, whatever their distribution;
     a running total over the bins (at most ``bins`` rows) gives each bin its
     offset, and the order inside a bin is settled by that bin's own task.
     """
-    scores = df.select(F.col(score).alias("_score")).filter(F.col("_score").isNotNull())
-    bounds = column_bounds(scores, ["_score"])
-    counted = (
-        scores.groupBy("_score")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_bounds", bounds)
-        .withColumn("_from_top", (F.col("_bounds._score_hi") - F.col("_score")) / F.nullif(F.col("_bounds._score_hi") - F.col("_bounds._score_lo"), F.lit(0.0)))
-        .withColumn("_bin", F.least(F.floor(F.coalesce("_from_top", F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int"))
-        .select("_score", "n", "_bin")
+    counted = materialize(
+        df.select(F.col(score).cast("double").alias("_score")).filter(F.col("_score").isNotNull()).groupBy("_score").agg(F.count(F.lit(1)).alias("n")),
+        "score-counts",
     )
-    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = sorted(set(counted.approxQuantile("_score", [i / bins for i in range(1, bins)], 0.25 / bins)))
+    splits = [float("-inf"), *cuts, float("inf")]
+    binned = Bucketizer(splits=splits, inputCol="_score", outputCol="_bin").transform(counted) if cuts else counted.withColumn("_bin", F.lit(0.0))
+    better = Window.orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        counted.groupBy("_bin")
+        binned.groupBy("_bin")
         .agg(F.sum("n").alias("_rows"))
-        .select(F.col("_bin").alias("_off_bin"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+        .select(F.col("_bin").alias("_off_bin"), F.coalesce(F.sum("_rows").over(better), F.lit(0)).alias("_offset"))
     )
     above = Window.partitionBy("_bin").orderBy(F.col("_score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return counted.join(F.broadcast(offsets), F.col("_bin") == F.col("_off_bin")).select(
+    return binned.join(F.broadcast(offsets), F.col("_bin") == F.col("_off_bin")).select(
         F.col("_score").alias(score),
         "n",
         (F.col("_offset") + F.coalesce(F.sum("n").over(above), F.lit(0)) + 1).cast("bigint").alias("rank"),
@@ -44,7 +42,7 @@ def value_ranks(df: DataFrame, score: str, bins: int = 2048) -> DataFrame:
 
 
 def competition_rank(
-    df: DataFrame, score: str, out: str = "rank", bins: int = 2048, rows: int | None = None, one_task_rows: int = 200_000
+    df: DataFrame, score: str, out: str = "rank", bins: int = 512, rows: int | None = None, one_task_rows: int = 200_000
 ) -> DataFrame:
     """Add ``out`` = 1 + number of rows with a greater ``score``; null scores get null.
 

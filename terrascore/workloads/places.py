@@ -59,7 +59,7 @@ def _hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(distance.positions(roles.places(spark, sf_dir)), "positions")
+    return materialize(distance.positions(roles.places(spark, sf_dir), second=True), "positions")
 
 
 @register("hub_filter", f"WITH {PLACES} SELECT entity_id, entity_name, size FROM hubs")

@@ -73,14 +73,14 @@ def test_hub_cascade(spark):
 
 @pytest.mark.parametrize("reach", [5.0, 300.0, 2_500.0])
 def test_neighbours_match_brute_force(spark, cloud, reach):
-    spots = materialize(distance.positions(frame(spark, cloud)), "spots")
+    spots = materialize(distance.positions(frame(spark, cloud), second=True), "spots")
     ours = {(r.id_a, r.id_b) for r in distance.pairwise_distance(spots, reach).collect()}
     ids = sorted({min(i for i, q in cloud.items() if q == p) for p in cloud.values()})
     assert ours == {(a, b) for a in ids for b in ids if a < b and km(cloud[a], cloud[b]) <= reach}
 
 
 def test_pair_statistics_match_brute_force(spark, cloud):
-    spots = materialize(distance.positions(frame(spark, cloud)), "spots")
+    spots = materialize(distance.positions(frame(spark, cloud), second=True), "spots")
     pairs = {(a, b): km(cloud[a], cloud[b]) for a in cloud for b in cloud if a < b}
     apart = np.array([d for d in pairs.values() if d > 0])
     row = distance.distance_stats(spots, bins=64).head()
@@ -93,7 +93,7 @@ def test_pair_statistics_match_brute_force(spark, cloud):
 
 
 def test_tiles_do_not_change_the_result(spark, cloud):
-    spots = materialize(distance.positions(frame(spark, cloud)), "spots")
+    spots = materialize(distance.positions(frame(spark, cloud), second=True), "spots")
     schema = "pairs double, total double, squares double, near_km double, near_a bigint, near_b bigint, far_km double, far_a bigint, far_b bigint"
     one, many = (
         distance.tile_map(spots, spots, distance._extremes_kernel, schema, symmetric=True, tile=t).agg(F.sum("pairs"), F.round(F.sum("total"), 3)).head()
