@@ -75,7 +75,7 @@ def nearest_hub(df: DataFrame, hubs: DataFrame, inline_hubs: int = INLINE_HUBS)
     )
     n_hubs = hub_spots.count()
     if n_hubs == 0:
-        return _nearest_other(df)
+        return _nearest_other(df, inline_hubs)
     spots = materialize(
         df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n")),
         "spots",
@@ -87,16 +87,17 @@ def nearest_hub(df: DataFrame, hubs: DataFrame, inline_hubs: int = INLINE_HUBS)
     return lookup_join(df, materialize(found, "nearest"), ["lat", "lon"], "n")
 
 
-def _nearest_inline(spots: DataFrame, hub_spots: DataFrame) -> DataFrame:
+def _nearest_inline(spots: DataFrame, hub_spots: DataFrame, others: bool = False) -> DataFrame:
     """Few hubs (checked by the caller): one array literal, no shuffle."""
     hubs = hub_spots.agg(F.collect_list(F.struct("hub_id", "hub_lat", "hub_lon"))).scalar()
-    return _closest(spots.withColumn("_hubs", hubs))
+    return _closest(spots.withColumn("_hubs", hubs), others)
 
 
-def _closest(spots: DataFrame) -> DataFrame:
+def _closest(spots: DataFrame, others: bool = False) -> DataFrame:
     """The nearest of the hubs listed in ``_hubs``, measured row by row."""
+    listed = F.filter("_hubs", lambda h: h["hub_id"] != F.col("first_id")) if others else F.col("_hubs")
     options = F.transform(
-        "_hubs",
+        listed,
         lambda h: F.struct(
             F.round(haversine_km(F.col("lat"), F.col("lon"), h["hub_lat"], h["hub_lon"]), 6).alias("hub_km"), h["hub_id"].alias("hub_id")
         ),
@@ -127,11 +128,12 @@ def _fullest_cell(hub_spots: DataFrame, size: float) -> int:
     return cells.agg(F.max("count")).head()[0]
 
 
-def _nearest_by_cells(spots: DataFrame, hub_spots: DataFrame) -> DataFrame:
+def _nearest_by_cells(spots: DataFrame, hub_spots: DataFrame, others: bool = False) -> DataFrame:
     """Branch and bound over ever finer grid cells.
 
     At each level a spot cell keeps only the hub cells that can still hold its
-    nearest hub; the pairs of the last level are then measured exactly.
+    nearest hub; the hubs of the last level are then measured exactly. With
+    ``others`` the spots are hubs themselves and none counts as its own.
     """
     sizes = [30.0, 7.5]
     # refine until the fullest cell holds few hubs; the last size is about 12 metres
@@ -139,19 +141,20 @@ def _nearest_by_cells(spots: DataFrame, hub_spots: DataFrame) -> DataFrame:
         sizes.append(sizes[-1] / 4)
     finest = sizes[-1]
     a = spots.select(_cell(F.col("lat"), F.col("lon"), finest).alias("a")).distinct()
-    h = hub_spots.select(_cell(F.col("hub_lat"), F.col("hub_lon"), finest).alias("h")).distinct()
+    h = hub_spots.groupBy(_cell(F.col("hub_lat"), F.col("hub_lon"), finest).alias("h")).agg(F.count(F.lit(1)).alias("held"))
     a_cells = materialize(_pyramid(a, "a", sizes), "spot-cells")
-    h_cells = materialize(_pyramid(h, "h", sizes), "hub-cells")
+    h_cells = materialize(_pyramid(h, "h", sizes, "held"), "hub-cells")
 
     # at most 6 x 12 cells of 30 degrees exist, so this start is tiny whatever the data
-    top = h_cells.select("h0").distinct().agg(F.collect_list("h0")).scalar()
-    pairs = a_cells.select("a0").distinct().withColumn("_top", top).select("a0", F.explode("_top").alias("h0"))
-    pairs = _prune(pairs, sizes[0], 0)
+    coarse = h_cells.groupBy("h0").agg(F.sum("held").alias("held"))
+    top = coarse.agg(F.collect_list(F.struct("h0", "held"))).scalar()
+    pairs = a_cells.select("a0").distinct().withColumn("_top", top).select("a0", F.inline("_top"))
+    pairs = _prune(pairs, sizes[0], 0, others)
     for level in range(1, len(sizes)):
         kids_a = a_cells.select(f"a{level - 1}", f"a{level}").distinct()
-        kids_h = h_cells.select(f"h{level - 1}", f"h{level}").distinct()
-        grown = pairs.join(kids_a, f"a{level - 1}").join(kids_h, f"h{level - 1}").select(f"a{level}", f"h{level}")
-        pairs = _prune(grown, sizes[level], level)
+        kids_h = h_cells.groupBy(f"h{level - 1}", f"h{level}").agg(F.sum("held").alias("held"))
+        grown = pairs.join(kids_a, f"a{level - 1}").join(kids_h, f"h{level - 1}").select(f"a{level}", f"h{level}", "held")
+        pairs = _prune(grown, sizes[level], level, others)
     last = len(sizes) - 1
     candidates = pairs.select(F.col(f"a{last}").alias("a"), F.col(f"h{last}").alias("h"))
 
@@ -161,39 +164,48 @@ def _nearest_by_cells(spots: DataFrame, hub_spots: DataFrame) -> DataFrame:
     listed = candidates.join(hubs, "h").groupBy("a").agg(F.collect_list(F.struct("hub_id", "hub_lat", "hub_lon")).alias("_hubs"))
     crowd = placed.groupBy("a").agg(F.count(F.lit(1)).alias("spots"))
     cells = materialize(listed.join(crowd, "a"), "cell-hubs")
-    return _closest(lookup_join(placed, cells, ["a"], "spots", hot_share=0.01))
+    return _closest(lookup_join(placed, cells, ["a"], "spots", hot_share=0.01), others)
 
 
-def _pyramid(cells: DataFrame, name: str, sizes: Sequence[float]) -> DataFrame:
+def _pyramid(cells: DataFrame, name: str, sizes: Sequence[float], *keep: str) -> DataFrame:
     """For each finest cell its enclosing cell at every level."""
     lat, lon, _ = _cell_box(F.col(name), sizes[-1])
-    return cells.select(*[_cell(lat, lon, s).alias(f"{name}{i}") for i, s in enumerate(sizes[:-1])], F.col(name).alias(f"{name}{len(sizes) - 1}"))
+    above = [_cell(lat, lon, size).alias(f"{name}{i}") for i, size in enumerate(sizes[:-1])]
+    return cells.select(*above, F.col(name).alias(f"{name}{len(sizes) - 1}"), *keep)
 
 
-def _prune(pairs: DataFrame, size: float, level: int) -> DataFrame:
+def _prune(pairs: DataFrame, size: float, level: int, others: bool) -> DataFrame:
+    """Drop hub cells that lie farther away than some hub is sure to be."""
     a, h = f"a{level}", f"h{level}"
     a_lat, a_lon, a_r = _cell_box(F.col(a), size)
     h_lat, h_lon, h_r = _cell_box(F.col(h), size)
     measured = pairs.withColumn("_d", haversine_km(a_lat, a_lon, h_lat, h_lon)).withColumn("_r", a_r + h_r)
-    bound = F.min(F.col("_d") + F.col("_r")).over(Window.partitionBy(a))
-    return measured.withColumn("_bound", bound).filter(F.col("_d") - F.col("_r") <= F.col("_bound")).select(a, h)
+    # a cell's only hub may be the spot itself, which promises nothing about others
+    sure = F.col("_d") + F.col("_r")
+    promised = F.when((F.col(a) != F.col(h)) | (F.col("held") > 1), sure) if others else sure
+    bound = F.min(promised).over(Window.partitionBy(a))
+    near = F.col("_bound").isNull() | (F.col("_d") - F.col("_r") <= F.col("_bound"))
+    return measured.withColumn("_bound", bound).filter(near).select(a, h)
 
 
-def _nearest_other(df: DataFrame) -> DataFrame:
+def _nearest_other(df: DataFrame, inline_hubs: int) -> DataFrame:
     """Nearest other entity for every entity."""
     spots = materialize(positions(df, second=True), "positions")
+    alone = spots.filter(F.col("second_id").isNull())
+    every = spots.select(F.col("lat").alias("hub_lat"), F.col("lon").alias("hub_lon"), F.col("first_id").alias("hub_id"))
+    if spots.count() <= inline_hubs:
+        best = _nearest_inline(alone, every, others=True)
+    else:
+        best = _nearest_by_cells(alone, every, others=True)
     shared = spots.filter(F.col("second_id").isNotNull()).select("lat", "lon", "n", "first_id", "second_id")
-    alone = tile_map(spots.filter(F.col("second_id").isNull()), spots, _nearest_kernel, "lat double, lon double, hub_km double, hub_id bigint")
-    best = alone.groupBy("lat", "lon").agg(F.min(F.struct("hub_km", "hub_id")).alias("_b")).select("lat", "lon", "_b.hub_id", "_b.hub_km")
-    found = best.withColumn("n", F.lit(1).cast("bigint")).unionByName(
-        shared.select("lat", "lon", F.lit(None).cast("bigint").alias("hub_id"), F.lit(0.0).alias("hub_km"), "n")
+    none = F.lit(None).cast("bigint")
+    found = best.select("lat", "lon", "n", "hub_id", "hub_km", none.alias("first_id"), none.alias("second_id")).unionByName(
+        shared.withColumns({"hub_id": none, "hub_km": F.lit(0.0)})
     )
     joined = lookup_join(df, materialize(found, "nearest"), ["lat", "lon"], "n")
     # at a shared spot the nearest other is the smallest id that is not one's own
-    twins = materialize(shared, "twins")
-    paired = lookup_join(joined, twins, ["lat", "lon"], "n")
-    own = F.when(F.col("entity_id") == F.col("first_id"), F.col("second_id")).otherwise(F.col("first_id"))
-    return paired.withColumn("hub_id", F.coalesce("hub_id", own)).drop("first_id", "second_id")
+    twin = F.when(F.col("entity_id") == F.col("first_id"), F.col("second_id")).otherwise(F.col("first_id"))
+    return joined.withColumn("hub_id", F.coalesce("hub_id", twin)).drop("first_id", "second_id")
 
 
 def accessibility(df: DataFrame, scale_km: float = 500.0) -> DataFrame:
@@ -298,23 +310,6 @@ def _strips(x: pd.DataFrame, y: pd.DataFrame, same: bool, rows: int = 256) -> It
         yield part, km, mask
 
 
-def _nearest_kernel(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> pd.DataFrame:
-    out = {"lat": [], "lon": [], "hub_km": [], "hub_id": []}
-    if len(x) and len(y):
-        y = y.sort_values("first_id")
-        ids = y["first_id"].to_numpy()
-        for part, km, _ in _strips(x, y, False):
-            km[part["first_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            at = km.argmin(axis=1)
-            best = km[np.arange(len(part)), at]
-            real = np.isfinite(best)
-            out["lat"].extend(part["lat"].to_numpy()[real])
-            out["lon"].extend(part["lon"].to_numpy()[real])
-            out["hub_km"].extend(best[real])
-            out["hub_id"].extend(ids[at][real])
-    return pd.DataFrame(out).astype({"lat": float, "lon": float, "hub_km": float, "hub_id": "int64"})
-
-
 def _extremes_kernel(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> pd.DataFrame:
     """Moments and extreme pairs of one tile; ties go to the smallest ids."""
     rows = []

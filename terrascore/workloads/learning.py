@@ -14,7 +14,7 @@ from terrascore.workloads.index import index_frame
 from terrascore.workloads.reports import PATTERN, SCORES, SIZE_BANDS
 from terrascore.workloads.sql import rnd
 
-# The reference runs 20 starts per k; two keep a registered run short.
+# The library default is 20 starts per k; two keep a registered run short.
 RESTARTS = 2
 
 

@@ -56,9 +56,10 @@ def test_nearest_hub_keeps_rows_without_coordinates(spark):
     assert out == {1: 1, 2: None, 3: 1}
 
 
-def test_without_hubs_the_nearest_other_counts(spark, cloud):
+@pytest.mark.parametrize("inline", [10_000, 0])
+def test_without_hubs_the_nearest_other_counts(spark, cloud, inline):
     df = frame(spark, cloud)
-    out = {r.entity_id: r for r in distance.nearest_hub(df, df.limit(0)).collect()}
+    out = {r.entity_id: r for r in distance.nearest_hub(df, df.limit(0), inline_hubs=inline).collect()}
     for i, p in cloud.items():
         best = min((km(p, q), j) for j, q in cloud.items() if j != i)
         assert (out[i].hub_km, out[i].hub_id) == (pytest.approx(best[0], abs=2e-6), best[1])
