@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terrascore.functions.numbers import round_half_up
+
 # Ordered substrings of settlement types and their scores.
 TYPE_RULES = [
     (("пгт", "рабочий", "рп"), 1.0),
@@ -44,6 +46,11 @@ def yes_no(flag: Column, yes: str = "Да", no: str = "Нет") -> Column:
     return F.when(flag, yes).otherwise(no)
 
 
+def thousands(x: Column) -> Column:
+    """Whole number with thousands separators."""
+    return F.format_number(round_half_up(x, 0), 0)
+
+
 def entity_label(name: Column, region: Column, score: Column) -> Column:
     """The line a user searches in: ``name (region) — index x.xx``."""
     return F.format_string("%s (%s) — index %.2f", name, region, score)

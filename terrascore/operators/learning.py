@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -88,10 +89,24 @@ def pca_components(df: DataFrame, k: int = 15, features: str = "features") -> Co
 # -- k-means ------------------------------------------------------------------------
 
 
+def kmeans_fits(
+    df: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_iter: int = 500, features: str = "features", parallel: int = 4
+) -> dict[int, KMeansModel]:
+    """Per k the fit with the least cost over several starts; a few fits run side by side."""
+
+    def fit(job: tuple[int, int]) -> tuple[int, KMeansModel]:
+        k, seed = job
+        return k, KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=features, predictionCol="cluster_id").fit(df)
+
+    jobs = [(k, s) for k in ks for s in seeds]
+    with ThreadPool(min(parallel, len(jobs))) as pool:
+        fits = pool.map(inheritable_thread_target(df.sparkSession)(fit), jobs)
+    return {k: min((m for j, m in fits if j == k), key=lambda m: m.summary.trainingCost) for k in ks}
+
+
 def best_kmeans(df: DataFrame, k: int, seeds: Sequence[int], max_iter: int = 500, features: str = "features") -> KMeansModel:
     """The fit with the least cost over several starts."""
-    fits = [KMeans(k=k, seed=s, maxIter=max_iter, featuresCol=features, predictionCol="cluster_id").fit(df) for s in seeds]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    return kmeans_fits(df, [k], seeds, max_iter, features)[k]
 
 
 def kmeans_select(
@@ -112,9 +127,9 @@ def kmeans_select(
     spark = df.sparkSession
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows, models = [], {}
-        for k in ks:
-            model = best_kmeans(held, k, range(seed, seed + restarts), max_iter, features)
+        rows = []
+        models = kmeans_fits(held, ks, range(seed, seed + restarts), max_iter, features)
+        for k, model in models.items():
             labelled = model.transform(held)
             if metric == "euclidean":
                 quality = silhouette_euclidean(labelled, entity, features)
@@ -122,7 +137,6 @@ def kmeans_select(
                 quality = ClusteringEvaluator(featuresCol=features, predictionCol="cluster_id").evaluate(labelled)
             spread = davies_bouldin(labelled, features).head()[0]
             rows.append((k, float(model.summary.trainingCost), float(quality), float(spread)))
-            models[k] = model
     finally:
         held.unpersist()
     best = max(rows, key=lambda r: (r[2], -r[0]))[0]

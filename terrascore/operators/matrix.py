@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, NumericType, StringType, StructField, StructType
 
 from terrascore.functions.numbers import safe_corr
 from terrascore.operators.quantiles import exact_quantiles
@@ -25,6 +25,11 @@ def indicator_codes(facts: DataFrame, code: str = "code") -> list[str]:
     return sorted(codes)
 
 
+def numeric_columns(df: DataFrame, metadata: Sequence[str] = ()) -> list[str]:
+    """Names of the numeric columns that are not metadata; read from the schema alone."""
+    return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in metadata]
+
+
 def indicator_pivot(facts: DataFrame, codes: Sequence[str], pick: str = "earliest") -> DataFrame:
     """Entity x code matrix; of several values the earliest (or latest) by year and fact id."""
     order = F.struct("year", "fact_id")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrascore.functions.numbers import banded, round_half_up
-from terrascore.functions.text import entity_label, shorten, type_score, yes_no
+from terrascore.functions.text import entity_label, shorten, thousands, type_score, yes_no
 from terrascore.operators import distance, matrix, ranking, summaries
 from terrascore.plans import dashboard, indicators, roles, second
 from terrascore.plans.composite import COMPONENTS
@@ -161,10 +161,6 @@ def waterfall_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(dashboard.average_waterfall(_index(spark, sf_dir)), 6, "value")
 
 
-def _radar_sql(value: str) -> str:
-    return " UNION ALL ".join(f"SELECT {value.format(c=c)} FROM w" for c in COMPONENTS)
-
-
 @register(
     "radar",
     f"{INDEX}, {_BASE.format(group='region_name', by='1')}, w AS (SELECT * FROM index_view JOIN base USING (region_name)) "
@@ -234,18 +230,22 @@ def top_bottom_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "top_table",
-    f"""{INDEX} SELECT row_number() OVER (ORDER BY index_10 DESC, entity_id) AS place,
+    f"""{INDEX}, p AS (SELECT o_custkey AS entity_id, arg_max(p, y) AS population FROM
+      (SELECT o_custkey, year(o_orderdate) AS y, sum(o_totalprice) AS p FROM orders GROUP BY 1, 2) GROUP BY 1)
+    SELECT row_number() OVER (ORDER BY index_10 DESC, entity_id) AS place,
       CASE WHEN length(entity_name) > 12 THEN substring(entity_name, 1, 12) || '...' ELSE entity_name END AS name,
-      printf('%.2f', index_10) AS score, CASE WHEN is_zone THEN 'Да' ELSE 'Нет' END AS zone FROM index_view ORDER BY 1 LIMIT 20""",
+      format('{{:,}}', CAST({rnd('population', 0)} AS BIGINT)) AS population,
+      printf('%.2f', index_10) AS score, CASE WHEN is_zone THEN 'Да' ELSE 'Нет' END AS zone
+    FROM index_view LEFT JOIN p USING (entity_id) ORDER BY 1 LIMIT 20""",
 )
 def top_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     top = ranking.top_n(index_frame(spark, sf_dir), F.col("index_10").desc(), 20, "entity_id")
+    sized = top.join(roles.zones(spark, sf_dir).select("entity_id", "population"), "entity_id", "left")
     place = F.row_number().over(Window.orderBy(F.col("index_10").desc(), "entity_id")).cast("bigint")
-    return top.select(
+    return sized.select(
         place.alias("place"),
         shorten(F.col("entity_name"), 12).alias("name"),
+        thousands(F.col("population")).alias("population"),
         F.format_string("%.2f", "index_10").alias("score"),
         yes_no(F.col("is_zone")).alias("zone"),
     )

@@ -166,3 +166,8 @@ def test_streamed_load_equals_the_batch_and_replays_change_nothing(spark, tmp_pa
         rows = {(r.l0_id, r.country, r.report_period): r.units for r in spark.read.schema(loads.SALES_SCHEMA).parquet(f"{tmp_path}/sales").collect()}
         assert rows.keys() == {(1, "A", "2024-05"), (1, "B", "2024-05"), (2, "A", "2024-06")}
         assert rows[(1, "B", "2024-05")] == 2.0 and rows[(2, "A", "2024-06")] == 5.0 and rows[(1, "A", "2024-05")] in (1.0, 7.0)
+
+
+def test_numeric_columns_leave_out_metadata(spark):
+    df = spark.sql("select 1 as entity_id, 'x' as name, 1.5D as a, cast(2 as decimal(5,1)) as b, true as flag")
+    assert matrix.numeric_columns(df, ["entity_id"]) == ["a", "b"]
