@@ -143,3 +143,56 @@ class WordHasher:
             placed[at : at + b - a] = data[a:b]
         starts, hashes = self.words(placed)
         return hashes, np.searchsorted(starts, begin)
+
+
+def char_runs(column: pa.Array, context: int, lower: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Code points of texts in runs of bounded size: (row of each segment, codes, first and end position of each segment).
+
+    Every segment has ``context`` codes before it: spaces at the start of a text, the preceding characters inside a long one, which
+    comes as several segments. So what is computed for the characters of a text from their left context does not depend on the runs.
+    """
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    data, offsets = utf8(pc.utf8_lower(column) if lower else column)
+    pad = np.full(context, 0x20, np.uint32)
+
+    def decode(a: int, b: int) -> np.ndarray:
+        return np.frombuffer(data[a:b].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+
+    for a, b in passes(offsets):
+        start, end = int(offsets[a]), int(offsets[b])
+        if end - start <= PASS_BYTES:
+            codes = decode(start, end)
+            chars = np.concatenate([[0], np.cumsum((data[start:end] & 0xC0) != 0x80)])[offsets[a : b + 1] - start]
+            first = chars[:-1] + context * np.arange(1, b - a + 1)
+            placed = np.full(len(codes) + context * (b - a), 0x20, np.uint32)
+            placed[np.arange(len(codes)) + context * np.repeat(np.arange(1, b - a + 1), np.diff(chars))] = codes
+            yield np.arange(a, b), placed, first, first + np.diff(chars)
+            continue
+        tail = pad
+        while start < end:
+            stop = min(start + PASS_BYTES, end)
+            while stop < end and data[stop] & 0xC0 == 0x80:
+                stop += 1
+            codes = np.concatenate([tail, decode(start, stop)])
+            yield np.array([a]), codes, np.array([context]), np.array([len(codes)])
+            tail, start = codes[len(codes) - context :], stop
+
+
+def gram_hashes(codes: np.ndarray, order: int) -> np.ndarray:
+    """Hash of the last ``order`` codes at every position from ``order - 1`` on, at the index of the last one."""
+    with np.errstate(over="ignore"):
+        out = np.full(len(codes), np.uint64(order) * np.uint64(0x9E3779B97F4A7C15), np.uint64)
+        for k in range(order):
+            out[order - 1 :] += (codes[order - 1 - k : len(codes) - k].astype(np.uint64) + np.uint64(1)) * np.uint64(pow(0xD6E8FEB86659FD93, 2 * k + 1, 1 << 64))
+        return mix(out)
+
+
+def fraction_for(rows: int, bound: int) -> float:
+    """Share of rows to take for a sample of about ``bound`` rows."""
+    return min(1.0, bound / max(rows, 1))
+
+
+def sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
+    """About ``bound`` rows of df, chosen by a hash of the key: the same rows in every run and for every partitioning."""
+    share = fraction_for(df.count(), bound)
+    return df if share == 1.0 else df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from terrascore.llm.language import fit_language
 from terrascore.llm.ngram_join import ngram_join
+from terrascore.llm.quality import fit_quality, graded
+from terrascore.llm.tokens import token_counts
+from terrascore.llm.toxicity import fit_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,18 +20,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return fit_quality(docs, graded(table(spark, folder, "labels"))).score(docs)
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return fit_toxicity(docs, table(spark, folder, "labels")).score(docs)
+
+
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_ngram_join,)}
+def op8_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return fit_language(docs).predict(docs)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_toxicity, op4_ngram_join, op8_tokens, op10_language)}
 
 #: Words of the contracts in SQL: A-Z lowered, split on the six white-space bytes.
-WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '')"
+WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w : w <> '')"
 
 OP4 = f"""
 WITH RECURSIVE words AS (SELECT doc_id, {WORDS} AS w FROM documents),
-sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> list_aggregate(w[i:i + 4], 'string_agg', ' '))
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i : list_aggregate(w[i:i + 4], 'string_agg', ' '))
     WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE [] END) AS s FROM words),
 sizes AS (SELECT doc_id, len(s) AS n FROM sets),
 grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
