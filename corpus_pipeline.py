@@ -1,14 +1,90 @@
-"""A corpus from raw documents to shards, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
+
+Every stage reads what the one before has kept, and its decisions take effect. Rows travel whole: all stages but the last return the
+columns of their input, whatever these are. The last returns them with their shard.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrascore.llm.common import Scratch
+from terrascore.llm.decontamination import leaks
+from terrascore.llm.mixing import mix_to_targets
+from terrascore.llm.ngram_join import ngram_join
+from terrascore.llm.rules import quality_rules
+from terrascore.llm.sharding import shards
+
+#: Largest shard in bytes of text.
+SHARD_BYTES = 32 << 20
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every quality rule."""
+    return quality_rules(docs, carry=True).where("kept").select("row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the row with the smallest id (of those, the smallest text hash); null ids come last.
+
+    Texts without words are in no group and stay. Rows equal in id and text are one.
+    """
+    scratch = Scratch(spark, "near-copies")
+    found = scratch.store(ngram_join(docs).where("n_shingles > 0").select("doc_id", "text_key", "component_key"), "found")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    keepers = found.groupBy("component_key").agg(F.min(rank).alias("k")).select("component_key", "k.doc_id", "k.text_key")
+    spare = found.join(keepers.withColumnRenamed("doc_id", "first_id").withColumnRenamed("text_key", "first_key"), "component_key")
+    spare = scratch.store(spare.where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")))).select("doc_id", "text_key").distinct(), "spare")
+    twice = scratch.store(found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key"), "twice")
+
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
+    same = lambda other: rows["_id"].eqNullSafe(other["doc_id"]) & (rows["_key"] == other["text_key"])
+    kept = rows.join(spare, same(spare), "left_anti")
+    if twice.isEmpty():
+        return kept.select("row.*")
+    single = kept.join(twice, same(twice), "left_anti").select("row")
+    once = kept.join(twice, same(twice), "left_semi").groupBy("_id", "_key").agg(F.min("row").alias("row")).select("row")
+    return single.union(once).select("row.*")
+
+
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item has leaked."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaked = Scratch(spark, "leaked").store(leaks(docs, benchmark).select("doc_key").distinct(), "keys")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("doc_key"))
+    return rows.join(leaked, "doc_key", "left_anti").select("row.*")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with probabilities that bring sources, languages and topics to their target shares of the tokens."""
+    return mix_to_targets(docs, carry=True).where("sampled").select("row.*")
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its shard; columns of the input with these names give way."""
+    own = ["shard", "shard_depth", "shard_bytes"]
+    keep = [c for c in docs.columns if c not in own]
+    return shards(docs, SHARD_BYTES, keep=keep).select("row.*", "shard", F.col("depth").alias("shard_depth"), "shard_bytes")
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", apply_rules),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaked),
+    ("mixing sources to target weights", mix_sources),
+    ("sharding", shard),
+]
+#: Raking is iterative and the near copies are a transitive closure over all texts; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents, each result written and read again as the next one's input."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.store(stage(spark, docs, sf_dir), f"stage{number}")
+    return STAGES[-1][1](spark, docs, sf_dir)

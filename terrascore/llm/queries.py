@@ -7,14 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from terrascore.llm.decontamination import leaks
 from terrascore.llm.language import fit_language
+from terrascore.llm.mixing import mix_to_targets
 from terrascore.llm.ngram_join import ngram_join
 from terrascore.llm.quality import fit_quality, graded
+from terrascore.llm.rules import quality_rules
+from terrascore.llm.secrets import digest, secret_scan
+from terrascore.llm.sharding import shards
 from terrascore.llm.tokens import token_counts
 from terrascore.llm.toxicity import fit_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Largest shard in bytes of text.
+SHARD_BYTES = 32 << 20
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -30,20 +38,42 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return fit_toxicity(docs, table(spark, folder, "labels")).score(docs)
 
 
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_to_targets(table(spark, folder, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality_rules(table(spark, folder, "documents")).select("doc_id", *counts, "base_failed", "kept")
+
+
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = shards(table(spark, folder, "documents"), SHARD_BYTES, keep=["doc_id"])
+    return placed.select("row.doc_id", "bytes", "shard", "depth", "shard_bytes")
+
+
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return digest(secret_scan(table(spark, folder, "documents")))
+
+
 def op8_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("doc_key")
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return fit_language(docs).predict(docs)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_toxicity, op4_ngram_join, op8_tokens, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_mixing, op4_ngram_join, op5_quality_rules, op6_sharding, op7_secrets, op8_tokens, op9_decontamination, op10_language)}
 
 #: Words of the contracts in SQL: A-Z lowered, split on the six white-space bytes.
 WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w : w <> '')"
