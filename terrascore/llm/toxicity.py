@@ -113,7 +113,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     parts = [sampled(known.where(F.col("label") == k), "doc_id", settings.sample_rows // 2) for k in (0, 1)]
     texts = docs.where("text is not null").select("doc_id", "text")
-    sample = texts.join(parts[0].union(parts[1]), "doc_id").select("label", F.col("text").cast("string").alias("text"))
+    # at most about sample_rows ids and labels are broadcast
+    sample = texts.join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("label", F.col("text").cast("string").alias("text"))
     sample = scratch.store(sample.repartition(settings.sample_tasks), "sample")
     size = sample.agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).first()
     toxic = size.toxic or 0
