@@ -124,7 +124,8 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, settings: QualitySettings =
             found = [(np.flatnonzero(x).astype(np.int32), x[x > 0].astype(np.float32)) for x in histograms(batch.column("text"), settings)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))], names=["label", "ids", "values"])
 
-    rows = texts.join(chosen, "doc_id").select("label", "text").repartition(settings.sample_tasks)
+    # at most about sample_rows ids and labels are broadcast
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").repartition(settings.sample_tasks)
     rows = scratch.store(rows.mapInArrow(features, "label int, ids array<int>, values array<float>"), "features")
     taken = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     dims = 1 << settings.bits
