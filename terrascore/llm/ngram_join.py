@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from terrascore.llm.common import Scratch, WordHasher, mix, passes, utf8
 
 #: Shingles per shuffle bucket, sets per group and shingles per group that sizes are planned for.
-BUCKET_SHINGLES = 1_000_000
+BUCKET_SHINGLES = 2_000_000
 GROUP_SETS = 256
 GROUP_SHINGLES = 400_000
 #: Shingles an input task holds before it sends its blocks on.
@@ -107,12 +107,27 @@ def sets_of(docs: DataFrame, similarity: Similarity, id_col: str, text_col: str)
     return source.mapInArrow(keys, f"doc_id {kind}, text_key long, n_shingles long, set_key long")
 
 
-def _blocks(owner: np.ndarray, values: dict[str, np.ndarray], count: int) -> list[dict]:
-    """Rows that hold the entries of one owner each, owners being 0 .. count - 1."""
-    order = np.argsort(owner, kind="stable")
-    bounds = np.searchsorted(owner[order], np.arange(count + 1))
-    moved = {k: v[order] for k, v in values.items()}
-    return [{"bucket": i} | {k: v[a:b].tobytes() for k, v in moved.items()} for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if b > a]
+def _blocks(bucket: np.ndarray, owner: np.ndarray, sizes: np.ndarray, items: dict[str, np.ndarray]) -> list[dict]:
+    """One row per bucket: its owners in order, their sizes, how many items each has there, and the items.
+
+    The entries come in order of bucket and, within it, of owner. Counts take the narrowest type that holds them.
+    """
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    rows = []
+    for a, b in zip(edges.tolist(), np.append(edges[1:], len(bucket)).tolist()):
+        first = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
+        counts = np.diff(first, append=b - a)
+        kind = np.uint8 if counts.max() < 1 << 8 else np.uint16 if counts.max() < 1 << 16 else np.uint32
+        row = {"bucket": int(bucket[a]), "owners": owner[a:b][first].tobytes(), "owner_sizes": sizes[a:b][first].astype(np.uint32).tobytes(), "counts": counts.astype(kind).tobytes()}
+        rows.append(row | {k: v[a:b].tobytes() for k, v in items.items()})
+    return rows
+
+
+def _counts(table: pa.Table) -> np.ndarray:
+    """The counts of all rows, whose width follows from the number of owners."""
+    kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+    parts = [np.frombuffer(c, kinds[8 * len(c) // len(o)]).astype(np.int64) for c, o in zip(table.column("counts").to_pylist(), table.column("owners").to_pylist())]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def _bucket(x: np.ndarray, count: int) -> np.ndarray:
@@ -129,15 +144,8 @@ def postings(docs: DataFrame, similarity: Similarity, text_col: str, buckets: in
         owner = np.repeat(np.arange(len(keys)), sizes)
         bucket = _bucket(shingles, buckets)
         order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        shingles, owner = shingles[order], owner[order]
-        rows = []
-        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-            if b > a:
-                first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
-                who = owner[a:b][first]
-                counts = np.diff(first, append=b - a)
-                rows.append({"bucket": i, "owners": keys[who].tobytes(), "owner_sizes": sizes[who].astype(np.uint32).tobytes(), "counts": counts.astype(np.uint32).tobytes(), "shingles": shingles[a:b].tobytes()})
+        owner = owner[order]
+        rows = _blocks(bucket[order], keys[owner], sizes[owner], {"shingles": shingles[order]})
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,11 +176,11 @@ def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
 
 
 def shared_shingles(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Of each bucket the shingles that two or more sets have, with the number of these sets, as blocks by set."""
-    schema = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("owner_sizes", pa.binary()), ("shingles", pa.binary()), ("frequency", pa.binary())])
+    """Of each bucket the shingles that two or more sets have, as blocks by set, each with the logarithm of the number of these sets."""
+    schema = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("owner_sizes", pa.binary()), ("counts", pa.binary()), ("shingles", pa.binary()), ("frequency", pa.binary())])
 
     def reduce(table: pa.Table) -> pa.Table:
-        counts = _joined(table, "counts", np.uint32)
+        counts = _counts(table)
         shingles = _joined(table, "shingles", np.uint64)
         owners = np.repeat(_joined(table, "owners", np.uint64), counts)
         sizes = np.repeat(_joined(table, "owner_sizes", np.uint32), counts)
@@ -188,23 +196,25 @@ def shared_shingles(blocks: DataFrame, buckets: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])) if len(shingles) else np.zeros(0, np.int64)
         repeats = np.diff(first, append=len(shingles))
         frequency = np.repeat(repeats, repeats)
-        keep = frequency > 1
-        values = {"owners": owners[keep], "owner_sizes": sizes[keep], "shingles": shingles[keep], "frequency": frequency[keep].astype(np.uint32)}
-        return pa.Table.from_pylist(_blocks(_bucket(owners[keep], buckets), values, buckets), schema=schema)
+        keep = np.flatnonzero(frequency > 1)
+        keep = keep[np.argsort(owners[keep], kind="stable")]  # buckets of sets are ranges of their keys
+        items = {"shingles": shingles[keep], "frequency": (8 * np.log2(frequency[keep])).astype(np.uint8)}
+        return pa.Table.from_pylist(_blocks(_bucket(owners[keep], buckets), owners[keep], sizes[keep], items), schema=schema)
 
-    return blocks.groupBy("bucket").applyInArrow(reduce, "bucket int, owners binary, owner_sizes binary, shingles binary, frequency binary")
+    return blocks.groupBy("bucket").applyInArrow(reduce, "bucket int, owners binary, owner_sizes binary, counts binary, shingles binary, frequency binary")
 
 
 def candidates(blocks: DataFrame, similarity: Similarity) -> DataFrame:
-    """Sets with enough shared shingles to link with any other: (set_key, n, shingles, leading, anchor).
+    """Sets with enough shared shingles to link with any other: (set_key, n, shingles, n_leading, anchor).
 
-    ``leading`` are the shared shingles among the first of the set, rarest first; ``anchor`` is its most frequent shingle.
+    ``shingles`` are the shared ones, rarest first; the first ``n_leading`` are among the first of the set. The last is the anchor.
     """
-    schema = pa.schema([("set_key", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64())), ("leading", pa.list_(pa.int64())), ("anchor", pa.int64())])
+    schema = pa.schema([("set_key", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64())), ("n_leading", pa.int32()), ("anchor", pa.int64())])
 
     def reduce(table: pa.Table) -> pa.Table:
-        owners, sizes = _joined(table, "owners", np.uint64), _joined(table, "owner_sizes", np.uint32)
-        shingles, frequency = _joined(table, "shingles", np.uint64), _joined(table, "frequency", np.uint32)
+        counts = _counts(table)
+        owners, sizes = np.repeat(_joined(table, "owners", np.uint64), counts), np.repeat(_joined(table, "owner_sizes", np.uint32), counts)
+        shingles, frequency = _joined(table, "shingles", np.uint64), _joined(table, "frequency", np.uint8)
         order = np.lexsort((shingles, frequency, owners))
         owners, sizes, shingles = owners[order], sizes[order].astype(np.int64), shingles[order]
         first = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]])) if len(owners) else np.zeros(0, np.int64)
@@ -214,23 +224,28 @@ def candidates(blocks: DataFrame, similarity: Similarity) -> DataFrame:
         rows = []
         for i in np.flatnonzero(count >= least).tolist():
             own = _signed(shingles[first[i] : first[i] + count[i]])
-            leading = int(count[i] - least[i] + 1)  # the unshared ones come first and fill the rest of the prefix
-            rows.append({"set_key": int(owners[first[i]].view(np.int64)), "n": int(n[i]), "shingles": own, "leading": own[:leading], "anchor": int(own[-1])})
+            # the unshared ones come first of all and fill the rest of the prefix
+            rows.append({"set_key": int(owners[first[i]].view(np.int64)), "n": int(n[i]), "shingles": own, "n_leading": int(count[i] - least[i] + 1), "anchor": int(own[-1])})
         return pa.Table.from_pylist(rows, schema=schema)
 
-    return blocks.groupBy("bucket").applyInArrow(reduce, "set_key long, n long, shingles array<long>, leading array<long>, anchor long")
+    return blocks.groupBy("bucket").applyInArrow(reduce, "set_key long, n long, shingles array<long>, n_leading int, anchor long")
+
+
+def large_anchors(sets: DataFrame) -> DataFrame:
+    """(anchor, parts) of the anchors with too many sets or shingles for one group: at most one in GROUP_SETS sets."""
+    parts = F.ceil(F.greatest(F.count("*") / GROUP_SETS, F.sum(F.size("shingles")) / GROUP_SHINGLES)).alias("parts")
+    return sets.groupBy("anchor").agg(parts).where("parts > 1")
 
 
-def grouped(sets: DataFrame) -> DataFrame:
-    """Add the group of each set: its anchor, and a part number where an anchor has too many sets or shingles."""
-    sizes = sets.groupBy("anchor").agg(F.ceil(F.greatest(F.count("*") / GROUP_SETS, F.sum(F.size("shingles")) / GROUP_SHINGLES)).alias("parts"))
-    part = F.pmod(F.xxhash64("set_key"), F.col("parts"))
-    return sets.join(sizes, "anchor").withColumn("grp", F.xxhash64("anchor", part)).drop("anchor", "parts")
+def grouped(sets: DataFrame, large: DataFrame) -> DataFrame:
+    """Add the group of each set: its anchor, and a part number for large anchors."""
+    part = F.pmod(F.xxhash64("set_key"), F.coalesce("parts", F.lit(1)))
+    return sets.join(large, "anchor", "left").withColumn("grp", F.xxhash64("anchor", part)).drop("parts")
 
 
 def group_pairs(sets: DataFrame) -> DataFrame:
     """Pairs of groups (ga <= gb) in which a member of each leads with the same shingle, from the token-group matrix."""
-    matrix = sets.select(F.explode("leading").alias("shingle"), "grp").distinct()
+    matrix = sets.select(F.explode(F.slice("shingles", F.lit(1), F.col("n_leading"))).alias("shingle"), "grp").distinct()
     other = matrix.select("shingle", F.col("grp").alias("gb"))
     crossed = matrix.join(other, "shingle").where("grp < gb").select(F.col("grp").alias("ga"), "gb").distinct()
     own = sets.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
@@ -333,15 +348,17 @@ def ngram_join(docs: DataFrame, similarity: Similarity = Similarity(), id_col: s
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SHINGLES))
 
     shared = shared_shingles(postings(docs, similarity, text_col, buckets), buckets)
-    sets = scratch.store(candidates(shared, similarity).join(known.select("set_key", "copies"), "set_key"), "sets")
-    sets = scratch.store(grouped(sets), "groups")
-    pairs = scratch.store(group_pairs(sets), "pairs")
-    members = sets.select("grp", "set_key", "n", "copies", "shingles")
-    left = pairs.join(members, pairs.ga == members.grp).select("ga", "gb", F.lit(0).alias("side"), "set_key", "n", "copies", "shingles")
-    right = pairs.where("ga <> gb").join(members, pairs.gb == members.grp).select("ga", "gb", F.lit(1).alias("side"), "set_key", "n", "copies", "shingles")
-    opened = left.union(right).groupBy("ga", "gb").applyInArrow(lambda table: links_in(table, similarity), "set_key long, root long, links long")
+    sets = scratch.store(candidates(shared, similarity), "sets")
+    groups = grouped(sets, scratch.store(large_anchors(sets), "anchors"))
+    pairs = scratch.store(group_pairs(groups), "pairs")
+    # who meets in which pair is settled with keys alone; the shingles then move once to each meeting
+    members = groups.select("grp", "set_key")
+    left = pairs.join(members, pairs.ga == members.grp).select("ga", "gb", F.lit(0).alias("side"), "set_key")
+    right = pairs.where("ga <> gb").join(members, pairs.gb == members.grp).select("ga", "gb", F.lit(1).alias("side"), "set_key")
+    meetings = left.union(right).join(known.select("set_key", "copies"), "set_key").join(sets.select("set_key", "n", "shingles"), "set_key")
+    opened = meetings.groupBy("ga", "gb").applyInArrow(lambda table: links_in(table, similarity), "set_key long, root long, links long")
     links = scratch.store(opened, "links")
-    for name in ("sets", "groups", "pairs"):
+    for name in ("sets", "anchors", "pairs"):
         scratch.drop(name)
 
     roots = components(links.select(F.col("set_key").alias("u"), F.col("root").alias("v")), scratch)
