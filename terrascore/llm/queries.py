@@ -7,12 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrascore.llm.decontamination import leaks
+from terrascore.llm.decontamination import NAME, NUMBER, NUMBER_WORDS, PUNCTUATION, UNIT, UNITS, leaks
 from terrascore.llm.language import fit_language
 from terrascore.llm.mixing import mix_to_targets
 from terrascore.llm.ngram_join import ngram_join
 from terrascore.llm.quality import fit_quality, graded
-from terrascore.llm.rules import quality_rules
+from terrascore.llm.rules import STOP_WORDS, quality_rules
 from terrascore.llm.secrets import digest, secret_scan
 from terrascore.llm.sharding import shards
 from terrascore.llm.tokens import token_counts
@@ -91,4 +91,66 @@ SELECT sizes.doc_id, sizes.n AS n_shingles, min(r) AS component_id, any_value(co
 FROM sizes JOIN reach USING (doc_id) LEFT JOIN (SELECT x, count(*) AS links FROM links GROUP BY x) k ON k.x = sizes.doc_id GROUP BY ALL
 """
 
-ORACLES: dict[str, str] = {"op4_ngram_join": OP4}
+STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+OP5 = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x : x <> '') AS w,
+    list_filter(string_split(text, chr(10)), lambda x : regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+windows AS (SELECT doc_id, i, list_aggregate(w[i:i + 7], 'string_agg', ' ') AS g FROM p, unnest(range(1, len(w) - 6)) u(i)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 8) r(k) GROUP BY doc_id),
+m AS (SELECT p.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    coalesce(covered.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_filter(w, lambda x : lower(x) IN ({STOP}))) AS stops,
+    len(regexp_extract_all(text, '[A-Z]')) AS uppers, len(list_filter(l, lambda x : regexp_matches(x, '(\.\.\.|…)\s*$'))) AS dots,
+    len(list_filter(l, lambda x : regexp_matches(x, '^\s*[-*•]\s'))) AS bullets
+    FROM p LEFT JOIN covered USING (doc_id)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+    n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+    NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 20 * n_words AND n_symbols / n_words <= 0.1 AND stops / n_words >= 0.01
+    AND uppers / word_chars <= 0.5 AND n_dup_lines / n_lines <= 0.5 AND dots / n_lines <= 0.3 AND bullets / n_lines <= 0.9 AS kept
+FROM v
+"""
+
+OP6 = f"""
+WITH keys AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h,
+    coalesce(octet_length(encode(text)), 0) AS b FROM documents),
+levels AS (SELECT d::INTEGER AS d, h >> (60 - d) AS p, sum(b)::BIGINT AS s FROM keys, range(0, 61) r(d) GROUP BY ALL),
+first AS (SELECT k.doc_id, min(l.d) AS depth FROM keys k JOIN levels l ON l.p = k.h >> (60 - l.d) WHERE l.s <= {SHARD_BYTES} GROUP BY k.doc_id)
+SELECT k.doc_id, k.b::BIGINT AS bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(l.p), depth, '0') END || '.0' AS shard, depth, l.s AS shard_bytes
+FROM keys k JOIN first USING (doc_id) JOIN levels l ON l.d = depth AND l.p = k.h >> (60 - depth)
+"""
+
+SQL_PUNCTUATION = PUNCTUATION.replace("'", "''")
+
+
+def _template(words: str) -> str:
+    bare = f"trim(x, '{SQL_PUNCTUATION}')"
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
+    return rf"""list_transform({words}, lambda x, i : CASE WHEN regexp_matches(lower({bare}), '^[0-9][0-9.,/]*$') OR lower({bare}) IN ({listed(NUMBER_WORDS)}) THEN '{NUMBER}'
+    WHEN lower({bare}) IN ({listed(UNITS)}) THEN '{UNIT}'
+    WHEN {bare} <> lower({bare}) AND substr({bare}, 1, 1) <> lower(substr({bare}, 1, 1)) AND i > 1 AND NOT regexp_matches({words}[i - 1], '[.!?:]["'')»”’]*$') THEN '{NAME}'
+    ELSE lower({bare}) END)"""
+
+
+OP9 = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS w FROM benchmark),
+dt AS (SELECT doc_id, w, {_template('w')} AS t FROM d),
+bt AS (SELECT item_id, w, {_template('w')} AS t, least(len(w), 8) AS size FROM b WHERE len(w) > 0),
+dw AS (SELECT doc_id, i AS pos, size, list_aggregate(t[i:i + size - 1], 'string_agg', chr(1)) AS g FROM dt, (SELECT DISTINCT size FROM bt), unnest(range(1, len(t) - size + 2)) u(i)),
+bw AS (SELECT item_id, i AS place_at, size, list_aggregate(t[i:i + size - 1], 'string_agg', chr(1)) AS g FROM bt, unnest(range(1, len(t) - size + 2)) u(i)
+    WHERE 2 * len(list_filter(t[i:i + size - 1], lambda x : x IN ('{NUMBER}', '{UNIT}', '{NAME}'))) <= size),
+total AS (SELECT item_id, count(*) AS n FROM bw GROUP BY item_id),
+hits AS (SELECT DISTINCT doc_id, item_id, place_at, pos - place_at AS shift, size FROM dw JOIN bw USING (g, size)),
+places AS (SELECT DISTINCT doc_id, item_id, shift, place_at + k AS place FROM hits, unnest(range(0, size)) u(k)),
+slots AS (SELECT doc_id, item_id, shift, bt.t[place] AS word, trim(bt.w[place], '{SQL_PUNCTUATION}') AS raw, trim(dt.w[place + shift], '{SQL_PUNCTUATION}') AS value
+    FROM places JOIN bt USING (item_id) JOIN dt USING (doc_id) WHERE bt.t[place] IN ('{NUMBER}', '{UNIT}', '{NAME}')),
+wrong AS (SELECT DISTINCT doc_id, item_id, shift FROM slots GROUP BY doc_id, item_id, shift, word, raw HAVING min(value) <> max(value)),
+good AS (SELECT doc_id, item_id, count(DISTINCT place_at) AS n_matched FROM hits ANTI JOIN wrong USING (doc_id, item_id, shift) GROUP BY ALL)
+SELECT doc_id, item_id, n_matched, n AS n_windows, n_matched / n AS cover FROM good JOIN total USING (item_id) WHERE n_matched / n >= 0.5
+"""
+
+ORACLES: dict[str, str] = {"op4_ngram_join": OP4, "op5_quality_rules": OP5, "op6_sharding": OP6, "op9_decontamination": OP9}
