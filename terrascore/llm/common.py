@@ -54,11 +54,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def passes(offsets: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of rows with at most ``limit`` bytes together; a longer row stands alone."""
+def passes(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows with at most PASS_BYTES bytes together; a longer row stands alone."""
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = max(int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1, first + 1)
+        last = max(int(np.searchsorted(offsets, offsets[first] + PASS_BYTES, "right")) - 1, first + 1)
         yield first, min(last, n)
         first = min(last, n)
 
