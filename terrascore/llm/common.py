@@ -16,7 +16,7 @@ from terrascore.session import shared_folder
 #: Words are split on these bytes: space and \t \n \v \f \r.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text hashed in one numpy pass; bounds the memory of a pass, not the length of a text.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 
 
 class Scratch:
