@@ -35,8 +35,12 @@ def lookup_join(
     )
     matched = left.join(F.broadcast(hot), [F.col(k) == F.col(f"_hot_{k}") for k in keys], "left")
     is_hot = F.col("_hot_value").isNotNull()
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    # rows with a hot key have their value, rows without a key get none: both may go anywhere
     salted = matched.withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(SALTS)) + 1).otherwise(F.lit(0))
+        "_salt", F.when(is_hot | no_key, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(SALTS)) + 1).otherwise(F.lit(0))
     )
     cold = cold.withColumn("_cold_salt", F.lit(0).cast("bigint"))
     on = [F.col(k) == F.col(f"_cold_{k}") for k in keys] + [F.col("_salt") == F.col("_cold_salt")]

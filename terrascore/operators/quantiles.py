@@ -1,95 +1,43 @@
 """Exact quantiles that never hold a whole group in one task.
 
 The built-in percentile keeps every distinct value of a group in one buffer.
-Here equal values are counted first, a histogram per group finds the bin that
-holds each wanted rank, and only the rows of those bins are ordered.
+Here equal values are counted first, running counts over ranges of the values
+give the place of each, and a quantile picks the values at its two places.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrascore.session import materialize
+from terrascore.operators.ranking import running_counts
 
 
-def exact_quantiles(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    bins: int = 1024,
-    rounds: int = 1,
-    one_buffer_values: int = 200_000,
-) -> DataFrame:
-    """Per group: ``n_values`` and one column per entry of ``probs`` (linear interpolation).
-
-    More ``rounds`` split each chosen bin again, for very uneven values. While
-    all groups together hold at most ``one_buffer_values`` distinct values, the
-    built-in percentile is within bounds and the shorter plan.
-    """
-    keys = [f"_g{i}" for i in range(len(groups))] + ["_all"]
-    rows = materialize(
+def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Per group: ``n_values`` and one column per entry of ``probs`` (linear interpolation)."""
+    keys = [f"_q{i}" for i in range(len(groups))]
+    counted = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(*[F.col(g).alias(k) for g, k in zip(groups, keys)], F.lit(0).alias("_all"), F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n")),
-        "distinct-values",
-    )
-    if rows.count() <= one_buffer_values:
-        return rows.groupBy(*keys).agg(
-            F.sum("_n").alias("n_values"), *[F.percentile("_v", F.lit(float(p)), F.col("_n")).alias(name) for name, p in probs.items()]
-        ).select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], "n_values", *probs)
-    totals = materialize(
-        rows.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")),
-        "value-spans",
-    )
-    ranks = F.flatten(F.array(*[F.array(F.floor(_place(p)), F.ceil(_place(p))) for p in probs.values()]))
-    wanted = totals.select(*keys, F.explode(F.array_distinct(ranks)).alias("_rank")).withColumn("_left", F.col("_rank"))
-
-    path, spans = list(keys), totals.select(*keys, "_lo", "_hi")
-    for level in range(rounds):
-        share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-        bin_no = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
-        rows = _rejoin(rows, spans, path).withColumn(f"_b{level}", bin_no).drop("_lo", "_hi")
-        upto = Window.partitionBy(*path).orderBy(f"_b{level}").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        histogram = (
-            rows.groupBy(*path, f"_b{level}")
-            .agg(F.sum("_n").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-            .withColumn("_cum", F.sum("_rows").over(upto))
-        )
-        before = F.col("_cum") - F.col("_rows")
-        wanted = materialize(
-            _rejoin(histogram, wanted, path)
-            .filter((F.col("_left") < F.col("_cum")) & (F.col("_left") >= before))
-            .withColumn("_left", F.col("_left") - before)
-            .drop("_cum", "_rows"),
-            "quantile-bins",
-        )
-        path = path + [f"_b{level}"]
-        spans = wanted.select(*path, "_lo", "_hi").distinct()
-        wanted = wanted.drop("_lo", "_hi")
-        rows = _rejoin(rows, spans.drop("_lo", "_hi"), path)
-
-    upto = Window.partitionBy(*path).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hits = _rejoin(rows.withColumn("_cum", F.sum("_n").over(upto)), wanted, path).filter(
-        (F.col("_left") < F.col("_cum")) & (F.col("_left") >= F.col("_cum") - F.col("_n"))
+        .groupBy(*[F.col(g).alias(k) for g, k in zip(groups, keys)], F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    found = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
-    out = _rejoin(found, totals.select(*keys, "_total"), keys)
+    placed = running_counts(counted, keys, "_v")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("n")), F.col("_v")))
+
+    ends = []
+    for i, p in enumerate(probs.values()):
+        place = (F.col("_total") - 1) * F.lit(float(p))
+        ends += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}")]
+    found = placed.groupBy(*keys).agg(F.max("_total").alias("n_values"), *ends)
+    # an aggregate without groups has a row even for no values at all
+    found = found.filter(F.col("n_values").isNotNull())
     cols = []
-    for name, p in probs.items():
-        lo, hi = F.col("_at")[F.floor(_place(p))], F.col("_at")[F.ceil(_place(p))]
-        cols.append((lo + (hi - lo) * (_place(p) - F.floor(_place(p)))).alias(name))
-    return out.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], F.col("_total").alias("n_values"), *cols)
-
-
-def _place(p: float) -> Column:
-    return (F.col("_total") - 1) * F.lit(float(p))
-
-
-def _rejoin(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on null-safe keys, keeping one copy of them."""
-    renamed = right.withColumnsRenamed({k: f"{k}_r" for k in keys})
-    return left.join(renamed, [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys]).drop(*[f"{k}_r" for k in keys])
+    for i, (name, p) in enumerate(probs.items()):
+        place = (F.col("n_values") - 1) * F.lit(float(p))
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        cols.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (place - F.floor(place))).alias(name))
+    return found.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], "n_values", *cols)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,50 +11,41 @@ from terrascore.operators.joins import lookup_join
 from terrascore.session import materialize
 
 
-def value_ranks(df: DataFrame, score: str, bins: int = 512) -> DataFrame:
-    """``score, n, rank``: one row per distinct score, best first, ties share a rank.
+def running_counts(counted: DataFrame, groups: Sequence[str], value: str, descending: bool = False) -> DataFrame:
+    """Add ``_before``, the rows ahead of a value in its group, and ``_total``, all rows of the group.
 
-    Equal scores are counted before the shuffle. Approximate quantiles cut the
-    distinct scores into bins of about equal size, whatever their distribution;
-    a running total over the bins (at most ``bins`` rows) gives each bin its
-    offset, and the order inside a bin is settled by that bin's own task.
+    ``counted`` has one row per group and value with its number of rows ``n``; values are of any orderable type. The rows are dealt out by
+    ranges of (group, value), so a group of any size spreads over as many tasks as it needs; only one sum per group and range is ordered
+    as a whole.
     """
-    counted = materialize(
-        df.select(F.col(score).cast("double").alias("_score")).filter(F.col("_score").isNotNull()).groupBy("_score").agg(F.count(F.lit(1)).alias("n")),
-        "score-counts",
-    )
-    cuts = sorted(set(counted.approxQuantile("_score", [i / bins for i in range(1, bins)], 0.25 / bins)))
-    splits = [float("-inf"), *cuts, float("inf")]
-    binned = Bucketizer(splits=splits, inputCol="_score", outputCol="_bin").transform(counted) if cuts else counted.withColumn("_bin", F.lit(0.0))
-    better = Window.orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        binned.groupBy("_bin")
-        .agg(F.sum("n").alias("_rows"))
-        .select(F.col("_bin").alias("_off_bin"), F.coalesce(F.sum("_rows").over(better), F.lit(0)).alias("_offset"))
-    )
-    above = Window.partitionBy("_bin").orderBy(F.col("_score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return binned.join(F.broadcast(offsets), F.col("_bin") == F.col("_off_bin")).select(
-        F.col("_score").alias(score),
-        "n",
-        (F.col("_offset") + F.coalesce(F.sum("n").over(above), F.lit(0)) + 1).cast("bigint").alias("rank"),
-    )
-
-
-def competition_rank(
-    df: DataFrame, score: str, out: str = "rank", bins: int = 512, rows: int | None = None, one_task_rows: int = 200_000
-) -> DataFrame:
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    # stored with the number of the range: it is fixed from here on
+    ranged = materialize(counted.repartitionByRange(*groups, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    names = [f"_g{i}" for i in range(len(groups))]
+    sums = ranged.groupBy(*[F.col(g).alias(k) for g, k in zip(groups, names)], F.col("_range").alias("_at")).agg(F.sum("n").alias("_rows"))
+    earlier = Window.partitionBy(*names).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*names, "_at", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_ahead"), F.sum("_rows").over(Window.partitionBy(*names)).alias("_total"))
+    inside = Window.partitionBy(*groups, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    same = [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(groups, names)] + [F.col("_range") == F.col("_at")]
+    placed = ranged.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sums, same)
+    return placed.withColumn("_before", F.col("_ahead") + F.col("_inside")).select(*counted.columns, "_before", "_total")
+
+
+def value_ranks(df: DataFrame, score: str) -> DataFrame:
+    """``score, n, rank``: one row per distinct score that is not null, best first, ties share a rank."""
+    counted = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("n"))
+    return running_counts(counted, [], score, descending=True).select(score, "n", (F.col("_before") + 1).cast("bigint").alias("rank"))
+
+
+def competition_rank(df: DataFrame, score: str, out: str = "rank") -> DataFrame:
     """Add ``out`` = 1 + number of rows with a greater ``score``; null scores get null.
 
-    ``df`` is read twice, so hand over a materialised or cheap frame. ``rows``
-    is its row count when the caller knows it; up to ``one_task_rows`` a plain
-    window is the shorter plan.
+    ``df`` is read twice, so hand over a materialised or cheap frame. Scores compare as their type does: whole numbers exactly, nan
+    above all numbers.
     """
-    if rows is not None and rows <= one_task_rows:
-        place = F.rank().over(Window.orderBy(F.col(score).desc_nulls_last())).cast("bigint")
-        return df.withColumn(out, F.when(F.col(score).isNotNull(), place))
     key = "_rank_key"
     keyed = df.withColumn(key, F.col(score))
-    ranks = materialize(value_ranks(keyed, key, bins).withColumnRenamed("rank", out), "ranks")
+    ranks = materialize(value_ranks(keyed, key).withColumnRenamed("rank", out), "ranks")
     return lookup_join(keyed, ranks, [key], "n").drop(key)
 
 

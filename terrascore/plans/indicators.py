@@ -41,4 +41,4 @@ def first_index(
     if factors is None:
         factors = [r.code for r in matrix.top_factors(wide, kept, "population", n_factors).collect()]
     scored = matrix.index_v1(wide, sorted(factors)).withColumn("_rank", F.round("index_v1", 12))
-    return competition_rank(scored, "_rank", out="place", rows=wide.count()).drop("_rank")
+    return competition_rank(scored, "_rank", out="place").drop("_rank")

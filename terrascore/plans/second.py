@@ -46,7 +46,6 @@ def second_index(
 
 def rank_change(df: DataFrame, old: str, new: str) -> DataFrame:
     """Add ``rank_old``, ``rank_new`` and ``rank_change`` = old - new (up is positive)."""
-    n = df.count()
     keyed = df.withColumns({"_old": F.round(old, 12), "_new": F.round(new, 12)})
-    ranked = competition_rank(competition_rank(keyed, "_old", out="rank_old", rows=n), "_new", out="rank_new", rows=n)
+    ranked = competition_rank(competition_rank(keyed, "_old", out="rank_old"), "_new", out="rank_new")
     return ranked.withColumn("rank_change", F.col("rank_old") - F.col("rank_new")).drop("_old", "_new")

@@ -133,7 +133,7 @@ def poad_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = roles.indicator_facts(spark, sf_dir)
     # zero: always take the histogram path, whatever the size
-    medians = exact_quantiles(facts, ["code"], "value", {"median": 0.5}, one_buffer_values=0)
+    medians = exact_quantiles(facts, ["code"], "value", {"median": 0.5})
     spread = facts.groupBy("code").agg(
         round_half_up(F.avg("value"), 4).alias("mean"),
         F.min("value").alias("lowest"),
