@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +13,16 @@ from pyspark.sql.types import StructType
 from terrascore.functions.text import glob_regex
 from terrascore.operators.changes import last_wins
 
-# Type names that count as the same.
-TYPE_GROUPS = [
-    {"bigint", "bigserial", "int8"},
-    {"integer", "int", "int4", "serial"},
-    {"text", "varchar", "character varying", "character"},
-    {"timestamp with time zone", "timestamptz"},
-    {"timestamp without time zone", "timestamp"},
-    {"jsonb", "json"},
-    {"numeric", "decimal"},
-    {"date"},
-]
+# Type names that count as the same, by family.
+TYPE_FAMILIES = {
+    "int8": ("bigint", "bigserial", "int8"),
+    "int4": ("integer", "int", "int4", "serial"),
+    "text": ("text", "varchar", "character varying", "character"),
+    "timestamptz": ("timestamp with time zone", "timestamptz"),
+    "timestamp": ("timestamp without time zone", "timestamp"),
+    "json": ("jsonb", "json"),
+}
+FAMILY_OF = {alias: family for family, aliases in TYPE_FAMILIES.items() for alias in aliases}
 
 # Contract type name of each Spark type.
 SPARK_TYPES = {
@@ -74,11 +74,14 @@ def contract_type(spark_type: str) -> str:
     return spark_type.replace("decimal", "numeric") if spark_type.startswith("decimal") else SPARK_TYPES.get(spark_type, spark_type)
 
 
+def type_family(name: str) -> str:
+    """What a type name is compared by; a decimal of any precision is numeric."""
+    name = name.lower().strip()
+    return "numeric" if "numeric" in name or "decimal" in name else FAMILY_OF.get(name, name)
+
+
 def types_compatible(expected: str, actual: str) -> bool:
-    expected, actual = expected.lower().strip(), actual.lower().strip()
-    if expected == actual or any(expected in g and actual in g for g in TYPE_GROUPS):
-        return True
-    return any(w in expected for w in ("numeric", "decimal")) and any(w in actual for w in ("numeric", "decimal"))
+    return type_family(expected) == type_family(actual)
 
 
 def contract_check(schema: StructType | None, contract: Contract | None) -> ContractReport:
@@ -206,41 +209,50 @@ def fk_check(child: DataFrame, key: str, parent: DataFrame, parent_key: str) ->
 REGISTRY_TYPES = {"date": "date", "text": "string", "int": "int", "numeric(18,2)": "decimal(18,2)", "char(2)": "string", "char(3)": "string"}
 
 
+# Contracts whose table is not named after them.
+TABLE_NAMES = {"revenue_fact": "l1_gaming_revenue"}
+
+
 @dataclass(frozen=True)
 class TableContract:
+    """Declared columns and key of a curated table; ``key`` in the metadata is the name in the registry file."""
+
     name: str
-    columns: Mapping[str, str]
-    primary_key: Sequence[str] = ()
+    columns: Mapping[str, str] = field(default_factory=dict)
+    primary_key: Sequence[str] = field(default=(), metadata={"key": "pk"})
 
 
 @dataclass(frozen=True)
-class PlatformMapping:
+class FieldMapping:
+    """How one platform fills one table."""
+
     platform: str
     table: str
     source: str = ""
     dedupe_keys: Sequence[str] = ()
     late_arrivals_days: int = 0
-    fields: Mapping[str, str] = field(default_factory=dict)
-
-
-def registry_from_config(config: Mapping) -> tuple[dict[str, TableContract], dict[tuple[str, str], PlatformMapping]]:
-    """Table contracts and platform mappings from the parsed registry file."""
-    tables = {}
-    for name, spec in config.get("l1_contracts", {}).items():
-        table = "l1_gaming_revenue" if name == "revenue_fact" else f"l1_{name}"
-        types = {c: REGISTRY_TYPES.get(t, t) for c, t in spec.get("columns", {}).items()}
-        tables[table] = TableContract(table, types, tuple(spec.get("pk", ())))
-    mappings = {
-        (platform, table): PlatformMapping(
-            platform, table, m.get("source", ""), tuple(m.get("dedupe_keys", ())), int(m.get("late_arrivals_days", 0)), dict(m.get("map", {}))
-        )
-        for platform, entries in config.get("platform_mappings", {}).items()
-        for table, m in entries.items()
-    }
-    return tables, mappings
+    fields: Mapping[str, str] = field(default_factory=dict, metadata={"key": "map"})
+
+
+Bound = TypeVar("Bound")
+
+
+def bind(kind: type[Bound], entry: Mapping, **given: object) -> Bound:
+    """A dataclass from a mapping: each declared field by its name in the file, what is absent keeps its default."""
+    named = {f.name: f.metadata.get("key", f.name) for f in fields(kind)}
+    return kind(**given, **{name: entry[key] for name, key in named.items() if name not in given and entry.get(key) is not None})
+
+
+def read_registry(registry: Mapping) -> tuple[dict[str, TableContract], dict[tuple[str, str], FieldMapping]]:
+    """Table contracts by table, and field mappings by platform and table, of a parsed registry file."""
+    declared = [bind(TableContract, entry, name=TABLE_NAMES.get(name, f"l1_{name}")) for name, entry in registry.get("l1_contracts", {}).items()]
+    typed = [replace(t, columns={c: REGISTRY_TYPES.get(k, k) for c, k in t.columns.items()}) for t in declared]
+    by_platform = registry.get("platform_mappings", {})
+    mapped = [bind(FieldMapping, entry, platform=platform, table=table) for platform in by_platform for table, entry in by_platform[platform].items()]
+    return {t.name: t for t in typed}, {(m.platform, m.table): m for m in mapped}
 
 
-def apply_contract(df: DataFrame, table: TableContract, mapping: PlatformMapping, order: Sequence[str] = ()) -> DataFrame:
+def apply_contract(df: DataFrame, table: TableContract, mapping: FieldMapping, order: Sequence[str] = ()) -> DataFrame:
     """Rename by the field map, cast to the declared types, keep the last row per key.
 
     A value that does not fit its type becomes null; a column the source lacks is null.

@@ -7,9 +7,9 @@ built-in array and map functions; nothing is parsed per file on the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascore.functions.text import glob_regex, present, report_target
@@ -30,22 +30,31 @@ class FileRule:
     quotechar: str = '"'
 
 
-def rules_from_config(config: dict) -> list[FileRule]:
-    """Ordered rules from the parsed rule file."""
-    rules = []
-    for i, entry in enumerate(config.get("rules", []), 1):
-        csv = (entry.get("processing") or {}).get("csv_rules", {})
-        rules.append(
-            FileRule(
-                rule_id=entry.get("rule_id") or entry.get("id") or f"rule_{i}",
-                file_pattern=entry.get("file_pattern") or "*.csv",
-                sep=csv.get("sep") or csv.get("delimiter") or ",",
-                skip_rows=int(csv.get("skip_rows", 3)),
-                has_header=bool(csv.get("has_header", True)),
-                quotechar=csv.get("quotechar") or '"',
-            )
-        )
-    return rules
+#: Layout of a rule file.
+RULE_FILE = """rules array<struct<rule_id string, id string, file_pattern string,
+    processing struct<csv_rules struct<sep string, delimiter string, skip_rows int, has_header boolean, quotechar string>>>>"""
+
+
+def read_rules(spark: SparkSession, path: str) -> list[FileRule]:
+    """The rules of a JSON rule file in order; what an entry leaves out or empty has the default of ``FileRule``."""
+    listed = spark.read.schema(RULE_FILE).option("multiLine", True).json(path).select(F.posexplode("rules").alias("at", "r"))
+    given = {
+        "rule_id": [F.col("r.rule_id"), F.col("r.id"), F.concat(F.lit("rule_"), (F.col("at") + 1).cast("string"))],
+        "file_pattern": [F.col("r.file_pattern")],
+        "sep": [F.col("r.processing.csv_rules.sep"), F.col("r.processing.csv_rules.delimiter")],
+        "skip_rows": [F.col("r.processing.csv_rules.skip_rows")],
+        "has_header": [F.col("r.processing.csv_rules.has_header")],
+        "quotechar": [F.col("r.processing.csv_rules.quotechar")],
+    }
+    defaults = {f.name: f.default for f in fields(FileRule)}
+    kinds = {str: "string", int: "int", bool: "boolean"}
+    columns = []
+    for name, options in given.items():
+        if name != "rule_id":
+            options = [*options, F.lit(defaults[name])]
+        filled = [F.when(o.cast("string") != "", o) for o in options]
+        columns.append(F.coalesce(*filled).cast(kinds[type(defaults[name])] if name != "rule_id" else "string").alias(name))
+    return [FileRule(**r.asDict()) for r in listed.orderBy("at").select(*columns).collect()]
 
 
 def incremental_scan(l0: DataFrame, start: str | None = None, end: str | None = None, limit: int = 0) -> DataFrame:
@@ -87,12 +96,28 @@ _OBJECT = "map<string,string>"
 _NODES = "map<string,variant>"
 
 
-def payload_records(df: DataFrame, payload: Column, out: str, depth: int = 4) -> DataFrame:
+def object_depth(payload: Column) -> Column:
+    """How many braces are open at most, outside of quoted text: no object lies deeper."""
+    bare = F.regexp_replace(payload, r'"(?:[^"\\]|\\.)*"', "")
+    braces = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def step(acc: Column, brace: Column) -> Column:
+        now = acc["open"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
+        return F.struct(now.alias("open"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(braces, start, step, lambda acc: acc["most"])
+
+
+def payload_records(df: DataFrame, payload: Column, out: str) -> DataFrame:
     """Add ``out``: a JSON list gives its objects as records, an object one, anything else null.
 
-    Nested objects are flattened, their keys joined by dots, down to ``depth``.
-    The stages are columns of their own, so each is computed once per row.
+    Nested objects are flattened until none is left, their keys joined by dots; of a repeated key the last value counts. The depth is
+    that of the deepest payload, found in one pass. The stages are columns of their own, so each is computed once per row.
     """
+    # a repeated key is legal JSON
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    depth = df.agg(F.max(object_depth(payload))).first()[0] or 0
     staged = df.withColumn("_payload", payload).withColumn("_node", F.try_parse_json("_payload"))
     kind = F.schema_of_variant("_node")
     is_list, is_object = kind.startswith("ARRAY"), kind.startswith("OBJECT")
@@ -102,24 +127,29 @@ def payload_records(df: DataFrame, payload: Column, out: str, depth: int = 4) ->
             "_nodes": F.when(is_list, F.col("_node").try_cast("array<variant>")).when(is_object, F.array("_node")),
         }
     )
+    staged = staged.withColumn("_entries", F.transform(F.arrays_zip("_texts", "_nodes"), lambda p: _entries(F.lit(""), p["_texts"], p["_nodes"])))
+    for _ in range(depth - 1):
+        staged = staged.withColumn("_entries", F.transform("_entries", lambda entries: F.flatten(F.transform(entries, _unfold))))
+    records = F.transform("_entries", lambda entries: F.map_from_entries(F.transform(_last_of_each(entries), lambda e: F.struct(e["key"], e["text"]))))
+    clean = ~F.exists("_texts", lambda t: t.isNull())
+    return staged.withColumn(out, F.when(clean, records)).drop("_payload", "_node", "_texts", "_nodes", "_entries")
 
-    def record(p: Column) -> Column:
-        entries = _entries(F.lit(""), p["_texts"], p["_nodes"])
-        for _ in range(depth - 1):
-            entries = F.flatten(F.transform(entries, _unfold))
-        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["text"])))
 
-    records = F.transform(F.arrays_zip("_texts", "_nodes"), record)
-    clean = ~F.exists("_texts", lambda t: t.isNull())
-    return staged.withColumn(out, F.when(clean, records)).drop("_payload", "_node", "_texts", "_nodes")
+def _last_of_each(entries: Column) -> Column:
+    """One entry per key, where the key first stands, with its last value."""
+    keys = F.transform(entries, lambda e: e["key"])
+    firsts = F.array_distinct(keys)
+    last = F.transform(firsts, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1))
+    return F.when(F.size(firsts) == F.size(keys), entries).otherwise(last)
 
 
 def _entries(prefix: Column, texts: Column, node: Column) -> Column:
     """``(key, text, node)`` of one object in written order."""
     nodes = node.try_cast(_NODES)
+    written = F.transform(F.map_entries(texts), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("text")))
     return F.transform(
-        F.map_entries(texts),
-        lambda e: F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("text"), F.try_element_at(nodes, e["key"]).alias("node")),
+        _last_of_each(written),
+        lambda e: F.struct(F.concat(prefix, e["key"]).alias("key"), e["text"].alias("text"), F.try_element_at(nodes, e["key"]).alias("node")),
     )
 
 
@@ -160,7 +190,7 @@ def csv_records(df: DataFrame, text: Column, sep: Column, skip_rows: Column, has
     """Add ``out``: records of a CSV text, or null without any line.
 
     The preface is skipped, the header trimmed, short rows padded, empty cells
-    null. Lines, cells and header are columns of their own, so that each is
+    null, cells beyond the header kept as ``column_<number>``. Lines, cells and header are columns of their own, so that each is
     computed once per text and not once per record.
     """
     staged = df.withColumns({"_sep": sep, "_skip": skip_rows, "_head": has_header, "_quote": quote})
@@ -168,23 +198,37 @@ def csv_records(df: DataFrame, text: Column, sep: Column, skip_rows: Column, has
     body = F.slice("_lines", F.col("_skip") + 1, F.greatest(F.size("_lines") - F.col("_skip"), F.lit(0)))
     rows = F.transform(F.filter(body, lambda line: F.trim(line) != ""), lambda line: csv_cells(line, F.col("_sep"), F.col("_quote")))
     staged = staged.withColumn("_rows", rows).withColumn("_names", F.transform(F.get("_rows", F.lit(0)), lambda c: F.trim(c)))
-    numbered = F.transform("_names", lambda c, i: _numbered(F.col("_names"), c, i))
-    header = F.when(F.col("_head"), numbered).otherwise(F.transform("_names", lambda c, i: i.cast("string")))
+    header = F.when(F.col("_head"), free_names(F.col("_names"))).otherwise(F.transform("_names", lambda c, i: i.cast("string")))
     data = F.when(F.col("_head"), F.slice("_rows", F.lit(2), F.greatest(F.size("_rows") - 1, F.lit(0)))).otherwise(F.col("_rows"))
     staged = staged.withColumns({"_header": header, "_data": data})
-    record = F.transform(
-        "_data",
-        lambda cells: F.map_from_arrays(F.col("_header"), F.transform("_header", lambda _, i: present(F.get(cells, i)))),
-    )
-    return staged.withColumn(out, F.when(F.col("_header").isNotNull(), record)).drop(
+
+    def record(cells: Column) -> Column:
+        named = F.transform("_header", lambda name, i: F.struct(name.alias("key"), present(F.get(cells, i)).alias("value")))
+        beyond = F.slice(cells, F.size("_header") + 1, F.greatest(F.size(cells) - F.size("_header"), F.lit(0)))
+        spare = F.transform(beyond, lambda c, i: F.struct(_spare_name(i).alias("key"), present(c).alias("value")))
+        return F.map_from_entries(F.concat(named, F.filter(spare, lambda e: e["value"].isNotNull())))
+
+    return staged.withColumn(out, F.when(F.col("_header").isNotNull(), F.transform("_data", record))).drop(
         "_sep", "_skip", "_head", "_quote", "_lines", "_rows", "_names", "_header", "_data"
     )
 
 
-def _numbered(header: Column, name: Column, i: Column) -> Column:
-    """A repeated header name gets ``.1``, ``.2`` and so on."""
-    before = F.size(F.filter(F.slice(header, F.lit(1), i), lambda other: other == name))
-    return F.when(before > 0, F.concat(name, F.lit("."), before.cast("string"))).otherwise(name)
+def _spare_name(i: Column) -> Column:
+    """Name of the cell i places beyond the header: ``column_`` and its number, marked until no header has it."""
+    plain = F.concat(F.lit("column_"), (F.size("_header") + i + 1).cast("string"))
+    marked = F.transform(F.sequence(F.lit(0), F.size("_header")), lambda k: F.concat(plain, F.repeat(F.lit("+"), k)))
+    return F.get(F.filter(marked, lambda name: ~F.array_contains(F.col("_header"), name)), F.lit(0))
+
+
+def free_names(names: Column) -> Column:
+    """The names of a header; a repeated one gets the first of ``.1``, ``.2``, ... that is no other name."""
+
+    def add(done: Column, name: Column) -> Column:
+        numbered = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.concat(name, F.lit("."), k.cast("string")))
+        free = F.filter(numbered, lambda n: ~F.array_contains(done, n) & ~F.array_contains(names, n))
+        return F.concat(done, F.array(F.when(F.array_contains(done, name), F.get(free, F.lit(0))).otherwise(name)))
+
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(F.aggregate(names, F.array().cast("array<string>"), add))
 
 
 def preface_rows(text: Column) -> Column:
@@ -209,11 +253,11 @@ def explode_records(parsed: DataFrame, records: str = "records") -> DataFrame:
     return rows.filter(F.col("record").isNotNull())
 
 
-def with_records(matched: DataFrame, depth: int = 4) -> DataFrame:
+def with_records(matched: DataFrame) -> DataFrame:
     """Add ``records`` and ``columns``; CSV text counts only where the payload is unusable."""
     rule = F.col("rule")
     text = F.nullif(as_text(F.col("content"), matched.schema["content"].dataType.typeName()), F.lit(""))
-    parsed = payload_records(matched, F.col("payload"), "_json", depth)
+    parsed = payload_records(matched, F.col("payload"), "_json")
     text = F.when(F.col("_json").isNull(), text)
     read = csv_records(parsed, text, rule["sep"], rule["skip_rows"], rule["has_header"], rule["quotechar"], "_csv")
     out = read.withColumn("records", F.coalesce("_json", "_csv")).drop("_json", "_csv")
@@ -225,10 +269,10 @@ def record_columns(records: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(records, lambda r: F.map_keys(r))))
 
 
-def sniffed_records(l0: DataFrame, depth: int = 4) -> DataFrame:
+def sniffed_records(l0: DataFrame) -> DataFrame:
     """As ``with_records`` without rules: comma separated, preface length sniffed."""
     text = F.ltrim(as_text(F.col("content"), l0.schema["content"].dataType.typeName()))
-    parsed = payload_records(l0, F.trim(F.col("payload")), "_json", depth)
+    parsed = payload_records(l0, F.trim(F.col("payload")), "_json")
     text = F.when(F.col("_json").isNull(), text)
     read = csv_records(parsed, text, F.lit(","), preface_rows(text), F.lit(True), F.lit('"'), "_csv")
     out = read.withColumn("records", F.coalesce("_json", "_csv")).drop("_json", "_csv")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from terrascore.operators import curated
-from terrascore.operators.contracts import PlatformMapping
+from terrascore.operators.contracts import FieldMapping
 from terrascore.plans import curation
 from terrascore.session import materialize, shared_folder
 from terrascore.sources.landing import FileRule
@@ -26,7 +26,7 @@ def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: in
     return reader.parquet(folder)
 
 
-def stream_dedupe(stream: DataFrame, mapping: PlatformMapping, loaded: str = "ts") -> DataFrame:
+def stream_dedupe(stream: DataFrame, mapping: FieldMapping, loaded: str = "ts") -> DataFrame:
     """Drop repeats of the contract's dedupe keys that arrive within its late-arrival days.
 
     State is held per key and expires with the watermark, so it is bounded by

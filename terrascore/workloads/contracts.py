@@ -89,7 +89,7 @@ def fk_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TABLE = contracts.TableContract(
     "l1_revenue", {"customer": "bigint", "priority": "string", "period": "date", "amount": "decimal(18,2)", "status": "int"}, ("customer", "priority")
 )
-_MAPPING = contracts.PlatformMapping(
+_MAPPING = contracts.FieldMapping(
     "shop", "l1_revenue", "orders", ("customer", "priority"), 3, {"customer": "o_custkey", "priority": "o_orderpriority", "period": "o_orderdate", "amount": "o_totalprice", "status": "o_orderstatus"}
 )
 

@@ -6,14 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrascore.operators.contracts import PlatformMapping
+from terrascore.operators.contracts import FieldMapping
 from terrascore.plans import roles
 from terrascore.session import shared_folder
 from terrascore.streaming import loads
 from terrascore.workloads import register
 from terrascore.workloads.landing import _REVENUE, _SALES, L0
 
-_EVENTS = PlatformMapping("shop", "events", "events", dedupe_keys=("event_id",), late_arrivals_days=31)
+_EVENTS = FieldMapping("shop", "events", "events", dedupe_keys=("event_id",), late_arrivals_days=31)
 
 
 @register("stream_dedupe", "SELECT event_id, user_id, event_type, value FROM events")

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from terrascore.operators import changes, contracts
-from terrascore.operators.contracts import Contract, PlatformMapping, TableContract, contract_check
+from terrascore.operators.contracts import Contract, FieldMapping, TableContract, contract_check
 from terrascore.plans.platforms import CONTRACTS, CORE_COLUMNS
 from terrascore.sources import tables
 
@@ -101,7 +101,7 @@ def test_registry_projection(spark):
         "l1_contracts": {"revenue_fact": {"columns": {"day": "date", "amount": "numeric(18,2)", "land": "char(2)", "extra": "int"}, "pk": ["day", "land"]}},
         "platform_mappings": {"shop": {"revenue": {"source": "raw", "late_arrivals_days": 3, "map": {"day": "d", "amount": "usd", "land": "country"}}}},
     }
-    tables_, mappings = contracts.registry_from_config(config)
+    tables_, mappings = contracts.read_registry(config)
     df = spark.createDataFrame([("2024-01-01", "1.239", "NO", 1), ("2024-01-01", "oops", "NO", 2), ("x", "5", "SE", 3)], "d string, usd string, country string, n int")
     out = contracts.apply_contract(df, tables_["l1_gaming_revenue"], mappings[("shop", "revenue")], ["n"])
     assert dict(out.dtypes) == {"day": "date", "amount": "decimal(18,2)", "land": "string", "extra": "int"}

@@ -33,9 +33,11 @@ def test_first_fitting_rule_wins_any_case(spark):
     assert [r.target for r in out] == ["sales", "sales", "revenue", None, None]
 
 
-def test_rules_from_config_fill_defaults():
+def test_rule_file_fills_defaults(spark, tmp_path):
     config = {"rules": [{"rule_id": "a", "file_pattern": "a*", "processing": {"csv_rules": {"delimiter": ";", "skip_rows": 0}}}, {"id": "b"}, {}]}
-    rules = landing.rules_from_config(config)
+    path = tmp_path / "rules.json"
+    path.write_text(json.dumps(config, indent=1))
+    rules = landing.read_rules(spark, str(path))
     assert [(r.rule_id, r.file_pattern, r.sep, r.skip_rows) for r in rules] == [("a", "a*", ";", 0), ("b", "*.csv", ",", 3), ("rule_3", "*.csv", ",", 3)]
 
 
@@ -60,6 +62,23 @@ def test_json_payload_forms(spark):
     assert out[8] == [{"raw": '{"k": 1}'}]
 
 
+def test_objects_of_any_depth_and_repeated_keys(spark):
+    payloads = ['{"a":{"b":{"c":{"d":{"e":{"f":1}}}}}}', '{"a":1,"b":0,"a":2}', '{"a.b":1,"a":{"b":2}}', '{"a":2,"a":{"x":1}}', '{"a":{"x":1},"a":2}', '{"t":"{{{ \\" {"}']
+    out = records(landing.payload_records(rows(spark, *[{"payload": p} for p in payloads]), F.col("payload"), "records"))
+    assert out == [[{"a.b.c.d.e.f": "1"}], [{"a": "2", "b": "0"}], [{"a.b": "2"}], [{"a.x": "1"}], [{"a": "2"}], [{"t": '{{{ " {'}]]
+
+
+def test_header_names_are_free_and_long_rows_whole(spark):
+    rule = FileRule("r", "*", skip_rows=0)
+    contents = ["a,a,a.1\n1,2,3\n", "a,b\n1,2,3\n4,5,\n", "a,column_3\n1,2,3\n"]
+    df = landing.match_rule(rows(spark, *[{"file_name": "x", "content": c} for c in contents]), [rule])
+    assert records(landing.with_records(df)) == [
+        [{"a": "1", "a.2": "2", "a.1": "3"}],
+        [{"a": "1", "b": "2", "column_3": "3"}, {"a": "4", "b": "5"}],
+        [{"a": "1", "column_3": "2", "column_3+": "3"}],
+    ]
+
+
 def test_csv_with_quotes_breaks_and_ragged_rows(spark):
     content = 'title\r\nname , qty,name\r\n"a, ""b""",1,x\r\n\r\n"two\nlines",2\r\nNA,,y,extra\r\n'
     df = rows(spark, {"file_name": "s_1.csv", "content": content})
@@ -67,7 +86,7 @@ def test_csv_with_quotes_breaks_and_ragged_rows(spark):
     assert out == [
         {"name": 'a, "b"', "qty": "1", "name.1": "x"},
         {"name": "two\nlines", "qty": "2", "name.1": None},
-        {"name": None, "qty": None, "name.1": "y"},
+        {"name": None, "qty": None, "name.1": "y", "column_4": "extra"},
     ]
 
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrascore.operators import learning, matrix, summaries
-from terrascore.operators.contracts import PlatformMapping
+from terrascore.operators.contracts import FieldMapping
 from terrascore.plans import indicators, typology
 from terrascore.session import materialize
 from terrascore.sources.landing import FileRule
@@ -143,7 +143,7 @@ def test_late_repeats_are_dropped_within_the_allowance(spark, tmp_path):
     events(spark, tmp_path, 2, ["(1, '2024-01-02', 1, 'a', 1, '{}')", "(3, '2024-01-20', 1, 'a', 1, '{}')"])
     events(spark, tmp_path, 3, ["(4, '2024-01-21', 1, 'a', 1, '{}')", "(1, '2024-01-02', 1, 'a', 1, '{}')"])
     events(spark, tmp_path, 4, ["(2, '2024-01-22', 1, 'a', 1, '{}')"])
-    mapping = PlatformMapping("p", "events", dedupe_keys=("event_id",), late_arrivals_days=3)
+    mapping = FieldMapping("p", "events", dedupe_keys=("event_id",), late_arrivals_days=3)
     stream = loads.read_stream(spark, str(tmp_path), "events", files_per_batch=1)
     out = loads.run_to_table(loads.stream_dedupe(stream, mapping).select("event_id"), "late")
     # the second 2 comes long after the first one's allowance, so it counts as new
