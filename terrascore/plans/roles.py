@@ -66,41 +66,28 @@ def territories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four flags; every fifth entity has no row."""
-    return (
-        scan(spark, sf_dir, "customer")
-        .filter(F.col("c_custkey") % 5 != 4)
-        .select(
-            F.col("c_custkey").alias("entity_id"),
-            (F.col("c_nationkey") % 3 == 0).alias("is_zone"),
-            (F.col("c_custkey") % 7 == 0).alias("is_remote"),
-            (F.col("c_custkey") % 10 == 0).alias("is_special"),
-            (F.col("c_custkey") % 4 == 1).alias("is_suburb"),
-        )
+    """Four flags."""
+    return scan(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("entity_id"),
+        (F.col("c_nationkey") % 3 == 0).alias("is_zone"),
+        (F.col("c_custkey") % 7 == 0).alias("is_remote"),
+        (F.col("c_custkey") % 10 == 0).alias("is_special"),
+        (F.col("c_custkey") % 4 == 1).alias("is_suburb"),
     )
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        scan(spark, sf_dir, "customer")
-        .filter(F.col("c_custkey") % 11 != 0)
-        .select(F.col("c_custkey").alias("entity_id"), ((F.col("c_acctbal") + 1000) / 11000).alias("quality_scaled"))
-    )
+    return scan(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), ((F.col("c_acctbal") + 1000) / 11000).alias("quality_scaled"))
 
 
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        scan(spark, sf_dir, "customer")
-        .filter(F.col("c_custkey") % 13 != 0)
-        .select(F.col("c_custkey").alias("entity_id"), ((F.col("c_custkey") * 17 % 101) / F.lit(100.0)).alias("access_scaled"))
-    )
+    return scan(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), ((F.col("c_custkey") * 17 % 101) / F.lit(100.0)).alias("access_scaled"))
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Market access per territory; every seventh territory has none."""
+    """Market access per territory."""
     return (
         scan(spark, sf_dir, "supplier")
-        .filter(F.col("s_nationkey") % 7 != 0)
         .groupBy(F.col("s_nationkey").cast("string").alias("territory_id"))
         .agg(F.sum("s_acctbal").alias("market_access"))
         .withColumn("year", F.lit(INDEX_YEAR))
@@ -144,14 +131,10 @@ def daily_means(daily: DataFrame) -> DataFrame:
 
 
 def mobility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        scan(spark, sf_dir, "nation")
-        .filter(F.col("n_nationkey") % 6 != 5)
-        .select(
-            F.concat(F.lit("  "), F.col("n_name"), F.lit(" ")).alias("territory_label"),
-            F.lit(INDEX_YEAR).alias("year"),
-            (F.col("n_nationkey") * 3 % 11).cast("double").alias("mobility_km"),
-        )
+    return scan(spark, sf_dir, "nation").select(
+        F.concat(F.lit("  "), F.col("n_name"), F.lit(" ")).alias("territory_label"),
+        F.lit(INDEX_YEAR).alias("year"),
+        (F.col("n_nationkey") * 3 % 11).cast("double").alias("mobility_km"),
     )
 
 
@@ -192,12 +175,11 @@ def category_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category dictionary, stored so that its size is known; one category has no entry."""
+    """Category dictionary, stored so that its size is known."""
     return materialize(
         scan(spark, sf_dir, "orders")
         .select(F.col("o_orderpriority").alias("category_name"))
         .distinct()
-        .filter(F.col("category_name") != "5-LOW")
         .select("category_name", F.concat(F.lit("Priority "), "category_name").alias("description")),
         "categories",
     )
@@ -233,15 +215,14 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``entity_id, entity_name, size, lat, lon``; some places have no coordinates."""
+    """``entity_id, entity_name, size, lat, lon``."""
     key = F.col("s_suppkey")
-    known = key % 17 != 3
     return scan(spark, sf_dir, "supplier").select(
         key.alias("entity_id"),
         F.col("s_name").alias("entity_name"),
         F.col("s_acctbal").alias("size"),
-        F.when(known, F.lit(50.0) + (key * 37 % 300) / F.lit(10.0)).alias("lat"),
-        F.when(known, F.lit(30.0) + (key * 53 % 1500) / F.lit(10.0)).alias("lon"),
+        (F.lit(50.0) + (key * 37 % 300) / F.lit(10.0)).alias("lat"),
+        (F.lit(30.0) + (key * 53 % 1500) / F.lit(10.0)).alias("lon"),
     )
 
 

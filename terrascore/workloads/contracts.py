@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrascore.functions.numbers import round_half_up
 from terrascore.operators import contracts
 from terrascore.plans import roles
+from terrascore.plans.composite import IndexSettings
 from terrascore.session import materialize
 from terrascore.workloads import register
 from terrascore.workloads.index import index_frame
@@ -61,12 +62,12 @@ def rule_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "rule_quarantine",
-    """SELECT event_id, 'type follows s*' || CASE WHEN event_type <> 'click' THEN ',type is click' ELSE '' END AS broken FROM events WHERE event_type NOT LIKE 's%'
-    UNION ALL SELECT event_id, 'type is click' FROM events WHERE event_type LIKE 's%'""",
+    """SELECT event_id, concat_ws(',', CASE WHEN NOT coalesce(json_exists(props, '$.k'), false) THEN 'payload has k' END,
+      CASE WHEN NOT coalesce(json_exists(props, '$.country'), false) THEN 'payload has country' END,
+      CASE WHEN event_type NOT LIKE 's%' THEN 'type follows s*' END, CASE WHEN event_type <> 'click' THEN 'type is click' END) AS broken FROM events""",
 )
 def rule_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = {k: v for k, v in _rules().items() if not k.startswith("payload")}
-    out = contracts.quarantine(roles.scan(spark, sf_dir, "events"), rules)
+    out = contracts.quarantine(roles.scan(spark, sf_dir, "events"), _rules())
     return out.select("event_id", F.array_join("broken_rules", ",").alias("broken"))
 
 
@@ -108,23 +109,22 @@ def apply_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "reconcile",
     f"""{INDEX}, again AS (SELECT entity_id, {rnd('0.35 * quality_score + 0.20 * market_score + 0.15 * consumption_score + 0.15 * access_score + 0.10 * climate_score + 0.05 * mobility_score', 4)} AS s,
-      {rnd('index_score * 100', 2)} AS s100 FROM index_view WHERE entity_id % 50 <> 7),
+      {rnd('(0.35 * quality_score + 0.20 * market_score + 0.15 * consumption_score + 0.15 * access_score + 0.10 * climate_score + 0.05 * mobility_score) * 100', 2)} AS s100 FROM index_view),
     j AS (SELECT i.*, again.s, again.s100, again.entity_id AS other FROM index_view i LEFT JOIN again USING (entity_id))
     SELECT 'index_score' AS column_name, count(other) AS compared, count(*) - count(other) AS only_stored, 0::BIGINT AS only_recomputed,
-      count(*) FILTER (abs(index_score - s) > 0.00011) AS beyond, count(*) - count(index_score) AS nulls, 0::BIGINT AS out_of_range FROM j
-    UNION ALL SELECT 'index_score_100', count(other), count(*) - count(other), 0, count(*) FILTER (abs(index_score_100 - s100) > 0.0101),
-      count(*) - count(index_score_100), count(*) FILTER (index_score_100 < 0 OR index_score_100 > 55) FROM j""",
+      count(*) FILTER (abs(index_score - s) > 0.0001) AS beyond, count(*) - count(index_score) AS nulls, 0::BIGINT AS out_of_range FROM j
+    UNION ALL SELECT 'index_score_100', count(other), count(*) - count(other), 0, count(*) FILTER (abs(index_score_100 - s100) > 0.01),
+      count(*) - count(index_score_100), count(*) FILTER (index_score_100 < 0 OR index_score_100 > 100) FROM j""",
 )
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = materialize(index_frame(spark, sf_dir), "index")
-    weights = {"quality": 0.35, "market": 0.20, "consumption": 0.15, "access": 0.15, "climate": 0.10, "mobility": 0.05}
     total = F.lit(0.0)
-    for c, w in weights.items():
+    for c, w in IndexSettings().weights.items():
         total = total + F.lit(w) * F.col(f"{c}_score")
-    again = index.filter(F.col("entity_id") % 50 != 7).select(
-        "entity_id", round_half_up(total, 4).alias("index_score"), round_half_up(F.col("index_score") * 100, 2).alias("index_score_100")
+    again = index.select(
+        "entity_id", round_half_up(total, 4).alias("index_score"), round_half_up(total * 100, 2).alias("index_score_100")
     )
-    return contracts.reconcile(index, again, "entity_id", {"index_score": 0.00011, "index_score_100": 0.0101}, {"index_score_100": 55.0})
+    return contracts.reconcile(index, again, "entity_id", {"index_score": 0.0001, "index_score_100": 0.01}, {"index_score_100": 100.0})
 
 
 @register(

@@ -50,7 +50,7 @@ def entity_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     "name_key_join",
     f"""WITH {ENTITIES}, mobility AS (
       SELECT lower(trim('  ' || n_name || ' ')) AS territory_key, avg(CAST(n_nationkey * 3 % 11 AS DOUBLE)) AS mobility_raw
-      FROM nation WHERE n_nationkey % 6 <> 5 GROUP BY 1)
+      FROM nation GROUP BY 1)
     SELECT entity_id, territory_key, mobility_raw FROM entities LEFT JOIN mobility USING (territory_key)""",
 )
 def name_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,14 +64,20 @@ def payload_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     "payload_flatten",
     f"""WITH {L0}, cells AS (
       SELECT id, 0 AS record_no, 'country' AS key, ' ' || land || ' ' AS value FROM l0 WHERE shape = 1
-      UNION ALL SELECT id, 0, 'detail.units_sold', CAST(CAST(units AS INT) AS VARCHAR) FROM l0 WHERE shape = 1)
+      UNION ALL SELECT id, 0, 'detail.units_sold', CAST(CAST(units AS INT) AS VARCHAR) FROM l0 WHERE shape = 1
+      UNION ALL SELECT id, 0, 'gross_usd', CAST(money AS VARCHAR) FROM l0 WHERE shape = 1
+      UNION ALL SELECT id, 0, 'Country', land FROM l0 WHERE shape = 0
+      UNION ALL SELECT id, 0, 'Units', CAST(CAST(units AS INT) AS VARCHAR) FROM l0 WHERE shape = 0
+      UNION ALL SELECT id, 0, 'Gross Revenue (USD)', '$' || printf('%.2f', money) FROM l0 WHERE shape = 0
+      UNION ALL SELECT id, 1, 'Country', '' FROM l0 WHERE shape = 0
+      UNION ALL SELECT id, 1, 'Units', NULL FROM l0 WHERE shape = 0
+      UNION ALL SELECT id, 2, 'Country', land2 FROM l0 WHERE shape = 0
+      UNION ALL SELECT id, 2, 'Units', 'n/a' FROM l0 WHERE shape = 0)
     SELECT * FROM cells""",
 )
 def payload_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = roles.landing_rows(spark, sf_dir).filter(F.col("payload").startswith("{"))
-    parsed = landing.payload_records(rows, F.col("payload"), "records")
-    cells = landing.explode_records(parsed).select("id", "record_no", F.explode("record").alias("key", "value"))
-    return cells.filter(F.col("key") != "gross_usd")
+    parsed = landing.payload_records(roles.landing_rows(spark, sf_dir), F.col("payload"), "records")
+    return landing.explode_records(parsed).select("id", "record_no", F.explode("record").alias("key", "value"))
 
 
 @register(
@@ -209,10 +215,10 @@ def l0_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT id, 2, 'country', land2 FROM l0 WHERE shape = 0
       UNION ALL SELECT id, 0, 'units', CAST(CAST(units AS INT) AS VARCHAR) FROM l0 WHERE shape < 3
       UNION ALL SELECT id, 1, 'units', '7' FROM l0 WHERE shape = 2
-      UNION ALL SELECT id, 2, 'units', 'n/a' FROM l0 WHERE shape = 0),
+      UNION ALL SELECT id, 2, 'units', 'n/a' FROM l0 WHERE shape = 0
+      UNION ALL SELECT id, 0, 'revenue', CASE shape WHEN 0 THEN '$' || printf('%.2f', money) WHEN 1 THEN printf('%.2f', money) ELSE '$1,' || CAST(units AS INT) || '.50' END FROM l0 WHERE shape < 3),
     placed AS (SELECT 'sales' AS kind, role, row_number() OVER (PARTITION BY role ORDER BY id, n) AS place, example FROM cells)
     SELECT * FROM placed WHERE place <= 3""",
 )
 def role_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = curated.role_examples(curation.profile(roles.landing_rows(spark, sf_dir)))
-    return out.filter(F.col("role") != "revenue")
+    return curated.role_examples(curation.profile(roles.landing_rows(spark, sf_dir)))

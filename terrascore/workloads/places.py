@@ -17,8 +17,8 @@ from terrascore.workloads.sql import rnd
 PLACES = """
 places AS (
   SELECT s_suppkey AS entity_id, s_name AS entity_name, s_acctbal AS size,
-         CASE WHEN s_suppkey % 17 <> 3 THEN 50.0::DOUBLE + (s_suppkey * 37 % 300) / 10.0::DOUBLE END AS lat,
-         CASE WHEN s_suppkey % 17 <> 3 THEN 30.0::DOUBLE + (s_suppkey * 53 % 1500) / 10.0::DOUBLE END AS lon
+         50.0::DOUBLE + (s_suppkey * 37 % 300) / 10.0::DOUBLE AS lat,
+         30.0::DOUBLE + (s_suppkey * 53 % 1500) / 10.0::DOUBLE AS lon
   FROM supplier
 ),
 hubs AS (

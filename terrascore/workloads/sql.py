@@ -20,13 +20,13 @@ ATTRIBUTES = """
 attributes AS (
   SELECT c_custkey AS entity_id, c_nationkey % 3 = 0 AS is_zone, c_custkey % 7 = 0 AS is_remote,
          c_custkey % 10 = 0 AS is_special, c_custkey % 4 = 1 AS is_suburb
-  FROM customer WHERE c_custkey % 5 <> 4
+  FROM customer
 )"""
 
 MARKET = """
 market AS (
   SELECT CAST(s_nationkey AS VARCHAR) AS territory_id, sum(s_acctbal) AS market_access
-  FROM supplier WHERE s_nationkey % 7 <> 0 GROUP BY 1
+  FROM supplier GROUP BY 1
 )"""
 
 CLIMATE = """
@@ -58,7 +58,7 @@ SCORED = f"""
 WITH {ENTITIES}, {ATTRIBUTES}, {MARKET}, {CLIMATE},
 mobility AS (
   SELECT lower(trim('  ' || n_name || ' ')) AS territory_key, avg(CAST(n_nationkey * 3 % 11 AS DOUBLE)) AS mobility_km
-  FROM nation WHERE n_nationkey % 6 <> 5 GROUP BY 1
+  FROM nation GROUP BY 1
 ),
 spending AS (
   SELECT o_custkey AS entity_id, avg(o_totalprice) AS consumption FROM orders
@@ -66,8 +66,8 @@ spending AS (
 ),
 raw AS (
   SELECT e.*, market_access, consumption, mobility_km,
-         CASE WHEN c_custkey % 11 <> 0 THEN (c_acctbal + 1000) / 11000 END AS quality_scaled,
-         CASE WHEN c_custkey % 13 <> 0 THEN (c_custkey * 17 % 101) / 100.0 END::DOUBLE AS access_scaled,
+         (c_acctbal + 1000) / 11000 AS quality_scaled,
+         ((c_custkey * 17 % 101) / 100.0)::DOUBLE AS access_scaled,
          temp_mean, temp_winter, temp_summer, temp_amplitude, degree_days,
          coalesce(is_zone, false) AS is_zone, coalesce(is_remote, false) AS is_remote,
          coalesce(is_special, false) AS is_special, coalesce(is_suburb, false) AS is_suburb,

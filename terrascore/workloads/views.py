@@ -27,10 +27,10 @@ series AS (
       SELECT territory_id, avg(consumption) AS m FROM series
       WHERE category = '1-URGENT' AND date BETWEEN DATE '1996-07-01' AND DATE '1996-12-31' GROUP BY 1)
     SELECT c_custkey AS entity_id, {rnd('m', 4)} AS consumption_avg
-    FROM customer LEFT JOIN means ON territory_id = CAST(c_nationkey AS VARCHAR) AND c_nationkey % 4 <> 3""",
+    FROM customer LEFT JOIN means ON territory_id = CAST(c_nationkey AS VARCHAR)""",
 )
 def consumption_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = roles.category_series(spark, sf_dir).filter(F.col("territory_id").cast("int") % 4 != 3)
+    known = roles.category_series(spark, sf_dir)
     means = materialize(composite.consumption_mean(known, "territory_id", roles.HALF_YEAR, category="1-URGENT"), "means")
     return (
         roles.settlements(spark, sf_dir)
@@ -54,7 +54,7 @@ def category_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "latest_month",
     f"""WITH {SERIES} SELECT territory_id, date, category, {rnd('consumption', 4)} AS consumption, 'Priority ' || category AS category_description
-    FROM series WHERE date = (SELECT max(date) FROM series) AND category <> '5-LOW'""",
+    FROM series WHERE date = (SELECT max(date) FROM series)""",
 )
 def latest_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = series.latest_month(roles.category_series(spark, sf_dir), roles.categories(spark, sf_dir))
@@ -111,12 +111,12 @@ def latest_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "territory_crosswalk",
     """WITH mapping AS (SELECT CAST(n_nationkey AS VARCHAR) AS territory_id, 'T-' || lpad(CAST(n_nationkey * 1000 AS VARCHAR), 8, '0') AS code
-      FROM nation WHERE n_nationkey % 5 <> 0)
+      FROM nation)
     SELECT c_custkey AS entity_id, CAST(c_nationkey AS VARCHAR) AS territory_id, code, code IS NOT NULL AS matched
     FROM customer LEFT JOIN mapping ON territory_id = CAST(c_nationkey AS VARCHAR)""",
 )
 def territory_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = roles.scan(spark, sf_dir, "nation").filter(F.col("n_nationkey") % 5 != 0)
+    nation = roles.scan(spark, sf_dir, "nation")
     mapping = nation.select(
         F.col("n_nationkey").cast("string").alias("territory_id"),
         F.concat(F.lit("T-"), F.lpad((F.col("n_nationkey") * 1000).cast("string"), 8, "0")).alias("code"),
