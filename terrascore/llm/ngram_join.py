@@ -207,7 +207,8 @@ def shared_shingles(blocks: DataFrame, buckets: int) -> DataFrame:
 def candidates(blocks: DataFrame, similarity: Similarity) -> DataFrame:
     """Sets with enough shared shingles to link with any other: (set_key, n, shingles, n_leading, anchor).
 
-    ``shingles`` are the shared ones, rarest first; the first ``n_leading`` are among the first of the set. The last is the anchor.
+    ``shingles`` are the shared ones, rarest first; the first ``n_leading`` are among the first of the set. The anchor is the smallest hash
+    of them, which similar sets have in common with the probability of their similarity, and sets with a mere passage in common seldom.
     """
     schema = pa.schema([("set_key", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64())), ("n_leading", pa.int32()), ("anchor", pa.int64())])
 
@@ -225,7 +226,7 @@ def candidates(blocks: DataFrame, similarity: Similarity) -> DataFrame:
         for i in np.flatnonzero(count >= least).tolist():
             own = _signed(shingles[first[i] : first[i] + count[i]])
             # the unshared ones come first of all and fill the rest of the prefix
-            rows.append({"set_key": int(owners[first[i]].view(np.int64)), "n": int(n[i]), "shingles": own, "n_leading": int(count[i] - least[i] + 1), "anchor": int(own[-1])})
+            rows.append({"set_key": int(owners[first[i]].view(np.int64)), "n": int(n[i]), "shingles": own, "n_leading": int(count[i] - least[i] + 1), "anchor": int(own.min())})
         return pa.Table.from_pylist(rows, schema=schema)
 
     return blocks.groupBy("bucket").applyInArrow(reduce, "set_key long, n long, shingles array<long>, n_leading int, anchor long")
