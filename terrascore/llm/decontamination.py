@@ -47,17 +47,27 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def template_word(words: str, word: Column, i: Column) -> Column:
-    """The template word of one word; ``words`` names the array column it stands in."""
-    bare = F.btrim(word, F.lit(PUNCTUATION))
-    low = F.lower(bare)
-    first = F.substring(bare, 1, 1)
+def bare_word(word: Column) -> Column:
+    return F.btrim(word, F.lit(PUNCTUATION))
+
+
+def low_words(words: str) -> Column:
+    """The words of an array column stripped and lowered; a column of its own, so that it is computed once per word."""
+    return F.transform(words, lambda w: F.lower(bare_word(w)))
+
+
+def template_word(words: str, low: Column, i: Column) -> Column:
+    """The template word of the word at ``i`` of the array column ``words``; ``low`` is its stripped and lowered form.
+
+    Most words fail the first test of every branch, which is a plain comparison.
+    """
+    raw = F.get(F.col(words), i)
+    first = F.substring(bare_word(raw), 1, 1)
     inside = (i > 0) & ~F.get(F.col(words), i - 1).rlike(r"""[.!?:]["')»”’]*$""")
     return (
         F.when((low >= "0") & (low < ":") & low.rlike(r"^[0-9][0-9.,/]*$"), NUMBER)
-        .when(low.isin(NUMBER_WORDS), NUMBER)
-        .when(low.isin(UNITS), UNIT)
-        .when((bare != low) & (first != F.lower(first)) & inside, NAME)
+        .when(low.isin(NUMBER_WORDS + UNITS), F.when(low.isin(UNITS), UNIT).otherwise(NUMBER))
+        .when((raw != low) & (first != F.lower(first)) & inside, NAME)
         .otherwise(low)
     )
 
@@ -72,8 +82,9 @@ def window_hashes(hashes: str, size: int) -> Column:
 def item_tokens(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, item_key, tokens): the words of each item with their template word."""
     words = benchmark.select(F.col(id_col).alias("item_id"), F.xxhash64(id_col, text_col).alias("item_key"), words_of(F.col(text_col).cast("string")).alias("words"))
-    tokens = F.transform("words", lambda w, i: F.struct(F.btrim(w, F.lit(PUNCTUATION)).alias("raw"), template_word("words", w, i).alias("word")))
-    return words.where(F.size("words") > 0).select("item_id", "item_key", tokens.alias("tokens")).distinct()
+    words = words.where(F.size("words") > 0).withColumn("lows", low_words("words"))
+    tokens = F.transform("lows", lambda low, i: F.struct(bare_word(F.get("words", i)).alias("raw"), template_word("words", low, i).alias("word")))
+    return words.select("item_id", "item_key", tokens.alias("tokens")).distinct()
 
 
 def item_windows(tokens: DataFrame, size: int) -> DataFrame:
@@ -97,7 +108,8 @@ def matches(docs: DataFrame, windows: DataFrame, settings: DecontaminationSettin
     about = {r["size"]: r.n for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}
     side = F.broadcast(windows) if sum(about.values()) <= settings.broadcast_windows else windows
     words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc_key"), words_of(F.col(text_col).cast("string")).alias("words"))
-    hashed = words.select("doc_id", "doc_key", F.transform("words", lambda w, i: F.xxhash64(template_word("words", w, i))).alias("hashes"))
+    words = words.withColumn("lows", low_words("words"))
+    hashed = words.select("doc_id", "doc_key", F.transform("lows", lambda low, i: F.xxhash64(template_word("words", low, i))).alias("hashes"))
     out = None
     for size in sorted(about) or [settings.window]:
         each = hashed.select("doc_id", "doc_key", F.posexplode(window_hashes("hashes", size)).alias("position", "hash"))
@@ -117,7 +129,7 @@ def inconsistent(found: DataFrame, tokens: DataFrame, docs: DataFrame, scratch:
         return None
     texts = docs.select(F.xxhash64(id_col, text_col).alias("doc_key"), F.col(text_col).cast("string").alias("text")).join(wanted, "doc_key")
     filled = texts.select("doc_key", "slots", words_of(F.col("text")).alias("words"))
-    value = F.transform("slots", lambda s: F.struct(*[s.getField(c).alias(c) for c in ("item_key", "shift", "word", "raw")], F.btrim(F.get("words", s.getField("position")), F.lit(PUNCTUATION)).alias("value")))
+    value = F.transform("slots", lambda s: F.struct(*[s.getField(c).alias(c) for c in ("item_key", "shift", "word", "raw")], bare_word(F.get("words", s.getField("position"))).alias("value")))
     rows = filled.select("doc_key", F.explode(value).alias("s")).select("doc_key", "s.*")
     kinds = rows.groupBy("doc_key", "item_key", "shift", "word", "raw").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     return kinds.where("low <> high").select("doc_key", "item_key", "shift").distinct()
