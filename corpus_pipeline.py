@@ -20,6 +20,8 @@ from terrascore.llm.sharding import shards
 
 #: Largest shard in bytes of text.
 SHARD_BYTES = 32 << 20
+#: Most 8-byte keys that are broadcast.
+BROADCAST_KEYS = 1_000_000
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,27 +37,32 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     scratch = Scratch(spark, "near-copies")
     found = scratch.store(ngram_join(docs).where("n_shingles > 0").select("doc_id", "text_key", "component_key"), "found")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    keepers = found.groupBy("component_key").agg(F.min(rank).alias("k")).select("component_key", "k.doc_id", "k.text_key")
-    spare = found.join(keepers.withColumnRenamed("doc_id", "first_id").withColumnRenamed("text_key", "first_key"), "component_key")
-    spare = scratch.store(spare.where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")))).select("doc_id", "text_key").distinct(), "spare")
-    twice = scratch.store(found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key"), "twice")
-
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
-    same = lambda other: rows["_id"].eqNullSafe(other["doc_id"]) & (rows["_key"] == other["text_key"])
-    kept = rows.join(spare, same(spare), "left_anti")
+    keepers = found.groupBy("component_key").agg(F.min(rank).alias("k")).select("component_key", F.col("k.doc_id").alias("first_id"), F.col("k.text_key").alias("first_key"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
+    key = F.xxhash64("doc_id", "text_key").alias("row_key")
+    spare = scratch.store(found.join(keepers, "component_key").where(~is_first).select(key).distinct(), "spare")
+    twice = scratch.store(found.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select("row_key"), "twice")
+
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.xxhash64("doc_id", F.xxhash64("text")).alias("row_key"))
+    kept = rows.join(small_side(spare), "row_key", "left_anti")
     if twice.isEmpty():
         return kept.select("row.*")
-    single = kept.join(twice, same(twice), "left_anti").select("row")
-    once = kept.join(twice, same(twice), "left_semi").groupBy("_id", "_key").agg(F.min("row").alias("row")).select("row")
+    single = kept.join(small_side(twice), "row_key", "left_anti").select("row")
+    once = kept.join(small_side(twice), "row_key", "left_semi").groupBy("row_key").agg(F.min("row").alias("row")).select("row")
     return single.union(once).select("row.*")
 
 
+def small_side(keys: DataFrame) -> DataFrame:
+    """Keys to be broadcast while there are at most BROADCAST_KEYS of them; beyond that the join shuffles."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item has leaked."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaked = Scratch(spark, "leaked").store(leaks(docs, benchmark).select("doc_key").distinct(), "keys")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("doc_key"))
-    return rows.join(leaked, "doc_key", "left_anti").select("row.*")
+    return rows.join(small_side(leaked), "doc_key", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
