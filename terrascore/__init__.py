@@ -1 +1,10 @@
-"""Composite-index analytics as PySpark DataFrame operators."""
+"""Composite-index analytics as PySpark DataFrame operators.
+
+Functions that run in Python workers are pickled by value, so executors need no copy of the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -52,10 +52,12 @@ def upsert_snapshot(
     return both.select(*out)
 
 
-def insert_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The target plus batch rows whose key it lacks (one per key)."""
+def insert_ignore(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The target plus batch rows whose key it lacks, of a repeated key the first by ``order``."""
     known = target.select(*[F.col(k).alias(f"_t_{k}") for k in keys])
-    absent = batch.dropDuplicates(list(keys)).join(
+    values = [c for c in batch.columns if c not in keys]
+    firsts = batch.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_first"))
+    absent = firsts.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in values]).join(
         known, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys], "left_anti"
     )
     return target.unionByName(absent.select(*target.columns))

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINTER = (12, 1, 2)
 SUMMER = (6, 7, 8)
 
 
+def degree_days(temperature: Column, base: float = 18.0) -> Column:
+    """How far a day stays below the base."""
+    return F.greatest(F.lit(0.0), F.lit(base) - temperature)
+
+
 def yearly_degree_days(daily: DataFrame, base: float = 18.0) -> DataFrame:
     """``entity_id, year, degree_days`` from daily mean temperatures."""
     return daily.groupBy("entity_id", F.year("date").alias("year")).agg(
-        F.sum(F.greatest(F.lit(0.0), F.lit(base) - F.col("temperature"))).alias("degree_days")
+        F.sum(degree_days(F.col("temperature"), base)).alias("degree_days")
     )
 
 

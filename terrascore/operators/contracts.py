@@ -313,9 +313,14 @@ def watermark_advance(rows: DataFrame, previous: DataFrame | None, grace_days: i
 def incremental_filter(rows: DataFrame, watermarks: DataFrame, source: str = "source_name", loaded: str = "loaded_at") -> DataFrame:
     """Rows at or after their source's watermark less its grace days; unknown sources pass whole.
 
-    ``watermarks`` has one row per source and should be a stored table, so
-    that its size decides how it is joined.
+    ``watermarks`` has one row per source and should be a stored table, so that its size decides how it is joined. The earliest date of
+    all sources is a plain bound on the load time, which reaches the scan of the known sources.
     """
     marks = watermarks.select(F.col("source_name").alias("_source"), F.date_sub("watermark_date", F.col("grace_days").cast("int")).alias("_from"))
-    joined = rows.join(marks, F.col(source) == F.col("_source"), "left")
-    return joined.filter(F.col("_from").isNull() | (F.to_date(loaded) >= F.col("_from"))).drop("_source", "_from")
+    unknown = rows.join(marks, F.col(source) == F.col("_source"), "left_anti")
+    floor = marks.agg(F.min("_from")).first()[0]
+    if floor is None:
+        return unknown
+    recent = rows.filter(F.col(loaded) >= F.lit(floor).cast(rows.schema[loaded].dataType))
+    known = recent.join(marks, F.col(source) == F.col("_source")).filter(F.to_date(loaded) >= F.col("_from")).drop("_source", "_from")
+    return known.unionByName(unknown)

@@ -24,7 +24,6 @@ from terrascore.session import materialize
 
 KM_PER_DEGREE = EARTH_RADIUS_KM * math.pi / 180
 TILE_POSITIONS = 8_192
-INLINE_HUBS = 1_024
 CELL_HUBS = 16
 
 
@@ -61,7 +60,7 @@ def hub_filter(df: DataFrame, size: str, cascade: Sequence[float] = (10_000, 5_0
     return df.filter(F.col(size) >= chosen)
 
 
-def nearest_hub(df: DataFrame, hubs: DataFrame, inline_hubs: int = INLINE_HUBS) -> DataFrame:
+def nearest_hub(df: DataFrame, hubs: DataFrame) -> DataFrame:
     """Add ``hub_id, hub_km``: the closest hub, ties to the smallest id.
 
     Both frames have ``entity_id, lat, lon``; a hub is its own nearest. Without
@@ -73,38 +72,16 @@ def nearest_hub(df: DataFrame, hubs: DataFrame, inline_hubs: int = INLINE_HUBS)
         .agg(F.min("entity_id").alias("hub_id")),
         "hub-spots",
     )
-    n_hubs = hub_spots.count()
-    if n_hubs == 0:
-        return _nearest_other(df, inline_hubs)
+    if hub_spots.isEmpty():
+        return _nearest_other(df)
     spots = materialize(
         df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n")),
         "spots",
     )
-    if n_hubs <= inline_hubs:
-        found = _nearest_inline(spots, hub_spots)
-    else:
-        found = _nearest_by_cells(spots, hub_spots)
+    found = _nearest_by_cells(spots, hub_spots)
     return lookup_join(df, materialize(found, "nearest"), ["lat", "lon"], "n")
 
 
-def _nearest_inline(spots: DataFrame, hub_spots: DataFrame, others: bool = False) -> DataFrame:
-    """Few hubs (checked by the caller): one array literal, no shuffle."""
-    hubs = hub_spots.agg(F.collect_list(F.struct("hub_id", "hub_lat", "hub_lon"))).scalar()
-    return _closest(spots.withColumn("_hubs", hubs), others)
-
-
-def _closest(spots: DataFrame, others: bool = False) -> DataFrame:
-    """The nearest of the hubs listed in ``_hubs``, measured row by row."""
-    listed = F.filter("_hubs", lambda h: h["hub_id"] != F.col("first_id")) if others else F.col("_hubs")
-    options = F.transform(
-        listed,
-        lambda h: F.struct(
-            F.round(haversine_km(F.col("lat"), F.col("lon"), h["hub_lat"], h["hub_lon"]), 6).alias("hub_km"), h["hub_id"].alias("hub_id")
-        ),
-    )
-    return spots.select("lat", "lon", "n", F.array_min(options).alias("_b")).select("lat", "lon", "n", "_b.hub_id", "_b.hub_km")
-
-
 def _cell(lat: Column, lon: Column, size: float) -> Column:
     """Grid cell as one number; rows run south to north, columns from -180."""
     columns = round(360 / size)
@@ -136,8 +113,8 @@ def _nearest_by_cells(spots: DataFrame, hub_spots: DataFrame, others: bool = Fal
     ``others`` the spots are hubs themselves and none counts as its own.
     """
     sizes = [30.0, 7.5]
-    # refine until the fullest cell holds few hubs; the last size is about 12 metres
-    while len(sizes) < 10 and _fullest_cell(hub_spots, sizes[-1]) > CELL_HUBS:
+    # refine until the fullest cell holds few hubs; below a few centimetres cell numbers no longer fit
+    while sizes[-1] > 2e-6 and _fullest_cell(hub_spots, sizes[-1]) > CELL_HUBS:
         sizes.append(sizes[-1] / 4)
     finest = sizes[-1]
     a = spots.select(_cell(F.col("lat"), F.col("lon"), finest).alias("a")).distinct()
@@ -158,13 +135,15 @@ def _nearest_by_cells(spots: DataFrame, hub_spots: DataFrame, others: bool = Fal
     last = len(sizes) - 1
     candidates = pairs.select(F.col(f"a{last}").alias("a"), F.col(f"h{last}").alias("h"))
 
-    # the few hubs that can be nearest are listed per spot cell; spots look their cell up
+    # spots meet the hubs of the cells that can hold their nearest one, as rows; a minimum per spot is left
     placed = spots.withColumn("a", _cell(F.col("lat"), F.col("lon"), finest))
     hubs = hub_spots.withColumn("h", _cell(F.col("hub_lat"), F.col("hub_lon"), finest))
-    listed = candidates.join(hubs, "h").groupBy("a").agg(F.collect_list(F.struct("hub_id", "hub_lat", "hub_lon")).alias("_hubs"))
-    crowd = placed.groupBy("a").agg(F.count(F.lit(1)).alias("spots"))
-    cells = materialize(listed.join(crowd, "a"), "cell-hubs")
-    return _closest(lookup_join(placed, cells, ["a"], "spots", hot_share=0.01), others)
+    met = placed.join(materialize(candidates, "cell-pairs"), "a").join(hubs, "h")
+    if others:
+        met = met.filter(F.col("hub_id") != F.col("first_id"))
+    km = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("hub_lat"), F.col("hub_lon")), 6)
+    nearest = met.groupBy("lat", "lon").agg(F.max("n").alias("n"), F.min(F.struct(km.alias("hub_km"), "hub_id")).alias("_b"))
+    return nearest.select("lat", "lon", "n", "_b.hub_id", "_b.hub_km")
 
 
 def _pyramid(cells: DataFrame, name: str, sizes: Sequence[float], *keep: str) -> DataFrame:
@@ -188,15 +167,12 @@ def _prune(pairs: DataFrame, size: float, level: int, others: bool) -> DataFrame
     return measured.withColumn("_bound", bound).filter(near).select(a, h)
 
 
-def _nearest_other(df: DataFrame, inline_hubs: int) -> DataFrame:
+def _nearest_other(df: DataFrame) -> DataFrame:
     """Nearest other entity for every entity."""
     spots = materialize(positions(df, second=True), "positions")
     alone = spots.filter(F.col("second_id").isNull())
     every = spots.select(F.col("lat").alias("hub_lat"), F.col("lon").alias("hub_lon"), F.col("first_id").alias("hub_id"))
-    if spots.count() <= inline_hubs:
-        best = _nearest_inline(alone, every, others=True)
-    else:
-        best = _nearest_by_cells(alone, every, others=True)
+    best = _nearest_by_cells(alone, every, others=True)
     shared = spots.filter(F.col("second_id").isNotNull()).select("lat", "lon", "n", "first_id", "second_id")
     none = F.lit(None).cast("bigint")
     found = best.select("lat", "lon", "n", "hub_id", "hub_km", none.alias("first_id"), none.alias("second_id")).unionByName(
@@ -217,12 +193,13 @@ def accessibility(df: DataFrame, scale_km: float = 500.0) -> DataFrame:
 # -- neighbours ---------------------------------------------------------------------
 
 
-def pairwise_distance(spots: DataFrame, max_km: float) -> DataFrame:
-    """``id_a, id_b, km`` for every two positions at most ``max_km`` apart, smaller id first.
+def pairwise_distance(df: DataFrame, max_km: float) -> DataFrame:
+    """``id_a, id_b, km`` for every two entities at most ``max_km`` apart, also at one spot, smaller id first.
 
-    An equality join on grid cells: each position visits the cells its radius
+    An equality join on grid cells: each entity visits the cells its radius
     touches, so far pairs are never formed.
     """
+    spots = df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col("entity_id").alias("first_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     reach = max_km / KM_PER_DEGREE
     size = max(reach, 0.01)
     # whole columns only, so that wrapping past 180 degrees stays aligned

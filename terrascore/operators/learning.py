@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,9 @@ from terrascore.session import materialize
 
 
 def to_vectors(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ("entity_id",), out: str = "features") -> DataFrame:
-    """Columns to one vector; rows with a missing value have no vector and are left out."""
+    """Columns to one vector; a missing value is an error, as no row may drop out of a clustering unseen."""
     plain = df.select(*keep, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(plain).select(*keep, out)
+    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(plain).select(*keep, out)
 
 
 def array_vectors(df: DataFrame, array: str, keep: Sequence[str], out: str = "features") -> DataFrame:
@@ -37,10 +38,13 @@ def array_vectors(df: DataFrame, array: str, keep: Sequence[str], out: str = "fe
 
 
 def standardise(df: DataFrame, features: str = "features") -> tuple[DataFrame, int, int]:
-    """Replace ``features`` by mean 0, sample deviation 1; also the row and non-constant column counts."""
+    """Replace ``features`` by mean 0, population deviation 1; also the row and non-constant column counts."""
+    rows = df.count()
     model = StandardScaler(inputCol=features, outputCol="_z", withMean=True, withStd=True).fit(df)
-    scaled = model.transform(df).drop(features).withColumnRenamed("_z", features)
-    return scaled, df.count(), int((model.std.toArray() > 0).sum())
+    # the scaler divides by the sample deviation
+    factor = math.sqrt(rows / (rows - 1)) if rows > 1 else 1.0
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense([factor] * len(model.mean)), inputCol="_z", outputCol="_p").transform(model.transform(df))
+    return scaled.drop(features, "_z").withColumnRenamed("_p", features), rows, int((model.std.toArray() > 0).sum())
 
 
 @dataclass
@@ -71,8 +75,7 @@ class Components:
 def pca_components(df: DataFrame, k: int = 15, features: str = "features") -> Components:
     """Scores on the first ``k`` components of the standardised features.
 
-    The sign of each component makes its largest loading positive; scores use
-    population deviations.
+    The sign of each component makes its largest loading positive.
     """
     scaled, rows, active = standardise(df, features)
     width = len(df.select(features).head()[0])
@@ -80,8 +83,7 @@ def pca_components(df: DataFrame, k: int = 15, features: str = "features") -> Co
     loadings = model.pc.toArray()
     signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
     signs[signs == 0] = 1.0
-    factor = math.sqrt(rows / (rows - 1)) if rows > 1 else 1.0
-    turned = F.array(*[F.lit(float(s * factor)) for s in signs])
+    turned = F.array(*[F.lit(float(s)) for s in signs])
     scores = model.transform(scaled).withColumn("components", F.zip_with(vector_to_array("_pc"), turned, lambda x, s: x * s))
     return Components(scores.drop(features, "_pc"), loadings * signs, model.explainedVariance.toArray(), rows, active)
 
@@ -90,7 +92,7 @@ def pca_components(df: DataFrame, k: int = 15, features: str = "features") -> Co
 
 
 def kmeans_fits(
-    df: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_iter: int = 500, features: str = "features", parallel: int = 4
+    df: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_iter: int = 500, features: str = "features", parallel: int = 8
 ) -> dict[int, KMeansModel]:
     """Per k the fit with the least cost over several starts; a few fits run side by side."""
 

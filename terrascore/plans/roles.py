@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascore.operators.climate import yearly_degree_days
+from terrascore.operators.climate import degree_days
 from terrascore.operators.series import latest_value
 from terrascore.session import materialize
 from terrascore.sources.landing import FileRule
@@ -112,7 +112,7 @@ def measurements(spark: SparkSession, sf_dir: str, years: tuple[int, ...] | None
 
 
 def climate_daily(spark: SparkSession, sf_dir: str, years: tuple[int, ...] | None = None) -> DataFrame:
-    """Daily sums; the monthly and yearly tables below share this one scan."""
+    """Daily sums per entity."""
     return (
         measurements(spark, sf_dir, years)
         .groupBy(F.col("l_suppkey").alias("entity_id"), F.to_date("l_shipdate").alias("date"))
@@ -120,10 +120,14 @@ def climate_daily(spark: SparkSession, sf_dir: str, years: tuple[int, ...] | Non
     )
 
 
-def climate_monthly(daily: DataFrame) -> DataFrame:
-    return daily.groupBy("entity_id", F.year("date").alias("year"), F.month("date").alias("month")).agg(
-        (F.sum("total") / F.sum("readings") - 25).alias("temperature")
+def climate_tables(daily: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Monthly temperatures and yearly degree-days; both read one stored table with a row per entity and month."""
+    day = F.col("total") / F.col("readings") - 25
+    months = daily.groupBy("entity_id", F.year("date").alias("year"), F.month("date").alias("month")).agg(
+        (F.sum("total") / F.sum("readings") - 25).alias("temperature"), F.sum(degree_days(day)).alias("degree_days")
     )
+    months = materialize(months, "climate-months")
+    return months.drop("degree_days"), months.groupBy("entity_id", "year").agg(F.sum("degree_days").alias("degree_days"))
 
 
 def daily_means(daily: DataFrame) -> DataFrame:
@@ -139,7 +143,7 @@ def mobility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_roles(spark: SparkSession, sf_dir: str) -> IndexRoles:
-    daily = climate_daily(spark, sf_dir, YEARS)
+    monthly, yearly = climate_tables(climate_daily(spark, sf_dir, YEARS))
     return IndexRoles(
         settlements=settlements(spark, sf_dir),
         regions=regions(spark, sf_dir),
@@ -149,8 +153,8 @@ def index_roles(spark: SparkSession, sf_dir: str) -> IndexRoles:
         market=market(spark, sf_dir),
         consumption=consumption(spark, sf_dir),
         access=access(spark, sf_dir),
-        climate_monthly=climate_monthly(daily),
-        climate_yearly=yearly_degree_days(daily_means(daily)),
+        climate_monthly=monthly,
+        climate_yearly=yearly,
         mobility=mobility(spark, sf_dir),
     )
 

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from terrascore.operators import curated
 from terrascore.operators.contracts import FieldMapping
@@ -54,18 +55,24 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
 def upsert_partitions(path: str, batch: DataFrame, partition: str = "report_period") -> None:
     """Merge a batch into the table at ``path``, rewriting only the partitions it touches.
 
-    The partition column is part of the key. The merged rows are written aside
-    before they replace anything, and replaying a batch changes nothing.
+    The partition column is part of the key. The merged rows are written aside before they replace anything, and replaying a batch
+    changes nothing. The partitions a batch touches are few and go into the scan as values, so only they are read.
     """
     spark = batch.sparkSession
     fresh = materialize(batch, "batch")
-    touched = materialize(fresh.select(F.col(partition).alias("_touched")).distinct(), "touched")
+    touched = [r[0] for r in fresh.select(partition).distinct().collect()]
+    layout = StructType([f for f in fresh.schema if f.name != "record_no"])
+    stored = None
     try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
-        stored = None
+        stored = spark.read.schema(layout).parquet(path)
+    except AnalysisException as problem:
+        # only a table that is not there yet counts as empty
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
     if stored is not None:
-        stored = stored.join(touched, F.col(partition) == F.col("_touched"), "left_semi").select(*[c for c in fresh.columns if c != "record_no"])
+        hit = F.col(partition).isin([t for t in touched if t is not None])
+        hit = hit | F.col(partition).isNull() if None in touched else hit
+        stored = stored.filter(hit).select(*layout.names)
     merged = materialize(curation.upsert_curated(stored, fresh), "merged")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 

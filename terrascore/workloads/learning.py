@@ -14,9 +14,6 @@ from terrascore.workloads.index import index_frame
 from terrascore.workloads.reports import PATTERN, SCORES, SIZE_BANDS
 from terrascore.workloads.sql import rnd
 
-# The library default is 20 starts per k; two keep a registered run short.
-RESTARTS = 2
-
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = roles.scan(spark, sf_dir, "embeddings")
@@ -35,7 +32,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "standardise",
     f"""WITH cells AS (SELECT vec_id AS entity_id, unnest(range(len(embedding))) AS position, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
-    SELECT entity_id, position, {rnd('(x - avg(x) OVER (PARTITION BY position)) / stddev_samp(x) OVER (PARTITION BY position)')} AS z FROM cells""",
+    SELECT entity_id, position, {rnd('(x - avg(x) OVER (PARTITION BY position)) / stddev_pop(x) OVER (PARTITION BY position)')} AS z FROM cells""",
 )
 def standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled, _, _ = learning.standardise(_vectors(spark, sf_dir))
@@ -63,17 +60,57 @@ def pca_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("kmeans_select")
 def kmeans_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics, _ = learning.kmeans_select(_scores(spark, sf_dir), restarts=RESTARTS)
+    metrics, _ = learning.kmeans_select(_scores(spark, sf_dir))
     return metrics
 
 
 @register("kmeans_assign")
 def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _scores(spark, sf_dir)
-    model = learning.best_kmeans(scores, 8, range(42, 42 + RESTARTS))
+    _, model = learning.kmeans_select(scores)
     return model.transform(scores).select("entity_id", "cluster_id")
 
 
+@register(
+    "pca_norms",
+    """WITH cells AS (SELECT vec_id AS entity_id, unnest(range(len(embedding))) AS position, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    z AS (SELECT entity_id, (x - avg(x) OVER (PARTITION BY position)) / stddev_pop(x) OVER (PARTITION BY position) AS z FROM cells)
+    SELECT entity_id, round(sum(z * z), 4) AS squared FROM z GROUP BY 1""",
+)
+def pca_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With every component kept, the squared scores of a row add up to its standardised squared length."""
+    rows = _vectors(spark, sf_dir)
+    width = len(rows.select("features").head()[0])
+    found = learning.pca_components(rows, width).scores
+    squared = F.aggregate("components", F.lit(0.0), lambda total, x: total + x * x)
+    return found.select("entity_id", F.round(squared, 4).alias("squared"))
+
+
+@register(
+    "kmeans_balance",
+    """WITH cells AS (SELECT vec_id, unnest(range(len(embedding))) AS position, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    c AS (SELECT x - avg(x) OVER (PARTITION BY position) AS d FROM cells)
+    SELECT (SELECT count(*) FROM embeddings) AS n_rows, (SELECT round(sum(d * d), 3) FROM c) AS total_squares, 0::BIGINT AS nearer_elsewhere""",
+)
+def kmeans_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes sum to all rows, squares within and between clusters to all squares, and no row is nearer to another centre."""
+    rows = _vectors(spark, sf_dir)
+    _, model = learning.kmeans_select(rows)
+    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+    labelled = model.transform(rows).select("cluster_id", learning.vector_to_array("features").alias("x"))
+    gap = lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+    gaps = labelled.withColumn("gaps", F.transform(centres, gap)).withColumn("own", F.get("gaps", F.col("cluster_id")))
+    away = gaps.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.array_min("gaps") < F.col("own") - 1e-9).alias("nearer_elsewhere"))
+    # squares about the mean of a cluster and of the means about the mean of all, column by column
+    cells = labelled.select("cluster_id", F.posexplode("x").alias("position", "v"))
+    per = cells.groupBy("cluster_id", "position").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("spread"))
+    overall = per.groupBy("position").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("all"), F.sum(F.col("n") * F.col("spread")).alias("inside"))
+    between = per.join(overall, "position").agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("all"), 2)).alias("between"))
+    inside = overall.agg(F.sum("inside").alias("within"))
+    total = F.round(inside.select("within").scalar() + between.select("between").scalar(), 3)
+    return away.select("n_rows", total.alias("total_squares"), "nearer_elsewhere")
+
+
 _CELLS = """cells AS (SELECT vec_id, label, unnest(range(len(embedding))) AS position, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"""
 
 
@@ -107,11 +144,18 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("typology")
 def typology_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide, kept = indicators.imputed_matrix(roles.zones(spark, sf_dir), roles.indicator_facts(spark, sf_dir))
-    found = typology.typology(wide, kept, ks=(3, 4, 5), restarts=1, bands=SIZE_BANDS, pattern=PATTERN)
+    found = typology.typology(wide, kept, bands=SIZE_BANDS, pattern=PATTERN)
     return summaries.cluster_stats(found.clusters).join(found.names, "cluster_id")
 
 
+@register("typology_members")
+def typology_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entity with its cluster and the name of it."""
+    wide, kept = indicators.imputed_matrix(roles.zones(spark, sf_dir), roles.indicator_facts(spark, sf_dir))
+    return typology.typology(wide, kept, bands=SIZE_BANDS, pattern=PATTERN).clusters.select("entity_id", "cluster_id", "cluster_name")
+
+
 @register("component_clusters")
 def component_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = materialize(index_frame(spark, sf_dir), "index")
-    return typology.component_clusters(index, SCORES, k=4, restarts=RESTARTS)
+    return typology.component_clusters(index, SCORES, k=4)

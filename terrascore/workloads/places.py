@@ -95,8 +95,8 @@ def nearest_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM shops p CROSS JOIN hubs2 h GROUP BY 1""",
 )
 def nearest_hub_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every place is a hub here; the grid path runs whatever their number."""
-    found = distance.nearest_hub(roles.shops(spark, sf_dir), roles.places(spark, sf_dir), inline_hubs=0)
+    """Every place is a hub here."""
+    found = distance.nearest_hub(roles.shops(spark, sf_dir), roles.places(spark, sf_dir))
     return found.select("entity_id", "hub_km", "hub_id")
 
 
@@ -145,9 +145,13 @@ pairs AS (
 )"""
 
 
-@register("pairwise_distance", f"WITH {SPOTS} SELECT id_a, id_b, km FROM pairs WHERE km <= 400")
+@register(
+    "pairwise_distance",
+    f"""WITH {PLACES} SELECT a.entity_id AS id_a, b.entity_id AS id_b, {km_sql('a', 'b')} AS km
+    FROM places a JOIN places b ON a.entity_id < b.entity_id WHERE {km_sql('a', 'b')} <= 400""",
+)
 def pairwise_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = distance.pairwise_distance(_spots(spark, sf_dir), 400.0)
+    out = distance.pairwise_distance(roles.places(spark, sf_dir), 400.0)
     return out.withColumn("km", F.round("km", 6))
 
 

@@ -78,10 +78,8 @@ def market_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
       {rnd('temp_summer', 4)} AS temp_summer, {rnd('temp_amplitude', 4)} AS temp_amplitude, {rnd('degree_days', 4)} AS degree_days FROM climate""",
 )
 def seasonal_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = roles.climate_daily(spark, sf_dir, roles.YEARS)
-    out = climate.seasonal_climate(
-        roles.climate_monthly(daily), climate.yearly_degree_days(roles.daily_means(daily)), roles.YEARS
-    )
+    monthly, yearly = roles.climate_tables(roles.climate_daily(spark, sf_dir, roles.YEARS))
+    out = climate.seasonal_climate(monthly, yearly, roles.YEARS)
     cols = ("temp_mean", "temp_winter", "temp_summer", "temp_amplitude", "degree_days")
     return out.select("entity_id", *[round_half_up(F.col(c), 4).alias(c) for c in cols])
 
@@ -178,7 +176,7 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = roles.scan(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
     target = early.select(F.col("o_custkey").alias("entity_id")).distinct().withColumn("origin", F.lit("buyer"))
     batch = roles.scan(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.lit("listed").alias("origin"))
-    return changes.insert_ignore(target, batch, ["entity_id"])
+    return changes.insert_ignore(target, batch, ["entity_id"], ["origin"])
 
 
 @register(

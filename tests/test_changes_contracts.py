@@ -27,8 +27,8 @@ def test_upsert_null_keys_first_seen_and_stamp(spark):
 
 def test_insert_ignore_keeps_known_rows(spark):
     target = spark.createDataFrame([("a", 1.0), (None, 5.0)], "k string, v double")
-    batch = spark.createDataFrame([("a", 2.0), ("b", 3.0), (None, 6.0)], "k string, v double")
-    assert {(r.k, r.v) for r in changes.insert_ignore(target, batch, ["k"]).collect()} == {("a", 1.0), (None, 5.0), ("b", 3.0)}
+    batch = spark.createDataFrame([("a", 2.0, 1), ("b", 9.0, 3), ("b", 3.0, 2), (None, 6.0, 4)], "k string, v double, n int")
+    assert {(r.k, r.v) for r in changes.insert_ignore(target, batch, ["k"], ["n"]).collect()} == {("a", 1.0), (None, 5.0), ("b", 3.0)}
 
 
 def test_audit_diff_operations(spark):

@@ -40,10 +40,9 @@ def test_haversine_known_value_and_symmetry(spark):
     assert row.d == pytest.approx(math.pi * 6371.0)
 
 
-@pytest.mark.parametrize("inline", [10_000, 0])
-def test_nearest_hub_matches_brute_force(spark, cloud, inline):
+def test_nearest_hub_matches_brute_force(spark, cloud):
     hubs = {i: p for i, p in cloud.items() if i % 2}
-    out = {r.entity_id: r for r in distance.nearest_hub(frame(spark, cloud), frame(spark, hubs), inline_hubs=inline).collect()}
+    out = {r.entity_id: r for r in distance.nearest_hub(frame(spark, cloud), frame(spark, hubs)).collect()}
     assert len(out) == len(cloud)
     for i, p in cloud.items():
         best = min((km(p, q), j) for j, q in hubs.items())
@@ -56,10 +55,9 @@ def test_nearest_hub_keeps_rows_without_coordinates(spark):
     assert out == {1: 1, 2: None, 3: 1}
 
 
-@pytest.mark.parametrize("inline", [10_000, 0])
-def test_without_hubs_the_nearest_other_counts(spark, cloud, inline):
+def test_without_hubs_the_nearest_other_counts(spark, cloud):
     df = frame(spark, cloud)
-    out = {r.entity_id: r for r in distance.nearest_hub(df, df.limit(0), inline_hubs=inline).collect()}
+    out = {r.entity_id: r for r in distance.nearest_hub(df, df.limit(0)).collect()}
     for i, p in cloud.items():
         best = min((km(p, q), j) for j, q in cloud.items() if j != i)
         assert (out[i].hub_km, out[i].hub_id) == (pytest.approx(best[0], abs=2e-6), best[1])
@@ -74,9 +72,8 @@ def test_hub_cascade(spark):
 
 @pytest.mark.parametrize("reach", [5.0, 300.0, 2_500.0])
 def test_neighbours_match_brute_force(spark, cloud, reach):
-    spots = materialize(distance.positions(frame(spark, cloud), second=True), "spots")
-    ours = {(r.id_a, r.id_b) for r in distance.pairwise_distance(spots, reach).collect()}
-    ids = sorted({min(i for i, q in cloud.items() if q == p) for p in cloud.values()})
+    ours = {(r.id_a, r.id_b) for r in distance.pairwise_distance(frame(spark, cloud), reach).collect()}
+    ids = sorted(i for i, p in cloud.items() if p)
     assert ours == {(a, b) for a in ids for b in ids if a < b and km(cloud[a], cloud[b]) <= reach}
 
 
