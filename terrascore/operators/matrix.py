@@ -14,15 +14,9 @@ from terrascore.functions.numbers import safe_corr
 from terrascore.operators.quantiles import exact_quantiles
 from terrascore.operators.scaling import minmax_scale
 
-MAX_CODES = 5_000
-
-
 def indicator_codes(facts: DataFrame, code: str = "code") -> list[str]:
-    """The distinct indicator codes: the column names of the matrix, so a bounded list."""
-    codes = [r[0] for r in facts.select(code).filter(F.col(code).isNotNull()).distinct().limit(MAX_CODES + 1).collect()]
-    if len(codes) > MAX_CODES:
-        raise ValueError(f"more than {MAX_CODES} indicator codes; a matrix needs a declared list")
-    return sorted(codes)
+    """The distinct indicator codes, which become the column names of the matrix."""
+    return sorted(r[0] for r in facts.select(code).filter(F.col(code).isNotNull()).distinct().collect())
 
 
 def numeric_columns(df: DataFrame, metadata: Sequence[str] = ()) -> list[str]:

@@ -102,7 +102,7 @@ def nearest_hub_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "accessibility",
-    f"""WITH {PLACES}, {NEAREST} SELECT entity_id, hub_id, hub_km, {rnd('access_raw')} AS access_raw,
+    f"""WITH {PLACES}, {NEAREST} SELECT entity_id, hub_id, (SELECT entity_name FROM places h WHERE h.entity_id = hub_id) AS hub_name, hub_km, {rnd('access_raw')} AS access_raw,
       {rnd('(access_raw - min(access_raw) OVER ()) / nullif(max(access_raw) OVER () - min(access_raw) OVER (), 0)')} AS access_score FROM access""",
 )
 def accessibility(spark: SparkSession, sf_dir: str) -> DataFrame:
