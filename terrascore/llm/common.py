@@ -17,6 +17,12 @@ from terrascore.session import shared_folder
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text hashed in one numpy pass; bounds the memory of a pass, not the length of a text.
 PASS_BYTES = 1 << 18
+#: Bytes of a batch on its way to a Python worker; the default of 64 MB is held several times over by the JVM and the worker.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 class Scratch:
@@ -24,6 +30,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_folder(spark)}/terrascore/{label}-{uuid.uuid4().hex}"
 
     def store(self, df: DataFrame, name: str) -> DataFrame:

@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from terrascore.llm.common import Scratch, WordHasher, mix, passes, utf8
 
 #: Shingles per shuffle bucket, sets per group and shingles per group that sizes are planned for.
-BUCKET_SHINGLES = 2_000_000
+BUCKET_SHINGLES = 1_000_000
 GROUP_SETS = 256
 GROUP_SHINGLES = 400_000
 #: Shingles an input task holds before it sends its blocks on.
-HELD_SHINGLES = 2_000_000
+HELD_SHINGLES = 1_000_000
 #: Columns of a membership matrix multiplied at once.
 MATRIX_COLUMNS = 4_096
 
@@ -201,10 +201,10 @@ def shared_shingles(blocks: DataFrame, buckets: int) -> DataFrame:
         items = {"shingles": shingles[keep], "frequency": (8 * np.log2(frequency[keep])).astype(np.uint8)}
         return pa.Table.from_pylist(_blocks(_bucket(owners[keep], buckets), owners[keep], sizes[keep], items), schema=schema)
 
-    return blocks.groupBy("bucket").applyInArrow(reduce, "bucket int, owners binary, owner_sizes binary, counts binary, shingles binary, frequency binary")
+    return blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, "bucket int, owners binary, owner_sizes binary, counts binary, shingles binary, frequency binary")
 
 
-def candidates(blocks: DataFrame, similarity: Similarity) -> DataFrame:
+def candidates(blocks: DataFrame, similarity: Similarity, buckets: int) -> DataFrame:
     """Sets with enough shared shingles to link with any other: (set_key, n, shingles, n_leading, anchor).
 
     ``shingles`` are the shared ones, rarest first; the first ``n_leading`` are among the first of the set. The anchor is the smallest hash
@@ -229,7 +229,7 @@ def candidates(blocks: DataFrame, similarity: Similarity) -> DataFrame:
             rows.append({"set_key": int(owners[first[i]].view(np.int64)), "n": int(n[i]), "shingles": own, "n_leading": int(count[i] - least[i] + 1), "anchor": int(own.min())})
         return pa.Table.from_pylist(rows, schema=schema)
 
-    return blocks.groupBy("bucket").applyInArrow(reduce, "set_key long, n long, shingles array<long>, n_leading int, anchor long")
+    return blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(reduce, "set_key long, n long, shingles array<long>, n_leading int, anchor long")
 
 
 def large_anchors(sets: DataFrame) -> DataFrame:
@@ -349,7 +349,7 @@ def ngram_join(docs: DataFrame, similarity: Similarity = Similarity(), id_col: s
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SHINGLES))
 
     shared = shared_shingles(postings(docs, similarity, text_col, buckets), buckets)
-    sets = scratch.store(candidates(shared, similarity), "sets")
+    sets = scratch.store(candidates(shared, similarity, buckets), "sets")
     groups = grouped(sets, scratch.store(large_anchors(sets), "anchors"))
     pairs = scratch.store(group_pairs(groups), "pairs")
     # who meets in which pair is settled with keys alone; the shingles then move once to each meeting
