@@ -76,8 +76,8 @@ def target_shares(cells: DataFrame, dimension: str, target: float | Mapping[str,
         raw = found.select(dimension, given.alias("raw"))
     else:
         raw = found.select(dimension, F.pow(F.col("tokens").cast("double"), float(target)).alias("raw"))
-    total = raw.agg(F.sum("raw").alias("total"))
-    return raw.join(F.broadcast(total)).select(dimension, (F.col("raw") / F.col("total")).alias("share"))
+    total = raw.agg(F.sum("raw").alias("total")).scalar()
+    return raw.select(dimension, (F.col("raw") / total).alias("share"))
 
 
 def rake(cells: DataFrame, settings: MixingSettings, scratch: Scratch) -> DataFrame:
