@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from terrascore.operators import changes, contracts
-from terrascore.operators.contracts import Contract, FieldMapping, TableContract, contract_check
+from terrascore.operators.contracts import Contract, contract_check
 from terrascore.plans.platforms import CONTRACTS, CORE_COLUMNS
 from terrascore.sources import tables
 
