@@ -17,6 +17,7 @@ from terrascore.llm.mixing import mix_to_targets
 from terrascore.llm.ngram_join import ngram_join
 from terrascore.llm.rules import quality_rules
 from terrascore.llm.sharding import shards
+from terrascore.operators.joins import lookup_join
 
 #: Largest shard in bytes of text.
 SHARD_BYTES = 32 << 20
@@ -37,10 +38,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     scratch = Scratch(spark, "near-copies")
     found = scratch.store(ngram_join(docs).where("n_shingles > 0").select("doc_id", "text_key", "component_key"), "found")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    keepers = found.groupBy("component_key").agg(F.min(rank).alias("k")).select("component_key", F.col("k.doc_id").alias("first_id"), F.col("k.text_key").alias("first_key"))
+    keepers = found.groupBy("component_key").agg(F.min(rank).alias("k"), F.count("*").alias("n"))
+    keepers = scratch.store(keepers.select("component_key", F.col("k.doc_id").alias("first_id"), F.col("k.text_key").alias("first_key"), "n"), "keepers")
     is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
     key = F.xxhash64("doc_id", "text_key").alias("row_key")
-    spare = scratch.store(found.join(keepers, "component_key").where(~is_first).select(key).distinct(), "spare")
+    spare = scratch.store(lookup_join(found, keepers, ["component_key"], "n").where(~is_first).select(key).distinct(), "spare")
     twice = scratch.store(found.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select("row_key"), "twice")
 
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.xxhash64("doc_id", F.xxhash64("text")).alias("row_key"))
