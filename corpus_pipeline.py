@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascore.llm.common import Scratch
-from terrascore.llm.decontamination import leaks
+from terrascore.llm.decontamination import DecontaminationSettings, leaks
 from terrascore.llm.mixing import mix_to_targets
 from terrascore.llm.ngram_join import ngram_join
 from terrascore.llm.rules import quality_rules
@@ -23,6 +23,8 @@ from terrascore.operators.joins import lookup_join
 SHARD_BYTES = 32 << 20
 #: Most 8-byte keys that are broadcast.
 BROADCAST_KEYS = 1_000_000
+#: Verbatim copies in any case are leaks too.
+LEAKS = DecontaminationSettings(literal=True)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def small_side(keys: DataFrame) -> DataFrame:
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item has leaked."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = Scratch(spark, "leaked").store(leaks(docs, benchmark).select("doc_key").distinct(), "keys")
+    leaked = Scratch(spark, "leaked").store(leaks(docs, benchmark, LEAKS).select("doc_key").distinct(), "keys")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("doc_key"))
     return rows.join(small_side(leaked), "doc_key", "left_anti").select("row.*")
 

@@ -9,6 +9,10 @@ into a document if the consistent alignments cover ``least_cover`` of its window
 The benchmark side is broadcast only if it has at most ``broadcast_windows`` windows; beyond that the same join shuffles. Windows of the
 benchmark that consist of placeholders for more than half are left out, as they say nothing.
 
+This is the rule of the SQL of ``op9_decontamination``. With ``literal`` the windows are matched by their lower-cased words as well, so a
+verbatim copy in another case is found though its capitals make other names; a window counts as matched by either, and the slots of a
+window whose words are equal need no check.
+
 Defined results: null or empty texts and items match nothing. Items shorter than a window form one shorter window. Repeated rows of
 documents give one result row per document id and item; repeated items each count. Documents without a leak give no row. A document
 is known by its id and text, so a null id or an id with several texts is no problem. Other columns are ignored.
@@ -41,6 +45,7 @@ class DecontaminationSettings:
     window: int = 8
     least_cover: float = 0.5
     broadcast_windows: int = 1_000_000
+    literal: bool = False
 
 
 def words_of(text: Column) -> Column:
@@ -83,38 +88,49 @@ def item_tokens(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, item_key, tokens): the words of each item with their template word."""
     words = benchmark.select(F.col(id_col).alias("item_id"), F.xxhash64(id_col, text_col).alias("item_key"), words_of(F.col(text_col).cast("string")).alias("words"))
     words = words.where(F.size("words") > 0).withColumn("lows", low_words("words"))
-    tokens = F.transform("lows", lambda low, i: F.struct(bare_word(F.get("words", i)).alias("raw"), template_word("words", low, i).alias("word")))
+    tokens = F.transform("lows", lambda low, i: F.struct(bare_word(F.get("words", i)).alias("raw"), template_word("words", low, i).alias("word"), low.alias("low")))
     return words.select("item_id", "item_key", tokens.alias("tokens")).distinct()
 
 
-def item_windows(tokens: DataFrame, size: int) -> DataFrame:
-    """(item_key, n_windows, at, size, hash) of the windows that say something."""
+def item_windows(tokens: DataFrame, size: int, literal: bool = False) -> DataFrame:
+    """(item_key, n_windows, at, size, hash, literal) of the windows that say something; with ``literal`` also by their plain words."""
     n = F.size("tokens")
-    hashed = tokens.select("item_key", "tokens", F.transform("tokens", lambda t: F.xxhash64(t.getField("word"))).alias("hashes"), F.least(n, F.lit(size)).alias("size"))
+    hashes = [F.transform(f"tokens.{c}", lambda w: F.xxhash64(w)).alias(c) for c in ("word", "low")]
+    hashed = tokens.select("item_key", "tokens", *hashes, F.least(n, F.lit(size)).alias("size"))
     spans = F.transform(
         F.sequence(F.lit(0), n - F.col("size")),
         lambda i: F.struct(i.alias("at"), F.size(F.filter(F.slice("tokens", i + 1, F.col("size")), lambda t: t.getField("word").isin(NUMBER, UNIT, NAME))).alias("slots")),
     )
     telling = hashed.withColumn("spans", F.filter(spans, lambda s: 2 * s.getField("slots") <= F.col("size")))
-    rows = telling.select("item_key", "hashes", "size", F.size("spans").alias("n_windows"), F.explode("spans.at").alias("at"))
-    hash_ = F.lit(None).cast("bigint")
-    for k in range(1, size + 1):
-        hash_ = F.when(F.col("size") == k, F.xxhash64(*[F.get("hashes", F.col("at") + j) for j in range(k)])).otherwise(hash_)
-    return rows.select("item_key", "n_windows", "at", "size", hash_.alias("hash"))
+    rows = telling.select("item_key", "word", "low", "size", F.size("spans").alias("n_windows"), F.explode("spans").alias("span")).select("*", "span.*")
+
+    def windows(frame: DataFrame, field: str) -> DataFrame:
+        hash_ = F.lit(None).cast("bigint")
+        for k in range(1, size + 1):
+            hash_ = F.when(F.col("size") == k, F.xxhash64(*[F.get(field, F.col("at") + j) for j in range(k)])).otherwise(hash_)
+        return frame.select("item_key", "n_windows", "at", "size", hash_.alias("hash"), F.lit(field == "low").alias("literal"))
+
+    # without a slot both are the same window
+    return windows(rows.where("slots > 0"), "word").union(windows(rows, "low")) if literal else windows(rows, "word")
 
 
 def matches(docs: DataFrame, windows: DataFrame, settings: DecontaminationSettings, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, doc_key, item_key, n_windows, at, shift, size) of every window of a document that the benchmark has."""
+    """(doc_id, doc_key, item_key, n_windows, at, shift, size, literal) of every window of a document that the benchmark has."""
     about = {r["size"]: r.n for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}
     side = F.broadcast(windows) if sum(about.values()) <= settings.broadcast_windows else windows
     words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc_key"), words_of(F.col(text_col).cast("string")).alias("words"))
     words = words.withColumn("lows", low_words("words"))
-    hashed = words.select("doc_id", "doc_key", F.transform("lows", lambda low, i: F.xxhash64(template_word("words", low, i))).alias("hashes"))
+    hashed = words.select("doc_id", "doc_key", F.transform("lows", lambda low, i: F.xxhash64(template_word("words", low, i))).alias("hashes"), F.transform("lows", lambda low: F.xxhash64(low)).alias("plain"))
     out = None
     for size in sorted(about) or [settings.window]:
-        each = hashed.select("doc_id", "doc_key", F.posexplode(window_hashes("hashes", size)).alias("position", "hash"))
+        found = window_hashes("hashes", size)
+        if settings.literal:
+            either = F.zip_with(found, window_hashes("plain", size), lambda t, w: F.when(t == w, F.array(t)).otherwise(F.array(t, w)))
+            each = hashed.select("doc_id", "doc_key", F.posexplode(either).alias("position", "hashes")).withColumn("hash", F.explode("hashes"))
+        else:
+            each = hashed.select("doc_id", "doc_key", F.posexplode(found).alias("position", "hash"))
         own = side.where(F.col("size") == size) if len(about) > 1 else side
-        hit = each.join(own, "hash").select("doc_id", "doc_key", "item_key", "n_windows", "at", (F.col("position") - F.col("at")).alias("shift"), "size")
+        hit = each.join(own, "hash").select("doc_id", "doc_key", "item_key", "n_windows", "at", (F.col("position") - F.col("at")).alias("shift"), "size", "literal")
         out = hit if out is None else out.union(hit)
     return out.distinct()
 
@@ -139,11 +155,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontaminationSettin
     """doc_id, doc_key (xxhash64 of id and text), item_id, n_matched, n_windows and cover of every leaked item of every document."""
     scratch = Scratch(docs.sparkSession, "decontamination")
     tokens = scratch.store(item_tokens(benchmark, item_col, item_text_col), "tokens")
-    windows = scratch.store(item_windows(tokens, settings.window), "windows")
+    windows = scratch.store(item_windows(tokens, settings.window, settings.literal), "windows")
     found = scratch.store(matches(docs, windows, settings, id_col, text_col), "found")
-    wrong = inconsistent(found, tokens, docs, scratch, id_col, text_col)
+    wrong = inconsistent(found.where("not literal"), tokens, docs, scratch, id_col, text_col)
     if wrong is not None:
-        found = found.join(wrong, ["doc_key", "item_key", "shift"], "left_anti")
+        found = found.where("literal").union(found.where("not literal").join(wrong, ["doc_key", "item_key", "shift"], "left_anti").select(*found.columns))
     per_item = found.groupBy("doc_id", "doc_key", "item_key", "n_windows").agg(F.count_distinct("at").alias("n_matched"))
     cover = F.col("n_matched") / F.col("n_windows")
     leaked = per_item.withColumn("cover", cover).where(F.col("cover") >= settings.least_cover)
