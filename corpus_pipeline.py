@@ -23,8 +23,8 @@ from terrascore.operators.joins import lookup_join
 SHARD_BYTES = 32 << 20
 #: Most 8-byte keys that are broadcast.
 BROADCAST_KEYS = 1_000_000
-#: Verbatim copies in any case are leaks too.
-LEAKS = DecontaminationSettings(literal=True)
+#: Verbatim copies in any case and long passages of an item are leaks too.
+LEAKS = DecontaminationSettings(literal=True, least_run=13)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ benchmark that consist of placeholders for more than half are left out, as they
 
 This is the rule of the SQL of ``op9_decontamination``. With ``literal`` the windows are matched by their lower-cased words as well, so a
 verbatim copy in another case is found though its capitals make other names; a window counts as matched by either, and the slots of a
-window whose words are equal need no check.
+window whose words are equal need no check. With ``least_run`` an item is leaked as well if so many of its words in a row (all of a shorter
+item) stand in the document on one consistent alignment, whatever their share of the item; placeholders with other values do not count.
 
 Defined results: null or empty texts and items match nothing. Items shorter than a window form one shorter window. Repeated rows of
 documents give one result row per document id and item; repeated items each count. Documents without a leak give no row. A document
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascore.llm.common import Scratch
@@ -46,6 +47,7 @@ class DecontaminationSettings:
     least_cover: float = 0.5
     broadcast_windows: int = 1_000_000
     literal: bool = False
+    least_run: int | None = None
 
 
 def words_of(text: Column) -> Column:
@@ -93,7 +95,10 @@ def item_tokens(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def item_windows(tokens: DataFrame, size: int, literal: bool = False) -> DataFrame:
-    """(item_key, n_windows, at, size, hash, literal) of the windows that say something; with ``literal`` also by their plain words."""
+    """(item_key, n_words, n_windows, at, size, hash, literal, same) of the windows that say something; with ``literal`` also by their plain words.
+
+    ``same`` tells of every place of the window whether a match has the word of the item there.
+    """
     n = F.size("tokens")
     hashes = [F.transform(f"tokens.{c}", lambda w: F.xxhash64(w)).alias(c) for c in ("word", "low")]
     hashed = tokens.select("item_key", "tokens", *hashes, F.least(n, F.lit(size)).alias("size"))
@@ -102,20 +107,22 @@ def item_windows(tokens: DataFrame, size: int, literal: bool = False) -> DataFra
         lambda i: F.struct(i.alias("at"), F.size(F.filter(F.slice("tokens", i + 1, F.col("size")), lambda t: t.getField("word").isin(NUMBER, UNIT, NAME))).alias("slots")),
     )
     telling = hashed.withColumn("spans", F.filter(spans, lambda s: 2 * s.getField("slots") <= F.col("size")))
-    rows = telling.select("item_key", "word", "low", "size", F.size("spans").alias("n_windows"), F.explode("spans").alias("span")).select("*", "span.*")
+    rows = telling.select("item_key", "tokens", "word", "low", n.alias("n_words"), "size", F.size("spans").alias("n_windows"), F.explode("spans").alias("span")).select("*", "span.*")
 
     def windows(frame: DataFrame, field: str) -> DataFrame:
         hash_ = F.lit(None).cast("bigint")
         for k in range(1, size + 1):
             hash_ = F.when(F.col("size") == k, F.xxhash64(*[F.get(field, F.col("at") + j) for j in range(k)])).otherwise(hash_)
-        return frame.select("item_key", "n_windows", "at", "size", hash_.alias("hash"), F.lit(field == "low").alias("literal"))
+        own = F.slice("tokens.word", F.col("at") + 1, F.col("size"))
+        same = F.transform(own, lambda w: F.lit(field == "low") | ~w.isin(NUMBER, UNIT, NAME))
+        return frame.select("item_key", "n_words", "n_windows", "at", "size", hash_.alias("hash"), F.lit(field == "low").alias("literal"), same.alias("same"))
 
     # without a slot both are the same window
     return windows(rows.where("slots > 0"), "word").union(windows(rows, "low")) if literal else windows(rows, "word")
 
 
 def matches(docs: DataFrame, windows: DataFrame, settings: DecontaminationSettings, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, doc_key, item_key, n_windows, at, shift, size, literal) of every window of a document that the benchmark has."""
+    """(doc_id, doc_key, item_key, n_words, n_windows, at, shift, size, literal, same) of every window of a document that the benchmark has."""
     about = {r["size"]: r.n for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}
     side = F.broadcast(windows) if sum(about.values()) <= settings.broadcast_windows else windows
     words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc_key"), words_of(F.col(text_col).cast("string")).alias("words"))
@@ -130,7 +137,7 @@ def matches(docs: DataFrame, windows: DataFrame, settings: DecontaminationSettin
         else:
             each = hashed.select("doc_id", "doc_key", F.posexplode(found).alias("position", "hash"))
         own = side.where(F.col("size") == size) if len(about) > 1 else side
-        hit = each.join(own, "hash").select("doc_id", "doc_key", "item_key", "n_windows", "at", (F.col("position") - F.col("at")).alias("shift"), "size", "literal")
+        hit = each.join(own, "hash").select("doc_id", "doc_key", "item_key", "n_words", "n_windows", "at", (F.col("position") - F.col("at")).alias("shift"), "size", "literal", "same")
         out = hit if out is None else out.union(hit)
     return out.distinct()
 
@@ -151,6 +158,15 @@ def inconsistent(found: DataFrame, tokens: DataFrame, docs: DataFrame, scratch:
     return kinds.where("low <> high").select("doc_key", "item_key", "shift").distinct()
 
 
+def longest_runs(found: DataFrame) -> DataFrame:
+    """(doc_key, item_key, run): most words in a row matched on one alignment, without placeholders of other values."""
+    alignment = ["doc_key", "item_key", "shift"]
+    places = found.select(*alignment, "at", F.posexplode("same").alias("k", "same")).groupBy(*alignment, (F.col("at") + F.col("k")).alias("place")).agg(F.max("same").alias("same"))
+    island = F.col("place") - F.row_number().over(Window.partitionBy(*alignment).orderBy("place"))
+    runs = places.withColumn("island", island).groupBy(*alignment, "island").agg(F.count_if("same").alias("run"))
+    return runs.groupBy("doc_key", "item_key").agg(F.max("run").alias("run"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontaminationSettings = DecontaminationSettings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, doc_key (xxhash64 of id and text), item_id, n_matched, n_windows and cover of every leaked item of every document."""
     scratch = Scratch(docs.sparkSession, "decontamination")
@@ -160,8 +176,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontaminationSettin
     wrong = inconsistent(found.where("not literal"), tokens, docs, scratch, id_col, text_col)
     if wrong is not None:
         found = found.where("literal").union(found.where("not literal").join(wrong, ["doc_key", "item_key", "shift"], "left_anti").select(*found.columns))
-    per_item = found.groupBy("doc_id", "doc_key", "item_key", "n_windows").agg(F.count_distinct("at").alias("n_matched"))
+    per_item = found.groupBy("doc_id", "doc_key", "item_key", "n_words", "n_windows").agg(F.count_distinct("at").alias("n_matched"))
     cover = F.col("n_matched") / F.col("n_windows")
-    leaked = per_item.withColumn("cover", cover).where(F.col("cover") >= settings.least_cover)
+    leaked = per_item.withColumn("cover", cover)
+    if settings.least_run is None:
+        leaked = leaked.where(F.col("cover") >= settings.least_cover)
+    else:
+        whole = F.col("run") >= F.least(F.lit(settings.least_run), F.col("n_words"))
+        leaked = leaked.join(longest_runs(found), ["doc_key", "item_key"]).where((F.col("cover") >= settings.least_cover) | whole)
     names = tokens.select("item_key", "item_id").distinct()
     return leaked.join(names, "item_key").select("doc_id", "doc_key", "item_id", F.col("n_matched").cast("long").alias("n_matched"), F.col("n_windows").cast("long").alias("n_windows"), "cover")

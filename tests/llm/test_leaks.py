@@ -25,3 +25,13 @@ def test_copies_in_another_case_are_leaks(found):
 
 def test_one_edited_slot_leaves_the_literal_windows(found):
     assert found([QUESTION.replace("with Tom", "with Sam")], [QUESTION]) == [(0, 0)]
+
+
+@pytest.mark.parametrize("n_words, n_copied", [(52, 26), (52, 13), (200, 100)])
+def test_a_long_passage_of_a_longer_item_is_a_leak(found, n_words, n_copied):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n_words)]
+    passage, short = " ".join(words[5 : 5 + n_copied]), " ".join(words[5:17])
+    assert found([f"before it {passage} after it", f"before it {short} after it"], [" ".join(words)]) == [(0, 0)]
+    # the passage has to be in a row
+    broken = " and ".join(" ".join(words[k : k + 8]) for k in (0, 8, 16))
+    assert found([broken], [" ".join(words)]) == []
