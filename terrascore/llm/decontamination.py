@@ -12,7 +12,9 @@ benchmark that consist of placeholders for more than half are left out, as they
 This is the rule of the SQL of ``op9_decontamination``. With ``literal`` the windows are matched by their lower-cased words as well, so a
 verbatim copy in another case is found though its capitals make other names; a window counts as matched by either, and the slots of a
 window whose words are equal need no check. With ``least_run`` an item is leaked as well if so many of its words in a row (all of a shorter
-item) stand in the document on one consistent alignment, whatever their share of the item; placeholders with other values do not count.
+item) stand in the document on one consistent alignment, whatever their share of the item; placeholders with other values do not count. With
+``literal`` windows of mostly placeholders are matched by their words too: they count for runs, and for the cover of an item that has no
+others (number series, lists of names).
 
 Defined results: null or empty texts and items match nothing. Items shorter than a window form one shorter window. Repeated rows of
 documents give one result row per document id and item; repeated items each count. Documents without a leak give no row. A document
@@ -95,9 +97,9 @@ def item_tokens(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def item_windows(tokens: DataFrame, size: int, literal: bool = False) -> DataFrame:
-    """(item_key, n_words, n_windows, at, size, hash, literal, same) of the windows that say something; with ``literal`` also by their plain words.
+    """(item_key, n_words, n_windows, at, size, hash, literal, counts, same) of the windows that say something; with ``literal`` all by their plain words as well.
 
-    ``same`` tells of every place of the window whether a match has the word of the item there.
+    ``counts``: the window is one of the ``n_windows`` of the cover. ``same`` tells of every place of the window whether a match has the word of the item there.
     """
     n = F.size("tokens")
     hashes = [F.transform(f"tokens.{c}", lambda w: F.xxhash64(w)).alias(c) for c in ("word", "low")]
@@ -106,8 +108,12 @@ def item_windows(tokens: DataFrame, size: int, literal: bool = False) -> DataFra
         F.sequence(F.lit(0), n - F.col("size")),
         lambda i: F.struct(i.alias("at"), F.size(F.filter(F.slice("tokens", i + 1, F.col("size")), lambda t: t.getField("word").isin(NUMBER, UNIT, NAME))).alias("slots")),
     )
-    telling = hashed.withColumn("spans", F.filter(spans, lambda s: 2 * s.getField("slots") <= F.col("size")))
-    rows = telling.select("item_key", "tokens", "word", "low", n.alias("n_words"), "size", F.size("spans").alias("n_windows"), F.explode("spans").alias("span")).select("*", "span.*")
+    telling = F.filter("spans", lambda s: 2 * s.getField("slots") <= F.col("size"))
+    spanned = hashed.withColumn("spans", spans).withColumn("telling", telling)
+    # an item of which no window says something is covered by its plain words
+    base = F.when(F.size("telling") > 0, F.col("telling")).otherwise(F.col("spans"))
+    rows = spanned.select("item_key", "tokens", "word", "low", n.alias("n_words"), "size", F.size("telling").alias("n_telling"), F.size(base).alias("n_windows"), F.explode("spans").alias("span")).select("*", "span.*")
+    rows = rows.withColumn("tells", 2 * F.col("slots") <= F.col("size")).withColumn("counts", F.col("tells") | (F.col("n_telling") == 0))
 
     def windows(frame: DataFrame, field: str) -> DataFrame:
         hash_ = F.lit(None).cast("bigint")
@@ -115,14 +121,14 @@ def item_windows(tokens: DataFrame, size: int, literal: bool = False) -> DataFra
             hash_ = F.when(F.col("size") == k, F.xxhash64(*[F.get(field, F.col("at") + j) for j in range(k)])).otherwise(hash_)
         own = F.slice("tokens.word", F.col("at") + 1, F.col("size"))
         same = F.transform(own, lambda w: F.lit(field == "low") | ~w.isin(NUMBER, UNIT, NAME))
-        return frame.select("item_key", "n_words", "n_windows", "at", "size", hash_.alias("hash"), F.lit(field == "low").alias("literal"), same.alias("same"))
+        return frame.select("item_key", "n_words", "n_windows", "at", "size", hash_.alias("hash"), F.lit(field == "low").alias("literal"), "counts", same.alias("same"))
 
     # without a slot both are the same window
-    return windows(rows.where("slots > 0"), "word").union(windows(rows, "low")) if literal else windows(rows, "word")
+    return windows(rows.where("tells and slots > 0"), "word").union(windows(rows, "low")) if literal else windows(rows.where("tells"), "word")
 
 
 def matches(docs: DataFrame, windows: DataFrame, settings: DecontaminationSettings, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, doc_key, item_key, n_words, n_windows, at, shift, size, literal, same) of every window of a document that the benchmark has."""
+    """(doc_id, doc_key, item_key, n_words, n_windows, at, shift, size, literal, counts, same) of every window of a document that the benchmark has."""
     about = {r["size"]: r.n for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}
     side = F.broadcast(windows) if sum(about.values()) <= settings.broadcast_windows else windows
     words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc_key"), words_of(F.col(text_col).cast("string")).alias("words"))
@@ -137,7 +143,7 @@ def matches(docs: DataFrame, windows: DataFrame, settings: DecontaminationSettin
         else:
             each = hashed.select("doc_id", "doc_key", F.posexplode(found).alias("position", "hash"))
         own = side.where(F.col("size") == size) if len(about) > 1 else side
-        hit = each.join(own, "hash").select("doc_id", "doc_key", "item_key", "n_words", "n_windows", "at", (F.col("position") - F.col("at")).alias("shift"), "size", "literal", "same")
+        hit = each.join(own, "hash").select("doc_id", "doc_key", "item_key", "n_words", "n_windows", "at", (F.col("position") - F.col("at")).alias("shift"), "size", "literal", "counts", "same")
         out = hit if out is None else out.union(hit)
     return out.distinct()
 
@@ -176,7 +182,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontaminationSettin
     wrong = inconsistent(found.where("not literal"), tokens, docs, scratch, id_col, text_col)
     if wrong is not None:
         found = found.where("literal").union(found.where("not literal").join(wrong, ["doc_key", "item_key", "shift"], "left_anti").select(*found.columns))
-    per_item = found.groupBy("doc_id", "doc_key", "item_key", "n_words", "n_windows").agg(F.count_distinct("at").alias("n_matched"))
+    per_item = found.groupBy("doc_id", "doc_key", "item_key", "n_words", "n_windows").agg(F.count_distinct(F.when(F.col("counts"), F.col("at"))).alias("n_matched"))
     cover = F.col("n_matched") / F.col("n_windows")
     leaked = per_item.withColumn("cover", cover)
     if settings.least_run is None:

@@ -35,3 +35,9 @@ def test_a_long_passage_of_a_longer_item_is_a_leak(found, n_words, n_copied):
     # the passage has to be in a row
     broken = " and ".join(" ".join(words[k : k + 8]) for k in (0, 8, 16))
     assert found([broken], [" ".join(words)]) == []
+
+
+@pytest.mark.parametrize("item", ["1 1 2 3 5 8 13 21 34 55 89 144", "Dear Anna Bert Carl Dora Emil Fritz Gerd Hans Ida Jana", "3 kg 4 kg 5 kg 6 kg 7 kg"])
+def test_an_item_of_placeholders_is_found_as_it_stands(found, item):
+    other = "7 1 9 3 2 8 10 20 30 50 90 100 Dear Karl Lena Max Nina Olaf Paul Rosa Sven Tina Ulla 9 kg 8 kg 1 kg 2 kg 3 kg"
+    assert found([f"so it begins. {item} and so on", other], [item]) == [(0, 0)]
