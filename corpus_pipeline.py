@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terrascore.llm.common import Scratch
 from terrascore.llm.decontamination import DecontaminationSettings, leaks
-from terrascore.llm.mixing import mix_to_targets
+from terrascore.llm.mixing import MixingSettings, mix_to_targets
 from terrascore.llm.ngram_join import ngram_join
 from terrascore.llm.rules import quality_rules
 from terrascore.llm.sharding import shards
@@ -23,6 +23,8 @@ from terrascore.operators.joins import lookup_join
 SHARD_BYTES = 32 << 20
 #: Most 8-byte keys that are broadcast.
 BROADCAST_KEYS = 1_000_000
+#: Sources, languages and topics meet their targets as long as half of the tokens are kept; rare ones do not cost more than that.
+MIXING = MixingSettings(least_kept=0.5)
 #: Verbatim copies in any case and long passages of an item are leaks too.
 LEAKS = DecontaminationSettings(literal=True, least_run=13)
 
@@ -70,8 +72,8 @@ def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with probabilities that bring sources, languages and topics to their target shares of the tokens."""
-    return mix_to_targets(docs, carry=True).where("sampled").select("row.*")
+    """Documents drawn with probabilities that bring sources, languages and topics to their target shares of the tokens, or as near as MIXING allows."""
+    return mix_to_targets(docs, MIXING, carry=True).where("sampled").select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ level of one dimension after the other: margins are grouped sums over the cells,
 neither the number of sources nor of topics is limited; only one number per sweep, the largest deviation from a target, reaches the
 driver. After convergence the sampling probability of a document is ``min(1, c * weight)`` of its cell. By default c is the largest value
 for which no probability is cut, so the expected tokens of the sample meet every target; with ``keep_share`` it is calibrated so that the
-expected tokens are that share of all, and cells at probability 1 fall short of their target. A document is drawn by a hash of its id and text, so the draw does not depend on
+expected tokens are that share of all, and cells at probability 1 fall short of their target. With ``least_kept`` c stays the exact one
+while it keeps that share of the tokens, and is calibrated to it otherwise, so that a few rare cells do not decide how much of all is
+kept; the share kept and the levels that fall short are logged, and ``shares_kept`` has them all. A document is drawn by a hash of its id and text, so the draw does not depend on
 partitions or on repeated runs.
 
 Targets of a dimension are explicit shares, or an exponent that tempers the shares found in the data (1 keeps them, 0 makes all
@@ -18,6 +20,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -42,6 +45,7 @@ NO_TOPIC, NO_LEVEL = "general", "(none)"
 class MixingSettings:
     targets: Mapping[str, float | Mapping[str, float]] = field(default_factory=lambda: {"source": 0.9, "lang": 0.9, "topic": 0.9})
     keep_share: float | None = None  # None: as many as keep every target exactly
+    least_kept: float | None = None  # share of the tokens below which targets give way to it
     tolerance: float = 1e-6
     sweeps: int = 40
 
@@ -108,13 +112,16 @@ def rake(cells: DataFrame, settings: MixingSettings, scratch: Scratch) -> DataFr
     return now
 
 
-def scale_for(cells: DataFrame, keep_share: float | None) -> float:
+def scale_for(cells: DataFrame, keep_share: float | None, least_kept: float | None = None) -> float:
     """c of the sampling probabilities; for a given share by a search with one small aggregate per 64 steps."""
     total, most, least = cells.agg(F.sum("tokens"), F.max("weight"), F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()
     if not total or not most:
         return 1.0
     if keep_share is None:
-        return 1.0 / most
+        # the weighted tokens sum to all tokens, so the exact c is the share it keeps
+        if least_kept is None or 1.0 / most >= least_kept:
+            return 1.0 / most
+        keep_share = least_kept
     low, high = 0.0, 1.0 / least
     for _ in range(5):
         grid = [low + (high - low) * k / 64 for k in range(65)]
@@ -127,12 +134,33 @@ def scale_for(cells: DataFrame, keep_share: float | None) -> float:
 
 
 def cell_weights(rows: DataFrame, settings: MixingSettings, scratch: Scratch) -> DataFrame:
-    """(the levels, weight, probability) of every cell of measured rows."""
+    """(the levels, tokens, weight, probability) of every cell of measured rows."""
     dimensions = list(settings.targets)
     cells = scratch.store(rows.groupBy(*dimensions).agg(F.sum("n_tokens").alias("tokens")), "cells")
     raked = rake(cells, settings, scratch)
-    probability = F.least(F.lit(1.0), F.lit(scale_for(raked, settings.keep_share)) * F.col("weight"))
-    return scratch.store(raked.select(*dimensions, "weight", probability.alias("probability")), "weights")
+    probability = F.least(F.lit(1.0), F.lit(scale_for(raked, settings.keep_share, settings.least_kept)) * F.col("weight"))
+    return scratch.store(raked.select(*dimensions, "tokens", "weight", probability.alias("probability")), "weights")
+
+
+def shares_kept(cells: DataFrame, dimensions: list[str]) -> DataFrame:
+    """(dimension, level, target, share) of every level: its share of the weighted and of the expected tokens."""
+    out = None
+    both = cells.agg(F.sum(F.col("tokens") * F.col("weight")).alias("all"), F.sum(F.col("tokens") * F.col("probability")).alias("kept")).first()
+    for d in dimensions:
+        sums = cells.groupBy(F.col(d).alias("level")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("target"), F.sum(F.col("tokens") * F.col("probability")).alias("share"))
+        one = sums.select(F.lit(d).alias("dimension"), "level", (F.col("target") / F.lit(both["all"] or 1.0)).alias("target"), (F.col("share") / F.lit(both["kept"] or 1.0)).alias("share"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def log_shares(cells: DataFrame, dimensions: list[str]) -> None:
+    total, kept = cells.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability"))).first()
+    if not total:
+        return
+    short = shares_kept(cells, dimensions).where(F.col("share") < 0.999 * F.col("target"))
+    n, first = short.count(), short.orderBy(F.col("share") / F.col("target")).limit(20).collect()
+    names = "; ".join(f"{r.dimension} {r.level} {r.share:.3g} of {r.target:.3g}" for r in first)
+    logging.getLogger(__name__).log(logging.WARNING if n else logging.INFO, "%.1f%% of the tokens are kept, %d levels fall short of their target%s", 100 * kept / total, n, f", by most: {names}" if n else "")
 
 
 def mix_to_targets(docs: DataFrame, settings: MixingSettings = MixingSettings(), id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -141,6 +169,9 @@ def mix_to_targets(docs: DataFrame, settings: MixingSettings = MixingSettings(),
     dimensions = list(settings.targets)
     rows = scratch.store(measured(docs, dimensions, id_col, text_col), "rows")
     weights = cell_weights(rows, settings, scratch)
+    if settings.least_kept is not None:
+        log_shares(weights, dimensions)
+    weights = weights.drop("tokens")
     if carry:
         rows = measured(docs, dimensions, id_col, text_col, carry=True)
     kept = ["row"] if carry else []
