@@ -11,6 +11,7 @@ from terrascore.llm.decontamination import NAME, NUMBER, NUMBER_WORDS, PUNCTUATI
 from terrascore.llm.language import fit_language
 from terrascore.llm.mixing import mix_to_targets
 from terrascore.llm.ngram_join import ngram_join
+from terrascore.llm.periods import periodic_runs, run_digest, with_repeats
 from terrascore.llm.quality import fit_quality, graded
 from terrascore.llm.rules import STOP_WORDS, quality_rules
 from terrascore.llm.secrets import digest, secret_scan
@@ -73,7 +74,26 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return fit_language(docs).predict(docs)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_mixing, op4_ngram_join, op5_quality_rules, op6_sharding, op7_secrets, op8_tokens, op9_decontamination, op10_language)}
+def op11_periods(spark: SparkSession, folder: str) -> DataFrame:
+    return run_digest(periodic_runs(with_repeats(table(spark, folder, "documents"))))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_quality,
+        op2_toxicity,
+        op3_mixing,
+        op4_ngram_join,
+        op5_quality_rules,
+        op6_sharding,
+        op7_secrets,
+        op8_tokens,
+        op9_decontamination,
+        op10_language,
+        op11_periods,
+    )
+}
 
 #: Words of the contracts in SQL: A-Z lowered, split on the six white-space bytes.
 WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w : w <> '')"
