@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from terrascore.llm.content_sort import exact_copies
 from terrascore.llm.decontamination import NAME, NUMBER, NUMBER_WORDS, PUNCTUATION, UNIT, UNITS, leaks
 from terrascore.llm.language import fit_language
 from terrascore.llm.mixing import mix_to_targets
@@ -78,6 +79,10 @@ def op11_periods(spark: SparkSession, folder: str) -> DataFrame:
     return run_digest(periodic_runs(with_repeats(table(spark, folder, "documents"))))
 
 
+def op13_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_copies(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
         op9_decontamination,
         op10_language,
         op11_periods,
+        op13_exact_copies,
     )
 }
 
@@ -173,4 +179,11 @@ good AS (SELECT doc_id, item_id, count(DISTINCT place_at) AS n_matched FROM hits
 SELECT doc_id, item_id, n_matched, n AS n_windows, n_matched / n AS cover FROM good JOIN total USING (item_id) WHERE n_matched / n >= 0.5
 """
 
-ORACLES: dict[str, str] = {"op4_ngram_join": OP4, "op5_quality_rules": OP5, "op6_sharding": OP6, "op9_decontamination": OP9}
+OP13 = r"""
+WITH b AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 AS kept, count(*) OVER (PARTITION BY body) AS group_size
+    FROM b WINDOW w AS (PARTITION BY body ORDER BY size DESC, doc_id))
+SELECT doc_id, keep_id, group_size, kept, sha256(body) AS text_sha256 FROM g
+"""
+
+ORACLES: dict[str, str] = {"op4_ngram_join": OP4, "op5_quality_rules": OP5, "op6_sharding": OP6, "op9_decontamination": OP9, "op13_exact_copies": OP13}
