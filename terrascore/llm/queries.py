@@ -13,6 +13,7 @@ from terrascore.llm.language import fit_language
 from terrascore.llm.mixing import mix_to_targets
 from terrascore.llm.ngram_join import ngram_join
 from terrascore.llm.periods import periodic_runs, run_digest, with_repeats
+from terrascore.llm.prefix_trie import prefix_trie, turn_sequences, with_shared_starts
 from terrascore.llm.quality import fit_quality, graded
 from terrascore.llm.rules import STOP_WORDS, quality_rules
 from terrascore.llm.secrets import digest, secret_scan
@@ -79,6 +80,10 @@ def op11_periods(spark: SparkSession, folder: str) -> DataFrame:
     return run_digest(periodic_runs(with_repeats(table(spark, folder, "documents"))))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(with_shared_starts(turn_sequences(table(spark, folder, "conversations"))))
+
+
 def op13_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return exact_copies(table(spark, folder, "documents"))
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
         op9_decontamination,
         op10_language,
         op11_periods,
+        op12_prefix_trie,
         op13_exact_copies,
     )
 }
@@ -179,6 +185,25 @@ good AS (SELECT doc_id, item_id, count(DISTINCT place_at) AS n_matched FROM hits
 SELECT doc_id, item_id, n_matched, n AS n_windows, n_matched / n AS cover FROM good JOIN total USING (item_id) WHERE n_matched / n >= 0.5
 """
 
+#: The crc32 of a decimal id, bit by bit.
+CRC = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x : ascii(x)::BIGINT)),
+    lambda crc, b : list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z : CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295)"""
+
+OP12 = rf"""
+WITH o AS (SELECT conv_id, list({{'k': coalesce(role, '') || chr(1) || coalesce(text, ''), 'w': len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))}}
+    ORDER BY turn NULLS FIRST) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+c AS (SELECT conv_id, t, conv_id - conv_id % 20 AS first_id, {CRC} % 4 AS h FROM o),
+r AS (SELECT c.conv_id, list_concat(coalesce(f.t, [])[1:h], c.t[h + 1:]) AS t FROM c LEFT JOIN o f ON f.conv_id = first_id),
+p AS (SELECT conv_id, len(t) AS size, d, list_transform(t[1:d], lambda x : x.k) AS path, CASE WHEN d > 0 THEN t[d].w END AS w FROM r, unnest(range(0, len(t) + 1)) u(d)),
+n AS (SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(w), 0) AS saved,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = d), '') AS ends FROM p GROUP BY d, path),
+k AS (SELECT d - 1 AS d, path[1:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (d, path)),
+s AS (SELECT a AS d, path[1:a] AS path, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM m, unnest(range(0, d + 1)) u(a) GROUP BY ALL)
+SELECT m.conv_id, m.d AS depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s USING (d, path) LEFT JOIN n up ON up.d = m.d - 1 AND up.path = m.path[1:m.d - 1]
+"""
+
 OP13 = r"""
 WITH b AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 AS kept, count(*) OVER (PARTITION BY body) AS group_size
@@ -186,4 +211,4 @@ g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 A
 SELECT doc_id, keep_id, group_size, kept, sha256(body) AS text_sha256 FROM g
 """
 
-ORACLES: dict[str, str] = {"op4_ngram_join": OP4, "op5_quality_rules": OP5, "op6_sharding": OP6, "op9_decontamination": OP9, "op13_exact_copies": OP13}
+ORACLES: dict[str, str] = {"op4_ngram_join": OP4, "op5_quality_rules": OP5, "op6_sharding": OP6, "op9_decontamination": OP9, "op12_prefix_trie": OP12, "op13_exact_copies": OP13}
