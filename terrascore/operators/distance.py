@@ -1,29 +1,26 @@
-"""Distances between places: nearest hub, neighbours, all-pairs statistics, gravity.
+"""Distances between places: nearest hub, neighbours, gravity; ``operators/pairs.py`` has the statistics over all pairs.
 
 Places that share coordinates are collapsed to one position with a count, so a
-crowded spot costs one row. All-pairs statistics are quadratic in positions by
-definition; they are computed in tiles of bounded size that return only partial
-results, never the pairs.
+crowded spot costs one row.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascore.functions.geo import EARTH_RADIUS_KM, haversine_km
 from terrascore.functions.numbers import distance_decay
+from terrascore.operators.grid import cell_box, cell_of
 from terrascore.operators.joins import lookup_join
+from terrascore.operators.pairs import gravity
 from terrascore.operators.scaling import minmax_scale
 from terrascore.session import materialize
 
 KM_PER_DEGREE = EARTH_RADIUS_KM * math.pi / 180
-TILE_POSITIONS = 8_192
 CELL_HUBS = 16
 
 
@@ -82,26 +79,8 @@ def nearest_hub(df: DataFrame, hubs: DataFrame) -> DataFrame:
     return lookup_join(df, materialize(found, "nearest"), ["lat", "lon"], "n")
 
 
-def _cell(lat: Column, lon: Column, size: float) -> Column:
-    """Grid cell as one number; rows run south to north, columns from -180."""
-    columns = round(360 / size)
-    row = F.least(F.floor((lat + 90) / size), F.lit(round(180 / size) - 1))
-    col = F.least(F.floor((lon + 180) / size), F.lit(columns - 1))
-    return (row * columns + col).cast("bigint")
-
-
-def _cell_box(cell: Column, size: float) -> tuple[Column, Column, Column]:
-    """Centre of a cell and a radius that covers it."""
-    columns = round(360 / size)
-    row, col = F.floor(cell / columns), cell % columns
-    lat, lon = row * size - 90 + size / 2, col * size - 180 + size / 2
-    low = haversine_km(lat, lon, lat - size / 2, lon - size / 2)
-    high = haversine_km(lat, lon, lat + size / 2, lon - size / 2)
-    return lat, lon, F.greatest(low, high) + 1e-6
-
-
 def _fullest_cell(hub_spots: DataFrame, size: float) -> int:
-    cells = hub_spots.groupBy(_cell(F.col("hub_lat"), F.col("hub_lon"), size)).count()
+    cells = hub_spots.groupBy(cell_of(F.col("hub_lat"), F.col("hub_lon"), size)).count()
     return cells.agg(F.max("count")).head()[0]
 
 
@@ -117,8 +96,8 @@ def _nearest_by_cells(spots: DataFrame, hub_spots: DataFrame, others: bool = Fal
     while sizes[-1] > 2e-6 and _fullest_cell(hub_spots, sizes[-1]) > CELL_HUBS:
         sizes.append(sizes[-1] / 4)
     finest = sizes[-1]
-    a = spots.select(_cell(F.col("lat"), F.col("lon"), finest).alias("a")).distinct()
-    h = hub_spots.groupBy(_cell(F.col("hub_lat"), F.col("hub_lon"), finest).alias("h")).agg(F.count(F.lit(1)).alias("held"))
+    a = spots.select(cell_of(F.col("lat"), F.col("lon"), finest).alias("a")).distinct()
+    h = hub_spots.groupBy(cell_of(F.col("hub_lat"), F.col("hub_lon"), finest).alias("h")).agg(F.count(F.lit(1)).alias("held"))
     a_cells = materialize(_pyramid(a, "a", sizes), "spot-cells")
     h_cells = materialize(_pyramid(h, "h", sizes, "held"), "hub-cells")
 
@@ -136,8 +115,8 @@ def _nearest_by_cells(spots: DataFrame, hub_spots: DataFrame, others: bool = Fal
     candidates = pairs.select(F.col(f"a{last}").alias("a"), F.col(f"h{last}").alias("h"))
 
     # spots meet the hubs of the cells that can hold their nearest one, as rows; a minimum per spot is left
-    placed = spots.withColumn("a", _cell(F.col("lat"), F.col("lon"), finest))
-    hubs = hub_spots.withColumn("h", _cell(F.col("hub_lat"), F.col("hub_lon"), finest))
+    placed = spots.withColumn("a", cell_of(F.col("lat"), F.col("lon"), finest))
+    hubs = hub_spots.withColumn("h", cell_of(F.col("hub_lat"), F.col("hub_lon"), finest))
     met = placed.join(materialize(candidates, "cell-pairs"), "a").join(hubs, "h")
     if others:
         met = met.filter(F.col("hub_id") != F.col("first_id"))
@@ -148,16 +127,16 @@ def _nearest_by_cells(spots: DataFrame, hub_spots: DataFrame, others: bool = Fal
 
 def _pyramid(cells: DataFrame, name: str, sizes: Sequence[float], *keep: str) -> DataFrame:
     """For each finest cell its enclosing cell at every level."""
-    lat, lon, _ = _cell_box(F.col(name), sizes[-1])
-    above = [_cell(lat, lon, size).alias(f"{name}{i}") for i, size in enumerate(sizes[:-1])]
+    lat, lon, _ = cell_box(F.col(name), sizes[-1])
+    above = [cell_of(lat, lon, size).alias(f"{name}{i}") for i, size in enumerate(sizes[:-1])]
     return cells.select(*above, F.col(name).alias(f"{name}{len(sizes) - 1}"), *keep)
 
 
 def _prune(pairs: DataFrame, size: float, level: int, others: bool) -> DataFrame:
     """Drop hub cells that lie farther away than some hub is sure to be."""
     a, h = f"a{level}", f"h{level}"
-    a_lat, a_lon, a_r = _cell_box(F.col(a), size)
-    h_lat, h_lon, h_r = _cell_box(F.col(h), size)
+    a_lat, a_lon, a_r = cell_box(F.col(a), size)
+    h_lat, h_lon, h_r = cell_box(F.col(h), size)
     measured = pairs.withColumn("_d", haversine_km(a_lat, a_lon, h_lat, h_lon)).withColumn("_r", a_r + h_r)
     # a cell's only hub may be the spot itself, which promises nothing about others
     sure = F.col("_d") + F.col("_r")
@@ -229,163 +208,7 @@ def pairwise_distance(df: DataFrame, max_km: float) -> DataFrame:
     )
 
 
-# -- all-pairs statistics -----------------------------------------------------------
-
-
-def tile_map(
-    left: DataFrame,
-    right: DataFrame,
-    kernel: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame],
-    schema: str,
-    symmetric: bool = False,
-    tile: int = TILE_POSITIONS,
-    spread: Sequence[str] = ("lat", "lon"),
-) -> DataFrame:
-    """Run ``kernel`` on every pair of position tiles and union its partial results.
-
-    Positions are hashed by their ``spread`` columns into tiles of about ``tile`` rows, so a task holds two
-    tiles however many positions there are. With ``symmetric`` (both sides the
-    same frame) only half of the tile pairs run; the kernel is told whether the
-    two tiles are the same one.
-    """
-    n_left = max(1, math.ceil(left.count() / tile))
-    n_right = n_left if symmetric else max(1, math.ceil(right.count() / tile))
-    where = F.xxhash64(*spread)
-    a = left.withColumn("_i", F.pmod(where, F.lit(n_left)).cast("int"))
-    # fresh aliases: the two sides may be one frame, and shared attributes lose columns to pruning
-    b = right.select(*[F.col(c).alias(c) for c in right.columns]).withColumn("_j", F.pmod(where, F.lit(n_right)).cast("int"))
-    a = a.withColumn("_j", F.explode(F.sequence(F.col("_i") if symmetric else F.lit(0), F.lit(n_right - 1))))
-    b = b.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j") if symmetric else F.lit(n_left - 1))))
-
-    columns = [f.split()[0] for f in schema.split(", ")]
-
-    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({c: [] for c in columns})
-        return kernel(x, y, symmetric and key[0] == key[1])
-
-    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(run, schema)
-
-
-def _km_block(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
-    """Distances in km between the rows of two frames, rounded to a millimetre."""
-    lat1, lon1 = np.radians(x["lat"].to_numpy())[:, None], np.radians(x["lon"].to_numpy())[:, None]
-    lat2, lon2 = np.radians(y["lat"].to_numpy())[None, :], np.radians(y["lon"].to_numpy())[None, :]
-    chord = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2
-    chord = np.minimum(chord, 1.0)
-    return np.round(2 * EARTH_RADIUS_KM * np.arctan2(np.sqrt(chord), np.sqrt(1 - chord)), 6)
-
-
-def _strips(x: pd.DataFrame, y: pd.DataFrame, same: bool, rows: int = 256) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """Distance strips of a tile with the mask of cells that count (each pair once)."""
-    for start in range(0, len(x), rows):
-        part = x.iloc[start : start + rows]
-        km = _km_block(part, y)
-        mask = np.ones(km.shape, dtype=bool)
-        if same:
-            mask = part["first_id"].to_numpy()[:, None] < y["first_id"].to_numpy()[None, :]
-        yield part, km, mask
-
-
-def _extremes_kernel(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> pd.DataFrame:
-    """Moments and extreme pairs of one tile; ties go to the smallest ids."""
-    rows = []
-    for part, km, mask in _strips(x, y, same):
-        if not mask.any():
-            continue
-        ia, ib = np.broadcast_arrays(part["first_id"].to_numpy()[:, None], y["first_id"].to_numpy()[None, :])
-        lo, hi = np.minimum(ia, ib), np.maximum(ia, ib)
-        weight = part["n"].to_numpy()[:, None].astype(float) * y["n"].to_numpy()[None, :]
-        d, w = km[mask], weight[mask]
-        record = {"pairs": w.sum(), "total": (w * d).sum(), "squares": (w * d * d).sum()}
-        for name, value in (("near", d.min()), ("far", d.max())):
-            tied = mask & (km == value)
-            first = np.lexsort((hi[tied], lo[tied]))[0]
-            record |= {f"{name}_km": value, f"{name}_a": lo[tied][first], f"{name}_b": hi[tied][first]}
-        rows.append(record)
-    columns = ["pairs", "total", "squares", "near_km", "near_a", "near_b", "far_km", "far_a", "far_b"]
-    return pd.DataFrame(rows, columns=columns)
-
-
-def _pair_partials(spots: DataFrame) -> DataFrame:
-    schema = "pairs double, total double, squares double, near_km double, near_a bigint, near_b bigint, far_km double, far_a bigint, far_b bigint"
-    return tile_map(spots, spots, _extremes_kernel, schema, symmetric=True)
-
-
-def distance_stats(spots: DataFrame, bins: int = 16_384) -> DataFrame:
-    """Min, max, mean, median and population deviation over all pairs further apart than zero."""
-    spark = spots.sparkSession
-    parts = materialize(_pair_partials(spots), "pair-partials")
-    totals = parts.agg(
-        F.sum("pairs").alias("pairs"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("near_km").alias("lo"), F.max("far_km").alias("hi")
-    ).head()
-    pairs = int(round(totals["pairs"] or 0))
-    if pairs == 0:
-        return spark.createDataFrame([], "pairs bigint, min_km double, max_km double, mean_km double, median_km double, std_km double")
-    mean = totals["total"] / pairs
-    deviation = math.sqrt(max(totals["squares"] / pairs - mean * mean, 0.0))
-    middle = _pairs_at(spots, [(pairs - 1) // 2, pairs // 2], round(totals["lo"] * 1e6), round(totals["hi"] * 1e6), bins)
-    row = (pairs, totals["lo"], totals["hi"], mean, sum(middle) / len(middle), deviation)
-    return spark.createDataFrame([row], "pairs bigint, min_km double, max_km double, mean_km double, median_km double, std_km double")
-
-
-def _pairs_at(spots: DataFrame, ranks: list[int], low: int, high: int, bins: int) -> list[float]:
-    """The pair distances at ``ranks`` (ascending, from zero) by ever narrower histograms.
-
-    Distances are whole millimetres, so the search works on integers and ends
-    when one value is left; only the histogram reaches the driver.
-    """
-    if low == high:
-        return [low / 1e6] * len(ranks)
-    width = max(1, math.ceil((high - low + 1) / bins))
-    counts = tile_map(spots, spots, _histogram_kernel(low, high, width), "bin bigint, pairs double", symmetric=True)
-    histogram = sorted((r["bin"], int(round(r["pairs"]))) for r in counts.groupBy("bin").agg(F.sum("pairs").alias("pairs")).collect())
-    found, before = [], 0
-    for bin_no, n in histogram:
-        inside = [r - before for r in ranks if before <= r < before + n]
-        if inside:
-            start = low + bin_no * width
-            found += _pairs_at(spots, inside, start, min(high, start + width - 1), bins)
-        before += n
-    return found
-
-
-def _histogram_kernel(low: int, high: int, width: int) -> Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame]:
-    def kernel(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> pd.DataFrame:
-        size = (high - low) // width + 1
-        counts = np.zeros(size)
-        for part, km, mask in _strips(x, y, same):
-            mm = np.rint(km * 1e6).astype("int64")
-            mask = mask & (mm >= low) & (mm <= high)
-            weight = part["n"].to_numpy()[:, None].astype(float) * y["n"].to_numpy()[None, :]
-            counts += np.bincount((mm[mask] - low) // width, weights=weight[mask], minlength=size)
-        used = np.flatnonzero(counts)
-        return pd.DataFrame({"bin": used.astype("int64"), "pairs": counts[used]})
-
-    return kernel
-
-
-def closest_furthest_pair(spots: DataFrame) -> DataFrame:
-    """``kind, id_a, id_b, km``: entities at the same spot count as closest, at zero."""
-    parts = materialize(_pair_partials(spots), "pair-partials")
-    shared = spots.filter(F.col("second_id").isNotNull()).select(
-        F.lit(0.0).alias("km"), F.least("first_id", "second_id").alias("id_a"), F.greatest("first_id", "second_id").alias("id_b")
-    )
-    near = parts.select(F.col("near_km").alias("km"), F.col("near_a").alias("id_a"), F.col("near_b").alias("id_b")).unionByName(shared)
-    far = parts.select((-F.col("far_km")).alias("km"), F.col("far_a").alias("id_a"), F.col("far_b").alias("id_b"))
-    pick = F.min(F.struct("km", "id_a", "id_b")).alias("p")
-    both = near.agg(pick).withColumn("kind", F.lit("closest")).unionByName(far.agg(pick).withColumn("kind", F.lit("furthest")))
-    return both.filter(F.col("p").isNotNull()).select("kind", "p.id_a", "p.id_b", F.abs("p.km").alias("km"))
-
-
-def _gravity_kernel(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> pd.DataFrame:
-    pulls = np.zeros(len(x))
-    at = 0
-    for part, km, _ in _strips(x, y, False):
-        with np.errstate(divide="ignore"):
-            pulls[at : at + len(part)] = np.where(km > 0, y["mass"].to_numpy()[None, :] / km, 0.0).sum(axis=1)
-        at += len(part)
-    return pd.DataFrame({"lat": x["lat"].to_numpy(), "lon": x["lon"].to_numpy(), "n": x["n"].to_numpy(), "pull": pulls})
+# -- gravity --------------------------------------------------------------------------
 
 
 def market_access(df: DataFrame, size: str, top: float = 1000.0) -> DataFrame:
@@ -393,9 +216,7 @@ def market_access(df: DataFrame, size: str, top: float = 1000.0) -> DataFrame:
 
     Places at the same spot have no distance and are left out of the sum.
     """
-    spots = materialize(positions(df, mass=size), "positions")
-    pulls = tile_map(spots, spots, _gravity_kernel, "lat double, lon double, n bigint, pull double")
-    summed = materialize(pulls.groupBy("lat", "lon").agg(F.sum("pull").alias("_pull"), F.first("n").alias("n")), "gravity")
-    best = summed.agg(F.max("_pull")).scalar()
-    scored = summed.withColumn("market_access", F.col("_pull") * F.lit(top) / F.nullif(best, F.lit(0.0))).drop("_pull")
+    summed = materialize(gravity(positions(df, mass=size)), "gravity")
+    best = summed.agg(F.max("pull")).scalar()
+    scored = summed.withColumn("market_access", F.col("pull") * F.lit(top) / F.nullif(best, F.lit(0.0))).drop("pull")
     return lookup_join(df, scored, ["lat", "lon"], "n")

@@ -7,12 +7,11 @@ the driver. Labels travel with entity ids, never by position.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -20,13 +19,16 @@ from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorAs
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrascore.operators.distance import tile_map
 from terrascore.session import materialize
 
 
+#: Parts of a cluster in the exact silhouette.
+BLOCKS = 16
+
+
 def to_vectors(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ("entity_id",), out: str = "features") -> DataFrame:
     """Columns to one vector; a missing value is an error, as no row may drop out of a clustering unseen."""
     plain = df.select(*keep, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
@@ -170,34 +172,34 @@ def davies_bouldin(df: DataFrame, features: str = "features", label: str = "clus
 
 
 def silhouette_euclidean(df: DataFrame, entity: str, features: str = "features", label: str = "cluster_id") -> float:
-    """Exact silhouette with plain distances, in tiles that return sums per row and cluster."""
-    rows = materialize(df.select(F.col(entity).alias("id"), F.col(label).cast("int").alias("label"), vector_to_array(features).alias("x")), "labelled")
-
-    def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        parts = list(_label_sums(a, b))
-        return pd.concat(parts) if parts else pd.DataFrame({"id": [], "label": [], "other": [], "total": []})
+    """Exact silhouette with plain distances.
 
-    sums = tile_map(rows, rows, kernel, "id bigint, label int, other int, total double", tile=2_048, spread=("id",))
-    sizes = materialize(rows.groupBy(F.col("label").alias("_l")).agg(F.count(F.lit(1)).alias("size")), "sizes")
-    reached = sums.groupBy("id", "label", "other").agg(F.sum("total").alias("total")).join(sizes, F.col("other") == F.col("_l"))
+    The mean distance of a row to a cluster is at least its distance to the centre, and at most that plus the mean distance of the
+    members to it. Only clusters whose least is not above the smallest most of the row can be its nearest other one; for these and its
+    own cluster the distances are summed, as rows of a join on (cluster, block), a block being a bounded part of a cluster.
+    """
+    rows = df.select(F.col(entity).alias("id"), F.col(label).cast("int").alias("label"), vector_to_array(features).alias("x"))
+    members = materialize(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")), "labelled")
+    centres = materialize(df.groupBy(F.col(label).cast("int").alias("other")).agg(Summarizer.mean(F.col(features)).alias("_c"), F.count(F.lit(1)).alias("size")).select("other", "size", vector_to_array("_c").alias("centre")), "centres")
+    # k rows, one for each cluster
+    known = centres.agg(F.collect_list(F.struct("other", "size", "centre"))).scalar()
+    reach = members.withColumn("_k", known).select("id", "label", "x", F.inline("_k")).withColumn("least", _gap("x", "centre"))
+    reach = materialize(reach.select("id", "label", "other", "size", "least"), "reach")
+    spread = reach.filter("label = other").groupBy(F.col("other").alias("_o")).agg(F.avg("least").alias("spread"))
+    bounded = reach.join(spread, F.col("other") == F.col("_o")).select("id", "label", "other", "size", "least", (F.col("least") + F.col("spread")).alias("most"))
+    nearest_most = F.min(F.when(F.col("label") != F.col("other"), F.col("most"))).over(Window.partitionBy("id"))
+    open_ = bounded.withColumn("_m", nearest_most).filter((F.col("label") == F.col("other")) | (F.col("least") <= F.col("_m") * (1 + 1e-9)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes, much arithmetic: a stated number of partitions is not coalesced
+    asking = open_.select("id", "label", "other", "size").join(members.select("id", "x"), "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    held = members.select(F.col("label").alias("other"), "block", F.col("x").alias("y")).repartition(parts, "other", "block")
+    met = asking.repartition(parts, "other", "block").join(held.hint("shuffle_hash"), ["other", "block"])
+    sums = met.groupBy("id", "label", "other").agg(F.max("size").alias("size"), F.sum(_gap("x", "y")).alias("total"))
     own = F.col("label") == F.col("other")
-    each = reached.groupBy("id").agg(
+    each = sums.groupBy("id").agg(
         F.max(F.when(own, F.col("size"))).alias("n"),
         F.max(F.when(own & (F.col("size") > 1), F.col("total") / (F.col("size") - 1))).alias("a"),
         F.min(F.when(~own, F.col("total") / F.col("size"))).alias("b"),
     )
     s = F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
     return each.agg(F.avg(F.coalesce(s, F.lit(0.0)))).head()[0]
-
-
-def _label_sums(a: pd.DataFrame, b: pd.DataFrame, strip: int = 256) -> Iterator[pd.DataFrame]:
-    if not len(a) or not len(b):
-        return
-    y = np.stack(b["x"].to_numpy())
-    labels, where = np.unique(b["label"].to_numpy(), return_inverse=True)
-    for start in range(0, len(a), strip):
-        part = a.iloc[start : start + strip]
-        x = np.stack(part["x"].to_numpy())
-        d = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-        for i, other in enumerate(labels):
-            yield pd.DataFrame({"id": part["id"], "label": part["label"], "other": np.int32(other), "total": d[:, where == i].sum(axis=1)})

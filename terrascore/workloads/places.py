@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrascore.functions.geo import haversine_km
 from terrascore.functions.numbers import round_half_up
-from terrascore.operators import distance
+from terrascore.operators import distance, pairs
 from terrascore.plans import access as plan
 from terrascore.plans import roles
 from terrascore.session import materialize
@@ -162,7 +162,7 @@ def pairwise_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
       {rnd('stddev_pop(km)', 5)} AS std_km FROM every""",
 )
 def distance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = distance.distance_stats(_spots(spark, sf_dir))
+    out = pairs.distance_stats(_spots(spark, sf_dir))
     return out.withColumns({c: round_half_up(F.col(c), 5) for c in ("mean_km", "median_km", "std_km")})
 
 
@@ -175,7 +175,7 @@ def distance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'furthest', * FROM (SELECT id_a, id_b, km FROM pairs ORDER BY km DESC, id_a, id_b LIMIT 1)""",
 )
 def closest_furthest_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.closest_furthest_pair(_spots(spark, sf_dir))
+    return pairs.closest_furthest_pair(_spots(spark, sf_dir))
 
 
 @register(

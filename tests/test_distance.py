@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrascore.functions.geo import haversine_km
-from terrascore.operators import distance
+from terrascore.operators import distance, pairs
 from terrascore.session import materialize
 
 
@@ -77,27 +77,61 @@ def test_neighbours_match_brute_force(spark, cloud, reach):
     assert ours == {(a, b) for a in ids for b in ids if a < b and km(cloud[a], cloud[b]) <= reach}
 
 
-def test_pair_statistics_match_brute_force(spark, cloud):
+@pytest.mark.parametrize("open_pairs", [100, 1 << 16])
+def test_pair_statistics_match_brute_force(spark, cloud, open_pairs):
     spots = materialize(distance.positions(frame(spark, cloud), second=True), "spots")
-    pairs = {(a, b): km(cloud[a], cloud[b]) for a in cloud for b in cloud if a < b}
-    apart = np.array([d for d in pairs.values() if d > 0])
-    row = distance.distance_stats(spots, bins=64).head()
+    apart_by = {(a, b): km(cloud[a], cloud[b]) for a in cloud for b in cloud if a < b}
+    apart = np.array([d for d in apart_by.values() if d > 0])
+    row = pairs.distance_stats(spots, bins=64, open_pairs=open_pairs).head()
     assert row.pairs == len(apart)
     assert [row.min_km, row.max_km] == pytest.approx([apart.min(), apart.max()], abs=2e-6)
     assert [row.mean_km, row.median_km, row.std_km] == pytest.approx([apart.mean(), np.median(apart), apart.std()], abs=1e-5)
-    ends = {r.kind: (r.id_a, r.id_b) for r in distance.closest_furthest_pair(spots).collect()}
-    assert ends["closest"] == min((d, k) for k, d in pairs.items())[1]
-    assert pairs[ends["furthest"]] == pytest.approx(max(pairs.values()), abs=2e-6)
-
-
-def test_tiles_do_not_change_the_result(spark, cloud):
-    spots = materialize(distance.positions(frame(spark, cloud), second=True), "spots")
-    schema = "pairs double, total double, squares double, near_km double, near_a bigint, near_b bigint, far_km double, far_a bigint, far_b bigint"
-    one, many = (
-        distance.tile_map(spots, spots, distance._extremes_kernel, schema, symmetric=True, tile=t).agg(F.sum("pairs"), F.round(F.sum("total"), 3)).head()
-        for t in (10_000, 40)
-    )
-    assert one == many
+    ends = {r.kind: (r.id_a, r.id_b) for r in pairs.closest_furthest_pair(spots).collect()}
+    assert ends["closest"] == min((d, k) for k, d in apart_by.items())[1]
+    assert apart_by[ends["furthest"]] == pytest.approx(max(apart_by.values()), abs=2e-6)
+
+
+def test_interpolation_between_separated_cells(spark):
+    """Moments and gravity with most pairs taken from nodes, to more digits than are reported."""
+    rng = np.random.default_rng(8)
+    at = np.concatenate([np.stack([rng.uniform(20 + k * 12, 29 + k * 12, 400), rng.uniform(k * 60 - 150, k * 60 - 142, 400)], 1) for k in range(5)])
+    rows = [(i, float(a), float(b), float(i % 7 + 1)) for i, (a, b) in enumerate(at)]
+    df = spark.createDataFrame(rows, "entity_id bigint, lat double, lon double, size double")
+    la, lo = np.radians(at[:, 0]), np.radians(at[:, 1])
+    c = np.sin((la[:, None] - la) / 2) ** 2 + np.cos(la)[:, None] * np.cos(la) * np.sin((lo[:, None] - lo) / 2) ** 2
+    d = 2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(c, 1)))
+    upper = d[np.triu_indices(len(d), 1)]
+    spots = materialize(distance.positions(df), "spots")
+    tree = pairs.cell_tree(spots, 4096)
+    frames = pairs.descend(tree, {"sums": pairs.summed_up(4096)})
+    far = pairs.union([f.filter("was_sums and not sums").select("spots_a", "spots_b") for f in frames])
+    assert far.agg(F.sum(F.col("spots_a") * F.col("spots_b"))).head()[0] > 0.5 * len(upper)
+    row = pairs.distance_stats(spots, open_pairs=4096).head()
+    assert row.mean_km == pytest.approx(upper.mean(), abs=2e-8) and row.std_km == pytest.approx(upper.std(), abs=2e-8)
+    assert row.median_km == pytest.approx(np.median(upper), abs=2e-6)
+    d = np.round(d, 6)
+    np.fill_diagonal(d, np.inf)
+    pull = (np.array([r[3] for r in rows])[None, :] / d).sum(1)
+    out = {(r.lat, r.lon): r.pull for r in pairs.gravity(distance.positions(df, mass="size"), open_pairs=4096).collect()}
+    got = np.array([out[(r[1], r[2])] for r in rows])
+    assert np.abs(got / pull - 1).max() < 1e-8
+
+
+def test_extremes_measure_few_pairs(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-80, 80, 4000), rng.uniform(-180, 180, 4000)))], "entity_id bigint, lat double, lon double")
+    spots = materialize(distance.positions(df, second=True), "spots")
+    assert pairs.extreme_pairs(spots, 16).count() < 4000**1.5
+
+
+def test_no_python_worker(spark):
+    df = spark.range(300).selectExpr("id as entity_id", "cast(id % 17 as double) as lat", "cast(id as double) / 3 as lon", "1.0 as size")
+    spots = materialize(distance.positions(df, second=True), "spots")
+    tree = pairs.cell_tree(spots, 64)
+    frames = pairs.descend(tree, {"sums": pairs.summed_up(64)})
+    for frame in (pairs.opened_positions(tree, frames, ["sums"]), pairs.closest_furthest_pair(spots), distance.market_access(df, "size")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
 
 
 def test_gravity_skips_shared_spots(spark):
