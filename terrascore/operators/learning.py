@@ -7,13 +7,12 @@ the driver. Labels travel with entity ids, never by position.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,9 +21,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrascore.session import materialize
-
+from terrascore.session import materialize, spread
 
+#: Rows of a batch that meet all centres at once.
+STRIP = 1024
 #: Parts of a cluster in the exact silhouette.
 BLOCKS = 16
 
@@ -93,22 +93,116 @@ def pca_components(df: DataFrame, k: int = 15, features: str = "features") -> Co
 # -- k-means ------------------------------------------------------------------------
 
 
-def kmeans_fits(
-    df: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_iter: int = 500, features: str = "features", parallel: int = 8
-) -> dict[int, KMeansModel]:
-    """Per k the fit with the least cost over several starts; a few fits run side by side."""
+@dataclass
+class Centres:
+    """A fitted k-means model."""
+
+    centres: np.ndarray  # k x columns
+    cost: float  # squares within clusters
+    features: str = "features"
+
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802  as MLlib names it
+        return list(self.centres)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``cluster_id``, the nearest centre; of equal ones the first."""
+        centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in self.centres])
+        gap = lambda c: F.aggregate(F.zip_with("_x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+        near = df.withColumn("_x", vector_to_array(self.features)).withColumn("_gaps", F.transform(centres, gap))
+        return near.withColumn("cluster_id", (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int")).drop("_x", "_gaps")
+
+
+def _starts(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ over a bounded sample."""
+    rng = np.random.default_rng([seed, k])
+    chosen = [sample[rng.integers(len(sample))]]
+    gaps = ((sample - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        total = gaps.sum()
+        at = rng.choice(len(sample), p=gaps / total) if total > 0 else rng.integers(len(sample))
+        chosen.append(sample[at])
+        gaps = np.minimum(gaps, ((sample - sample[at]) ** 2).sum(axis=1))
+    return np.stack(chosen)
+
+
+def _moved(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, float]]:
+    """For every model the means of its clusters and its cost, from one pass over the rows; an empty cluster keeps its centre."""
+
+    groups = [[m for m in models if len(models[m]) == k] for k in sorted({len(c) for c in models.values()})]
+    stacks = [(np.array(g, np.int32), np.stack([models[m] for m in g])) for g in groups]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((c.shape[0], c.shape[1], c.shape[2] + 2)) for _, c in stacks]
+        seen = False
+        for batch in batches:
+            every = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            seen = seen or len(every) > 0
+            for at in range(0, len(every), STRIP):
+                x = every[at : at + STRIP]
+                n = np.arange(len(x))
+                own = (x * x).sum(axis=1)
+                wide = np.column_stack([x, np.ones(len(x))])
+                for (_, c), total in zip(stacks, sums):
+                    m, k, d = c.shape
+                    gaps = (c * c).sum(axis=2) - 2 * (x @ c.reshape(-1, d).T).reshape(-1, m, k)
+                    near = gaps.argmin(axis=2)
+                    member = np.zeros((len(x), m * k))
+                    member[n[:, None], near + k * np.arange(m)] = 1
+                    total[:, :, :-1] += (member.T @ wide).reshape(m, k, -1)
+                    total[:, 0, -1] += np.maximum(gaps.min(axis=2) + own[:, None], 0).sum(axis=0)
+        for (names, c), total in zip(stacks, sums if seen else []):
+            m, k, d = c.shape
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(m * k + 1, dtype=np.int32) * (d + 2)), pa.array(total.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, k)), pa.array(np.tile(np.arange(k, dtype=np.int32), m)), flat], names=["model", "cluster", "total"])
+
+    parts = rows.mapInArrow(assign, "model int, cluster int, total array<double>")
+    summed = parts.select("model", "cluster", array_to_vector("total").alias("total")).groupBy("model", "cluster").agg(Summarizer.sum(F.col("total")).alias("total"))
+    out = {m: (c.copy(), 0.0) for m, c in models.items()}
+    for r in summed.collect():
+        total = r["total"].toArray()
+        centres, cost = out[r["model"]]
+        if total[-2] > 0:
+            centres[r["cluster"]] = total[:-2] / total[-2]
+        out[r["model"]] = (centres, cost + total[-1])
+    return out
+
 
-    def fit(job: tuple[int, int]) -> tuple[int, KMeansModel]:
-        k, seed = job
-        return k, KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=features, predictionCol="cluster_id").fit(df)
+def kmeans_fits(
+    df: DataFrame, ks: Sequence[int], seeds: Sequence[int], max_iter: int = 500, features: str = "features", tol: float = 1e-4, sample_rows: int = 4096
+) -> dict[int, Centres]:
+    """Per k the fit with the least cost over several starts.
 
-    jobs = [(k, s) for k in ks for s in seeds]
-    with ThreadPool(min(parallel, len(jobs))) as pool:
-        fits = pool.map(inheritable_thread_target(df.sparkSession)(fit), jobs)
-    return {k: min((m for j, m in fits if j == k), key=lambda m: m.summary.trainingCost) for k in ks}
+    All models take part in one pass over the rows per iteration; each leaves when the squared moves of its centres add up to at most
+    ``tol`` times the mean variance of the columns. Tasks return sums by (model, cluster), which Spark adds up: what reaches the driver is the centres. Starts are drawn by k-means++ from at
+    most about ``sample_rows`` rows, chosen by a hash of their values.
+    """
+    rows = spread(df.select(vector_to_array(features).alias("x"))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        size = rows.agg(F.count(F.lit(1)).alias("n"), Summarizer.variance(array_to_vector("x")).alias("v")).head()
+        n, least = size["n"], tol * float(np.mean(size["v"].toArray())) if size["n"] > 1 else 0.0
+        share = min(1.0, sample_rows / max(n, 1))
+        chosen = rows.filter(F.pmod(F.xxhash64("x"), F.lit(1 << 30)) <= int(share * (1 << 30))).limit(4 * sample_rows)
+        sample = np.array(sorted(r["x"] for r in chosen.collect()))
+        if not len(sample):
+            sample = np.array([r["x"] for r in rows.limit(1).collect()])
+        jobs = [(k, s) for k in ks for s in seeds]
+        fits = {i: _starts(sample, k, s) for i, (k, s) in enumerate(jobs)}
+        active = dict(fits)
+        for _ in range(max_iter):
+            moved = {m: c for m, (c, _) in _moved(rows, active).items()}
+            still = {m for m, c in moved.items() if ((c - active[m]) ** 2).sum() > least}
+            fits |= moved
+            active = {m: moved[m] for m in still}
+            if not active:
+                break
+        costs = {m: cost for m, (_, cost) in _moved(rows, fits).items()}
+    finally:
+        rows.unpersist()
+    best = {k: min((m for m, job in enumerate(jobs) if job[0] == k), key=lambda m: (costs[m], m)) for k in ks}
+    return {k: Centres(fits[m], costs[m], features) for k, m in best.items()}
 
 
-def best_kmeans(df: DataFrame, k: int, seeds: Sequence[int], max_iter: int = 500, features: str = "features") -> KMeansModel:
+def best_kmeans(df: DataFrame, k: int, seeds: Sequence[int], max_iter: int = 500, features: str = "features") -> Centres:
     """The fit with the least cost over several starts."""
     return kmeans_fits(df, [k], seeds, max_iter, features)[k]
 
@@ -122,7 +216,7 @@ def kmeans_select(
     metric: str = "squared",
     features: str = "features",
     entity: str = "entity_id",
-) -> tuple[DataFrame, KMeansModel]:
+) -> tuple[DataFrame, Centres]:
     """Quality per k and the model with the best silhouette (the smaller k on ties).
 
     ``metric="squared"`` is the linear-time silhouette; ``"euclidean"`` is the
@@ -140,7 +234,7 @@ def kmeans_select(
             else:
                 quality = ClusteringEvaluator(featuresCol=features, predictionCol="cluster_id").evaluate(labelled)
             spread = davies_bouldin(labelled, features).head()[0]
-            rows.append((k, float(model.summary.trainingCost), float(quality), float(spread)))
+            rows.append((k, float(model.cost), float(quality), float(spread)))
     finally:
         held.unpersist()
     best = max(rows, key=lambda r: (r[2], -r[0]))[0]
