@@ -196,3 +196,11 @@ def test_expected_grade_orders_held_out_texts(spark):
     assert np.mean([r.kept for r in out if r.quality]) > 0.97
     for r in out:
         assert r.expected_grade == pytest.approx(sum(r.tails)) and r.tails == sorted(r.tails, reverse=True)
+
+
+def test_letters_beyond_the_basic_plane(spark):
+    """A text of such letters alone has a language, also where the low bits of a letter are those of a space."""
+    rows = [(i, chr(0x20020) * 20 + chr(0x10428) * 5, "x") for i in range(40)] + [(100 + i, "plain words of a text", "y") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, chr(0x20020)), (2, "words"), (3, "\U0001F600 12")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in fit_language(docs).predict(asked).collect()} == {1: "x", 2: "y", 3: "und"}
