@@ -75,17 +75,25 @@ def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
             return out
         left = left.withColumn("cell", cell_of(high)).join(over, "cell", "left_semi").drop("cell")
         if high == HASH_BITS:
-            return out.union(pages(left, limit))
+            return out.union(pages(left, limit, scratch))
         keys = scratch.store(keys.withColumn("cell", cell_of(high)).join(over, "cell", "left_semi").drop("cell"), f"keys{high}")
         low, high = high, min(HASH_BITS, high + MORE_BITS)
 
 
-def pages(rows: DataFrame, limit: int) -> DataFrame:
-    """Pages of rows that agree in all bits: counted first, then laid out page by page."""
-    same = rows.groupBy("hash").agg(F.min("row").alias("row"), F.max("bytes").alias("bytes"), F.count("*").alias("n"))
+def pages(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """Pages of rows that agree in all bits, every row as it is.
+
+    Rows are numbered inside each part of the stored input, and the parts of a hash by their running counts, so that a hash of any size
+    is laid out by as many tasks as it has parts.
+    """
+    held = scratch.store(rows.select("row", "hash", "bytes", F.spark_partition_id().alias("part")), "overflow")
+    parts = held.groupBy("hash", "part").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes"))
+    by_part = Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1))))
-    each = same.withColumn("per_page", per_page).withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("per_page")))))
-    each = each.withColumn("here", F.least(F.col("per_page"), F.col("n") - F.col("page") * F.col("per_page")))
-    laid = each.repartition("hash", "page").withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("here").cast("int"))))
+    parts = parts.select("hash", "part", per_page.alias("per_page"), F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("hash")).alias("n"))
+    place = F.row_number().over(Window.partitionBy("hash", "part").orderBy("bytes")) - 1
+    laid = held.withColumn("place", place).join(scratch.store(parts, "parts"), ["hash", "part"])
+    laid = laid.withColumn("page", F.floor((F.col("before") + F.col("place")) / F.col("per_page")))
+    here = F.least(F.col("per_page"), F.col("n") - F.col("page") * F.col("per_page"))
     name = F.concat(F.lpad(F.bin("hash"), HASH_BITS, "0"), F.lit("."), F.col("page").cast("string"))
-    return laid.select("row", "bytes", name.alias("shard"), F.lit(HASH_BITS).alias("depth"), (F.col("bytes") * F.col("here")).alias("shard_bytes"))
+    return laid.select("row", "bytes", name.alias("shard"), F.lit(HASH_BITS).alias("depth"), (F.col("bytes") * here).alias("shard_bytes"))

@@ -195,3 +195,12 @@ def test_a_given_share_is_kept_and_draws_repeat(spark, small):
     again = mix_to_targets(docs.repartition(5), settings).toPandas()
     assert dict(zip(rows.doc_id, rows.sampled)) == dict(zip(again.doc_id, again.sampled))
     assert np.mean(rows.sampled) > 0.5
+
+
+def test_pages_keep_every_row(spark):
+    """Rows equal in id and text come back with all they carry, also columns that have no order."""
+    rows = [(1, "same text of some bytes", f"s{k}", {"k": k}, [k]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>, a array<int>").repartition(4)
+    placed = shards(docs, 100).select("row.*", "shard", "shard_bytes").collect()
+    assert sorted((r.source, r.m["k"], r.a[0]) for r in placed) == sorted((f"s{k}", k, k) for k in range(40))
+    assert max(r.shard_bytes for r in placed) <= 100 and len({r.shard for r in placed}) == 10
