@@ -48,6 +48,7 @@ class MixingSettings:
     least_kept: float | None = None  # share of the tokens below which targets give way to it
     tolerance: float = 1e-6
     sweeps: int = 40
+    topic_column: str | None = None  # None: by the marks of the word table, whatever columns the documents have
 
 
 def topic_of(text: Column) -> Column:
@@ -61,11 +62,11 @@ def topic_of(text: Column) -> Column:
     return out
 
 
-def measured(docs: DataFrame, dimensions: list[str], id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+def measured(docs: DataFrame, dimensions: list[str], id_col: str, text_col: str, carry: bool = False, topic_column: str | None = None) -> DataFrame:
     """(doc_id, the levels, n_tokens, draw) of every row; ``draw`` is uniform in [0, 1). With ``carry`` also the whole row as ``row``."""
     row = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    levels = [F.coalesce((topic_of(text) if d == "topic" and d not in docs.columns else F.col(d)).cast("string"), F.lit(NO_LEVEL)).alias(d) for d in dimensions]
+    levels = [F.coalesce(((F.col(topic_column) if topic_column else topic_of(text)) if d == "topic" else F.col(d)).cast("string"), F.lit(NO_LEVEL)).alias(d) for d in dimensions]
     tokens = F.size(F.filter(F.split(text, SPACE), lambda w: w != "")).cast("long")
     return docs.select(F.col(id_col).alias("doc_id"), *levels, tokens.alias("n_tokens"), (row_hash(id_col, text_col) / float(1 << HASH_BITS)).alias("draw"), *row)
 
@@ -107,8 +108,11 @@ def rake(cells: DataFrame, settings: MixingSettings, scratch: Scratch) -> DataFr
         for d in list(shares)[:-1] or list(shares):
             one = margins(now, d).select(F.abs(F.col("mass") / total - F.col("share")).alias("off"))
             off = one if off is None else off.union(one)
-        if (off.agg(F.max("off")).first()[0] or 0.0) < settings.tolerance:
+        left = off.agg(F.max("off")).first()[0] or 0.0
+        if left < settings.tolerance:
             break
+    else:
+        logging.getLogger(__name__).warning("after %d sweeps a margin is still off by %.2g of all tokens", settings.sweeps, left)
     return now
 
 
@@ -167,12 +171,12 @@ def mix_to_targets(docs: DataFrame, settings: MixingSettings = MixingSettings(),
     """One row per row: doc_id, the levels, n_tokens, weight, probability and sampled (and ``row``, with ``carry``)."""
     scratch = Scratch(docs.sparkSession, "mixing")
     dimensions = list(settings.targets)
-    rows = scratch.store(measured(docs, dimensions, id_col, text_col), "rows")
+    rows = scratch.store(measured(docs, dimensions, id_col, text_col, topic_column=settings.topic_column), "rows")
     weights = cell_weights(rows, settings, scratch)
     if settings.least_kept is not None:
         log_shares(weights, dimensions)
     weights = weights.drop("tokens")
     if carry:
-        rows = measured(docs, dimensions, id_col, text_col, carry=True)
+        rows = measured(docs, dimensions, id_col, text_col, True, settings.topic_column)
     kept = ["row"] if carry else []
     return rows.join(weights, dimensions).select("doc_id", *dimensions, "n_tokens", "weight", "probability", (F.col("draw") < F.col("probability")).alias("sampled"), *kept)

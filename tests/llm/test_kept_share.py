@@ -30,3 +30,15 @@ def test_levels_that_fall_short_are_told(spark, skewed):
     cells = cell_weights(measured(skewed, dimensions, "doc_id", "text"), corpus_pipeline.MIXING, Scratch(spark, "shares"))
     shares = {r.level: r.share / r.target for r in shares_kept(cells, dimensions).where("dimension = 'source'").collect()}
     assert len(shares) == 7 and all(shares[f"rare{i}"] < 0.99 for i in range(5)) and shares["hot"] == pytest.approx(shares["web"], rel=1e-3)
+
+
+def test_a_column_named_topic_is_not_the_topic(spark):
+    rows = [(i, f"plain words {i}", "en", "s", "own") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    topics = lambda settings: {r.topic for r in mix_to_targets(docs, settings).collect()}
+    assert topics(MixingSettings()) != {"own"} and topics(MixingSettings(topic_column="topic")) == {"own"}
+
+
+def test_sweeps_that_do_not_suffice_are_told(spark, skewed, caplog):
+    mix_to_targets(skewed, MixingSettings(sweeps=1, tolerance=0.0)).count()
+    assert "after 1 sweeps a margin is still off" in caplog.text
