@@ -5,7 +5,7 @@ Distinct character n-grams of the lowered text are hashed into buckets. Over the
 scaled presence of the buckets is fitted by distributed L-BFGS. Buckets in few texts carry no weight.
 
 The training sample is bounded by ``sample_rows`` (chosen by a hash of the id over all labelled rows, with its own share for each class,
-so that a rare class is not lost); every text is scored whole.
+so that a rare class is not lost, and weighed back to all labelled rows); every text is scored whole.
 
 Defined results: null or empty text: the score of a text without features. A text with null label, or an id without text, teaches
 nothing. Several labels for one id: the largest counts. Repeated rows count as often as they occur. No labels of one kind: the score
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrascore.llm.common import Scratch, char_runs, gram_hashes, held_out, sampled
-from terrascore.llm.descent import minimise
+from terrascore.llm.descent import Loss, minimise
 
 
 @dataclass(frozen=True)
@@ -74,15 +74,20 @@ def log_count_ratios(sample: DataFrame, settings: ToxicitySettings) -> DataFrame
     return counts.where(F.col("p") + F.col("q") >= settings.least_texts).select("bucket", ratio.alias("ratio")).where(F.abs("ratio") >= settings.least_ratio)
 
 
-def logistic(w: np.ndarray, label: np.ndarray, sizes: np.ndarray, ids: np.ndarray, values: np.ndarray) -> tuple[float, np.ndarray]:
-    """Loss and gradient of a logistic regression; the last weight is the intercept."""
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    z = np.bincount(row, w[ids] * values, len(sizes)) + w[-1]
-    p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    loss = np.logaddexp(0, z) - label * z
-    grad = np.bincount(ids, (p - label)[row] * values, len(w)).astype(float)
-    grad[-1] += (p - label).sum()
-    return float(loss.sum()), grad
+def weighted_logistic(share: np.ndarray) -> Loss:
+    """Loss and gradient of a logistic regression with a weight for each class; the last weight of the model is the intercept."""
+
+    def logistic(w: np.ndarray, label: np.ndarray, sizes: np.ndarray, ids: np.ndarray, values: np.ndarray) -> tuple[float, np.ndarray]:
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        z = np.bincount(row, w[ids] * values, len(sizes)) + w[-1]
+        p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        loss = (np.logaddexp(0, z) - label * z) * share[label.astype(np.int64)]
+        off = (p - label) * share[label.astype(np.int64)]
+        grad = np.bincount(ids, off[row] * values, len(w)).astype(float)
+        grad[-1] += off.sum()
+        return float(loss.sum()), grad
+
+    return logistic
 
 
 @dataclass
@@ -134,10 +139,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings
 
     rows = scratch.store(sample.mapInArrow(features, "label int, ids array<int>, values array<float>"), "features")
     start = np.zeros(len(ratios) + 1)
-    start[-1] = np.log(toxic / (size.n - toxic))
+    # every class weighs as in all labelled rows, however many of it were taken
+    true = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    start[-1] = np.log(true[1] / true[0])
+    share = np.array([true[0] / (size.n - toxic), true[1] / toxic]) / (true[0] + true[1])
     penalty = np.full(len(start), settings.penalty)
     penalty[-1] = 0.0
-    fitted = minimise(rows, logistic, start, penalty, size.n, settings.steps)
+    fitted = minimise(rows, weighted_logistic(share), start, penalty, 1, settings.steps)
     weights[ratios.bucket.to_numpy()] = ratios.ratio.to_numpy() * fitted[:-1]
     for name in ("sample", "features"):
         scratch.drop(name)

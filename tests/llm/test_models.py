@@ -10,10 +10,12 @@ from terrascore.llm.common import Scratch, char_runs, held_out
 from terrascore.llm.descent import minimise
 from terrascore.llm.language import HashArray, LanguageSettings, fit_language, gram_counts, kneser_ney
 from terrascore.llm.quality import cumulative_link, fit_quality, graded, thresholds
-from terrascore.llm.toxicity import ToxicitySettings, fit_toxicity, log_count_ratios, logistic
+from terrascore.llm.toxicity import ToxicitySettings, fit_toxicity, log_count_ratios, weighted_logistic
 
 TEXTS = [("x", "abab bab abba"), ("x", "ab ba bab"), ("y", "ccdc dcd dd"), ("y", "cd dc")]
 
+logistic = weighted_logistic(np.ones(2))
+
 
 def kneser_ney_by_hand(texts, order):
     """p(gram) of every seen n-gram, by the textbook."""
@@ -204,3 +206,13 @@ def test_letters_beyond_the_basic_plane(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     asked = spark.createDataFrame([(1, chr(0x20020)), (2, "words"), (3, "\U0001F600 12")], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in fit_language(docs).predict(asked).collect()} == {1: "x", 2: "y", 3: "und"}
+
+
+def test_the_size_of_the_sample_does_not_move_the_scores(spark):
+    """With fewer rows taken of the common class the scores near one half stay where they are."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(words, 12)) + (" vile" if i % 8 == 0 and rng.random() < 0.7 or rng.random() < 0.05 else ""), int(i % 8 == 0)) for i in range(2400)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    means = [fit_toxicity(docs, labels, ToxicitySettings(sample_rows=n)).score(docs).agg({"score": "avg"}).first()[0] for n in (100_000, 600)]
+    assert abs(means[0] - 1 / 8) < 0.03 and abs(means[0] - means[1]) < 0.03
