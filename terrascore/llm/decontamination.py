@@ -50,6 +50,7 @@ class DecontaminationSettings:
     broadcast_windows: int = 1_000_000
     literal: bool = False
     least_run: int | None = None
+    least_words: int = 3  # shorter items would be found wherever their one or two words stand
 
 
 def words_of(text: Column) -> Column:
@@ -88,10 +89,15 @@ def window_hashes(hashes: str, size: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def item_tokens(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, item_key, tokens): the words of each item with their template word."""
+def short_items(benchmark: DataFrame, settings: DecontaminationSettings = DecontaminationSettings(), text_col: str = "text") -> DataFrame:
+    """The items that have too few words to be looked for."""
+    return benchmark.where(F.size(words_of(F.col(text_col).cast("string"))) < settings.least_words)
+
+
+def item_tokens(benchmark: DataFrame, id_col: str, text_col: str, least_words: int = 1) -> DataFrame:
+    """(item_id, item_key, tokens): the words of each item of at least ``least_words`` with their template word."""
     words = benchmark.select(F.col(id_col).alias("item_id"), F.xxhash64(id_col, text_col).alias("item_key"), words_of(F.col(text_col).cast("string")).alias("words"))
-    words = words.where(F.size("words") > 0).withColumn("lows", low_words("words"))
+    words = words.where(F.size("words") >= least_words).withColumn("lows", low_words("words"))
     tokens = F.transform("lows", lambda low, i: F.struct(bare_word(F.get("words", i)).alias("raw"), template_word("words", low, i).alias("word"), low.alias("low")))
     return words.select("item_id", "item_key", tokens.alias("tokens")).distinct()
 
@@ -176,7 +182,7 @@ def longest_runs(found: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, settings: DecontaminationSettings = DecontaminationSettings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, doc_key (xxhash64 of id and text), item_id, n_matched, n_windows and cover of every leaked item of every document."""
     scratch = Scratch(docs.sparkSession, "decontamination")
-    tokens = scratch.store(item_tokens(benchmark, item_col, item_text_col), "tokens")
+    tokens = scratch.store(item_tokens(benchmark, item_col, item_text_col, settings.least_words), "tokens")
     windows = scratch.store(item_windows(tokens, settings.window, settings.literal), "windows")
     found = scratch.store(matches(docs, windows, settings, id_col, text_col), "found")
     wrong = inconsistent(found.where("not literal"), tokens, docs, scratch, id_col, text_col)

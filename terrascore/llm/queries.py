@@ -171,7 +171,7 @@ OP9 = rf"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS w FROM benchmark),
 dt AS (SELECT doc_id, w, {_template('w')} AS t FROM d),
-bt AS (SELECT item_id, w, {_template('w')} AS t, least(len(w), 8) AS size FROM b WHERE len(w) > 0),
+bt AS (SELECT item_id, w, {_template('w')} AS t, least(len(w), 8) AS size FROM b WHERE len(w) >= 3),
 dw AS (SELECT doc_id, i AS pos, size, list_aggregate(t[i:i + size - 1], 'string_agg', chr(1)) AS g FROM dt, (SELECT DISTINCT size FROM bt), unnest(range(1, len(t) - size + 2)) u(i)),
 bw AS (SELECT item_id, i AS place_at, size, list_aggregate(t[i:i + size - 1], 'string_agg', chr(1)) AS g FROM bt, unnest(range(1, len(t) - size + 2)) u(i)
     WHERE 2 * len(list_filter(t[i:i + size - 1], lambda x : x IN ('{NUMBER}', '{UNIT}', '{NAME}'))) <= size),

@@ -41,3 +41,12 @@ def test_a_long_passage_of_a_longer_item_is_a_leak(found, n_words, n_copied):
 def test_an_item_of_placeholders_is_found_as_it_stands(found, item):
     other = "7 1 9 3 2 8 10 20 30 50 90 100 Dear Karl Lena Max Nina Olaf Paul Rosa Sven Tina Ulla 9 kg 8 kg 1 kg 2 kg 3 kg"
     assert found([f"so it begins. {item} and so on", other], [item]) == [(0, 0)]
+
+
+def test_items_of_one_or_two_words_are_listed_and_not_looked_for(spark):
+    from terrascore.llm.decontamination import leaks, short_items
+
+    benchmark = spark.createDataFrame([(1, "Paris"), (2, "the river"), (3, "which river crosses it"), (4, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"text {i} of Paris and the river") for i in range(5)] + [(9, "say which river crosses it now")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in leaks(docs, benchmark).collect()] == [(9, 3)]
+    assert sorted(r.item_id for r in short_items(benchmark).collect()) == [1, 2, 4]
