@@ -30,14 +30,14 @@ LEAKS = DecontaminationSettings(literal=True, least_run=13)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every quality rule."""
+    """Documents that pass every quality rule; null and empty texts do not, repeated rows are judged alike."""
     return quality_rules(docs, carry=True).where("kept").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies the row with the smallest id (of those, the smallest text hash); null ids come last.
 
-    Texts without words are in no group and stay. Rows equal in id and text are one.
+    Texts without words are in no group and stay. Rows equal in id and text are one, the one whose columns come first as JSON.
     """
     scratch = Scratch(spark, "near-copies")
     found = scratch.store(ngram_join(docs).where("n_shingles > 0").select("doc_id", "text_key", "component_key"), "found")
@@ -54,7 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if twice.isEmpty():
         return kept.select("row.*")
     single = kept.join(small_side(twice), "row_key", "left_anti").select("row")
-    once = kept.join(small_side(twice), "row_key", "left_semi").groupBy("row_key").agg(F.min("row").alias("row")).select("row")
+    once = kept.join(small_side(twice), "row_key", "left_semi").groupBy("row_key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
     return single.union(once).select("row.*")
 
 
@@ -64,7 +64,7 @@ def small_side(keys: DataFrame) -> DataFrame:
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item has leaked."""
+    """Documents into which no benchmark item has leaked; null and empty texts and an empty benchmark hold no leak."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaked = Scratch(spark, "leaked").store(leaks(docs, benchmark, LEAKS).select("doc_key").distinct(), "keys")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("doc_key"))
@@ -77,10 +77,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard; columns of the input with these names give way."""
+    """Every document with its shard; columns of the input with these names come back with ``input_`` before them.
+
+    Null and empty texts have no bytes and share a shard; repeated rows stay as they are; an empty table has no rows.
+    """
     own = ["shard", "shard_depth", "shard_bytes"]
-    keep = [c for c in docs.columns if c not in own]
-    return shards(docs, SHARD_BYTES, keep=keep).select("row.*", "shard", F.col("depth").alias("shard_depth"), "shard_bytes")
+    placed = shards(docs, SHARD_BYTES)
+    kept = [F.col(f"row.`{c}`").alias(f"input_{c}" if c in own else c) for c in docs.columns]
+    return placed.select(*kept, "shard", F.col("depth").alias("shard_depth"), "shard_bytes")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
