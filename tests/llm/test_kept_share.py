@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from terrascore.llm.common import Scratch
-from terrascore.llm.mixing import cell_weights, measured, mix_to_targets, shares_kept
+from terrascore.llm.mixing import MixingSettings, cell_weights, measured, mix_to_targets, shares_kept
 
 
 @pytest.fixture
