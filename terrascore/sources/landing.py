@@ -112,12 +112,12 @@ def object_depth(payload: Column) -> Column:
 def payload_records(df: DataFrame, payload: Column, out: str) -> DataFrame:
     """Add ``out``: a JSON list gives its objects as records, an object one, anything else null.
 
-    Nested objects are flattened until none is left, their keys joined by dots; of a repeated key the last value counts. The depth is
-    that of the deepest payload, found in one pass. The stages are columns of their own, so each is computed once per row.
+    Nested objects are flattened until none is left, their keys joined by dots; of a repeated key the last value counts. Each payload
+    is unfolded as often as its own braces nest, in a loop within one expression: the plan is the same for any depth, and a deep or broken
+    payload costs itself alone. The stages are columns of their own, so each is computed once per row.
     """
     # a repeated key is legal JSON
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    depth = df.agg(F.max(object_depth(payload))).first()[0] or 0
     staged = df.withColumn("_payload", payload).withColumn("_node", F.try_parse_json("_payload"))
     kind = F.schema_of_variant("_node")
     is_list, is_object = kind.startswith("ARRAY"), kind.startswith("OBJECT")
@@ -127,12 +127,15 @@ def payload_records(df: DataFrame, payload: Column, out: str) -> DataFrame:
             "_nodes": F.when(is_list, F.col("_node").try_cast("array<variant>")).when(is_object, F.array("_node")),
         }
     )
-    staged = staged.withColumn("_entries", F.transform(F.arrays_zip("_texts", "_nodes"), lambda p: _entries(F.lit(""), p["_texts"], p["_nodes"])))
-    for _ in range(depth - 1):
-        staged = staged.withColumn("_entries", F.transform("_entries", lambda entries: F.flatten(F.transform(entries, _unfold))))
+    # text that is no JSON holds no objects, however many braces are open in it
+    rounds = F.when(is_list | is_object, F.greatest(object_depth(F.col("_payload")) - 1, F.lit(0))).otherwise(0)
+    staged = staged.withColumn("_rounds", F.array_repeat(F.lit(True), rounds))
+    objects = F.transform(F.arrays_zip("_texts", "_nodes"), lambda p: _entries(F.lit(""), p["_texts"], p["_nodes"]))
+    staged = staged.withColumn("_entries", objects)
+    staged = staged.withColumn("_entries", F.transform("_entries", _unfold_all))
     records = F.transform("_entries", lambda entries: F.map_from_entries(F.transform(_last_of_each(entries), lambda e: F.struct(e["key"], e["text"]))))
     clean = ~F.exists("_texts", lambda t: t.isNull())
-    return staged.withColumn(out, F.when(clean, records)).drop("_payload", "_node", "_texts", "_nodes", "_entries")
+    return staged.withColumn(out, F.when(clean, records)).drop("_payload", "_node", "_texts", "_nodes", "_rounds", "_entries")
 
 
 def _last_of_each(entries: Column) -> Column:
@@ -153,11 +156,20 @@ def _entries(prefix: Column, texts: Column, node: Column) -> Column:
     )
 
 
+def _unfold_all(entries: Column) -> Column:
+    """The entries of a record once no object is left in them; a record that holds none is done at once."""
+    unfolded = F.aggregate("_rounds", entries, lambda held, _: F.when(F.exists(held, _holds_object), F.flatten(F.transform(held, _unfold))).otherwise(held))
+    return F.when(F.exists(entries, _holds_object), unfolded).otherwise(entries)
+
+
+def _holds_object(e: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(e["node"]).startswith("OBJECT"), F.lit(False))
+
+
 def _unfold(e: Column) -> Column:
     """The entry itself, or the entries of the object it holds."""
-    is_object = F.coalesce(F.schema_of_variant(e["node"]).startswith("OBJECT"), F.lit(False))
     inner = _entries(F.concat(e["key"], F.lit(".")), F.from_json(e["text"], _OBJECT), e["node"])
-    return F.when(is_object, inner).otherwise(F.array(F.struct(e["key"].alias("key"), e["text"].alias("text"), e["node"].alias("node"))))
+    return F.when(_holds_object(e), inner).otherwise(F.array(F.struct(e["key"].alias("key"), e["text"].alias("text"), e["node"].alias("node"))))
 
 
 # -- CSV ----------------------------------------------------------------------------

@@ -68,6 +68,19 @@ def test_objects_of_any_depth_and_repeated_keys(spark):
     assert out == [[{"a.b.c.d.e.f": "1"}], [{"a": "2", "b": "0"}], [{"a.b": "2"}], [{"a.x": "1"}], [{"a": "2"}], [{"t": '{{{ " {'}]]
 
 
+def test_deep_and_broken_payloads_cost_only_themselves(spark):
+    def deep(n):
+        return '{"a":' * n + "1" + "}" * n
+
+    payloads = ['{"a":1}', "{" * 200, '{"a":' * 200, deep(60), "[" + deep(7) + ',{"b":2}]']
+    parsed = landing.payload_records(rows(spark, *[{"payload": p} for p in payloads]), F.col("payload"), "records")
+    assert records(parsed) == [[{"a": "1"}], None, None, [{".".join("a" * 60): "1"}], [{".".join("a" * 7): "1"}, {"b": "2"}]]
+    # building the query looks at no data: the plan is the same for any depth
+    shallow = landing.payload_records(rows(spark, {"payload": "{}"}), F.col("payload"), "records")
+    sizes = [len(d._jdf.queryExecution().analyzed().toString().split("\n")) for d in (parsed, shallow)]
+    assert sizes[0] == sizes[1]
+
+
 def test_header_names_are_free_and_long_rows_whole(spark):
     rule = FileRule("r", "*", skip_rows=0)
     contents = ["a,a,a.1\n1,2,3\n", "a,b\n1,2,3\n4,5,\n", "a,column_3\n1,2,3\n"]
