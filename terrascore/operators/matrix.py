@@ -81,6 +81,11 @@ def top_factors(wide: DataFrame, codes: Sequence[str], size: str, n: int = 10) -
     """The ``n`` codes most correlated (in absolute value) with ``size``, ranked."""
     long = to_long(wide.filter(F.col(size).isNotNull()), codes, keep=("entity_id", size))
     strength = long.groupBy("code").agg(F.abs(safe_corr(F.col("value"), F.col(size))).alias("correlation"))
+    return numbered(strength, n)
+
+
+def numbered(strength: DataFrame, n: int) -> DataFrame:
+    """``place, code, correlation`` of the ``n`` strongest codes, nulls last, ties by code."""
     best = strength.orderBy(F.col("correlation").desc_nulls_last(), "code").limit(n)
     rows = F.sort_array(F.collect_list(F.struct(F.col("correlation").isNull().alias("unknown"), (-F.col("correlation")).alias("minus"), "code")))
     # at most n rows are left, so numbering them is a bounded list

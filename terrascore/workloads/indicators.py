@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascore.functions.numbers import round_half_up
-from terrascore.operators import matrix
+from terrascore.operators import cells, matrix
 from terrascore.operators.quantiles import exact_quantiles
 from terrascore.plans import indicators as plan
 from terrascore.plans import roles
@@ -44,14 +44,8 @@ normed AS (
 first_index AS (SELECT entity_id, avg(x) * 10 AS index_v1 FROM normed GROUP BY 1)"""
 
 
-def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = roles.scan(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"))
-    facts = roles.indicator_facts(spark, sf_dir)
-    return ids.join(matrix.indicator_pivot(facts, matrix.indicator_codes(facts)), "entity_id", "left")
-
-
-def _imputed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    return plan.imputed_matrix(roles.zones(spark, sf_dir), roles.indicator_facts(spark, sf_dir))
+def _long(spark: SparkSession, sf_dir: str, max_missing: float = 0.5) -> plan.LongMatrix:
+    return plan.long_matrix(roles.zones(spark, sf_dir), roles.indicator_facts(spark, sf_dir), max_missing)
 
 
 @register(
@@ -59,7 +53,9 @@ def _imputed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     f"WITH {LONG} SELECT entity_id, {', '.join(f'''max(CASE WHEN code = '{c}' THEN value END) AS {s}''' for c, s in SHORT.items())} FROM long GROUP BY 1",
 )
 def indicator_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matrix(spark, sf_dir).withColumnsRenamed(SHORT)
+    """A pivot into declared columns."""
+    ids = roles.scan(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"))
+    return ids.join(matrix.indicator_pivot(roles.indicator_facts(spark, sf_dir), CODES), "entity_id", "left").withColumnsRenamed(SHORT)
 
 
 @register(
@@ -68,7 +64,8 @@ def indicator_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM long GROUP BY 1""",
 )
 def missing_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = matrix.missing_profile(_matrix(spark, sf_dir), CODES)
+    ids = roles.scan(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"))
+    out = cells.code_profile(ids, cells.known_cells(ids, roles.indicator_facts(spark, sf_dir))).select("code", "missing", "missing_share")
     return out.withColumn("missing_share", round_half_up(F.col("missing_share"), 6))
 
 
@@ -78,17 +75,16 @@ def missing_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE code IN (SELECT code FROM long GROUP BY 1 HAVING count(*) - count(value) <= 0.137 * count(*))""",
 )
 def drop_sparse_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _matrix(spark, sf_dir)
-    kept = matrix.dense_codes(wide, CODES, 0.137)
-    if not kept:
-        return wide.select("entity_id", F.lit(None).cast("string").alias("code"), F.lit(None).cast("double").alias("value")).limit(0)
-    return matrix.to_long(wide.select("entity_id", *[f"`{c}`" for c in kept]), kept)
+    ids = roles.scan(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"))
+    known = materialize(cells.known_cells(ids, roles.indicator_facts(spark, sf_dir)), "cells")
+    kept = cells.dense(cells.code_profile(ids, known), 0.137).select("code", F.lit(None).cast("double").alias("median"))
+    return cells.imputed_cells(ids, known, kept)
 
 
 @register("median_impute", f"WITH {IMPUTED} SELECT entity_id, code, {rnd('value', 4)} AS value FROM imputed")
 def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide, kept = _imputed(spark, sf_dir)
-    return matrix.to_long(wide, kept).withColumn("value", round_half_up(F.col("value"), 4))
+    long = _long(spark, sf_dir)
+    return cells.imputed_cells(long.entities, long.cells, long.codes).withColumn("value", round_half_up(F.col("value"), 4))
 
 
 @register(
@@ -97,22 +93,23 @@ def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM imputed a JOIN imputed b USING (entity_id) GROUP BY 1, 2""",
 )
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide, kept = _imputed(spark, sf_dir)
-    return matrix.correlation_matrix(wide, kept).withColumn("r", round_half_up(F.col("r"), 6))
+    long = _long(spark, sf_dir)
+    return cells.correlations(long.entities, long.cells, long.codes).withColumn("r", round_half_up(F.col("r"), 6))
 
 
 @register("top_factors", f"WITH {IMPUTED} SELECT place, code, {rnd('r')} AS correlation FROM factors")
 def top_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide, kept = _imputed(spark, sf_dir)
-    out = matrix.top_factors(wide, kept, "population", 3)
+    long = _long(spark, sf_dir)
+    out = cells.top_codes(long.entities, long.cells, long.codes, "population", 3)
     return out.withColumn("correlation", round_half_up(F.col("correlation"), 6))
 
 
 @register("index_v1", f"WITH {IMPUTED} SELECT entity_id, {rnd('index_v1')} AS index_v1 FROM first_index")
 def index_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide, kept = _imputed(spark, sf_dir)
-    factors = sorted(r.code for r in matrix.top_factors(wide, kept, "population", 3).collect())
-    return matrix.index_v1(wide, factors).withColumn("index_v1", round_half_up(F.col("index_v1"), 6))
+    long = _long(spark, sf_dir)
+    best = cells.top_codes(long.entities, long.cells, long.codes, "population", 3)
+    factors = long.codes.join(best.select("code"), "code", "left_semi")
+    return cells.mean_scaled(long.entities, long.cells, factors).withColumn("index_v1", round_half_up(F.col("index_v1"), 6))
 
 
 @register(
@@ -132,7 +129,6 @@ def poad_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = roles.indicator_facts(spark, sf_dir)
-    # zero: always take the histogram path, whatever the size
     medians = exact_quantiles(facts, ["code"], "value", {"median": 0.5})
     spread = facts.groupBy("code").agg(
         round_half_up(F.avg("value"), 4).alias("mean"),
