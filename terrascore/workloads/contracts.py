@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascore.functions.numbers import round_half_up
-from terrascore.operators import contracts
-from terrascore.plans import roles
+from terrascore.operators import contracts, file_contracts
+from terrascore.plans import platforms, roles
 from terrascore.plans.composite import IndexSettings
 from terrascore.session import materialize
 from terrascore.workloads import register
@@ -36,10 +36,86 @@ CONTRACTS = {
     UNION ALL SELECT 'returns', false, 0.0, 'r_id,r_reason', '', '', 1, 0, 0""",
 )
 def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {t: roles.scan(spark, sf_dir, t) for t in ("orders", "customer", "events", "supplier")}
+    # as stored: no layout is imposed
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "events", "supplier")}
     return contracts.contract_check_all(spark, tables | {"returns": None}, CONTRACTS)
 
 
+STORED = ["orders", "customer", "events", "supplier"]
+#: Contract type names of the types the SQL engine sees.
+_TYPE_NAME = """CASE WHEN data_type = 'BIGINT' THEN 'bigint' WHEN data_type = 'INTEGER' THEN 'integer' WHEN data_type = 'VARCHAR' THEN 'text'
+  WHEN data_type = 'DOUBLE' THEN 'double precision' WHEN data_type = 'TIMESTAMP' THEN 'timestamp without time zone'
+  WHEN data_type = 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp with time zone' ELSE lower(data_type) END"""
+_FOOTERS = "footers AS (SELECT table_name, column_name, " + _TYPE_NAME + " AS actual FROM (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, column_name, column_type AS data_type FROM (DESCRIBE {t})" for t in STORED
+) + "))"
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in r) + ")" for r in rows)
+
+
+ALL_CONTRACTS = CONTRACTS | platforms.CONTRACTS
+_DECLARED = [(t, c, c in k.required, k.types.get(c)) for t, k in ALL_CONTRACTS.items() for c in [*k.required, *k.optional]]
+_FAMILY = "CASE WHEN {0} LIKE '%numeric%' THEN 'numeric' ELSE coalesce((SELECT any_value(f) FROM families WHERE a = {0}), {0}) END"
+
+
+def _footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(file_contracts.read_footers(spark, {t: f"{sf_dir}/{t}.parquet" for t in STORED}), "footers")
+
+
+@register(
+    "contract_issues",
+    f"""WITH {_FOOTERS}, declared(table_name, column_name, required, expected) AS (VALUES {_values(_DECLARED)}),
+    families(a, f) AS (VALUES {_values(list(contracts.FAMILY_OF.items()))}), contracted AS (SELECT DISTINCT table_name FROM declared)
+    SELECT table_name, CASE WHEN required THEN 'error' ELSE 'info' END AS severity,
+      CASE WHEN required THEN 'missing_column' ELSE 'missing_optional_column' END AS category, column_name, NULL::VARCHAR AS expected, NULL::VARCHAR AS actual
+    FROM declared d WHERE table_name IN (SELECT table_name FROM footers) AND (table_name, column_name) NOT IN (SELECT (table_name, column_name) FROM footers)
+    UNION ALL SELECT table_name, 'warning', 'extra_column', column_name, NULL, NULL FROM footers
+    WHERE table_name IN (FROM contracted) AND (table_name, column_name) NOT IN (SELECT (table_name, column_name) FROM declared)
+    UNION ALL SELECT table_name, 'error', 'type_mismatch', column_name, expected, actual FROM footers JOIN declared USING (table_name, column_name)
+    WHERE {_FAMILY.format('expected')} <> {_FAMILY.format('actual')}
+    UNION ALL SELECT table_name, 'critical', 'existence', NULL, NULL, NULL FROM contracted WHERE table_name NOT IN (SELECT table_name FROM footers)
+    UNION ALL SELECT DISTINCT table_name, 'warning', 'compatibility', NULL, NULL, NULL FROM footers WHERE table_name NOT IN (FROM contracted)""",
+)
+def contract_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issue rows of the stored files against the contracts of these tables and of both report platforms."""
+    return file_contracts.schema_issues(_footers(spark, sf_dir), ALL_CONTRACTS).drop("file")
+
+
+EXPECTED = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"], "supplier": ["s_suppkey", "s_name", "s_region"]}
+
+
+def _exact_sql(expected: dict[str, list[str]]) -> str:
+    wanted = _values([(t, c) for t, cols in expected.items() for c in cols])
+    return f"""{_FOOTERS}, wanted(table_name, column_name) AS (VALUES {wanted}),
+    compared AS (SELECT coalesce(f.table_name, w.table_name) AS table_name, w.column_name AS w, f.column_name AS f
+      FROM (SELECT * FROM footers WHERE table_name IN (SELECT table_name FROM wanted)) f FULL JOIN wanted w ON f.table_name = w.table_name AND f.column_name = w.column_name)"""
+
+
+@register(
+    "exact_columns",
+    f"""WITH {_exact_sql(EXPECTED)} SELECT table_name, coalesce(string_agg(w, ',' ORDER BY w) FILTER (f IS NULL), '') AS missing,
+      coalesce(string_agg(f, ',' ORDER BY f) FILTER (w IS NULL), '') AS extra, count(*) FILTER (f IS NULL OR w IS NULL) = 0 AS matches FROM compared GROUP BY 1""",
+)
+def exact_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = file_contracts.exact_files(_footers(spark, sf_dir), EXPECTED)
+    return out.select("table_name", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"), "matches")
+
+
+CORE = {"events": ["event_id", "props"], "customer": ["c_custkey", "c_region"]}
+
+
+@register(
+    "relaxed_columns",
+    f"""WITH {_exact_sql(CORE)} SELECT table_name, count(*) FILTER (f IS NULL) = 0 AS compatible, coalesce(string_agg(w, ',' ORDER BY w) FILTER (f IS NULL), '') AS missing,
+      CASE WHEN bool_or(coalesce(f = 'batch_id', false)) THEN 'optimized' ELSE 'legacy' END AS layout FROM compared GROUP BY 1""",
+)
+def relaxed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = file_contracts.relaxed_files(_footers(spark, sf_dir), CORE)
+    return out.select("table_name", "compatible", F.array_join("missing", ",").alias("missing"), "layout")
+
+
 def _rules() -> dict:
     return {
         "payload has k": contracts.must_contain("props", ["k"]),
