@@ -170,6 +170,16 @@ def radar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(dashboard.radar(_index(spark, sf_dir), "regional"), 6, "baseline")
 
 
+@register(
+    "radar_national",
+    f"{INDEX}, every AS (SELECT {', '.join(f'avg({c}) AS b_{c}' for c in SCORES)} FROM index_view), w AS (SELECT * FROM index_view CROSS JOIN every) "
+    + " UNION ALL ".join(f"SELECT entity_id, '{c}' AS component, {c}_score AS value, {rnd(f'b_{c}_score')} AS baseline FROM w" for c in COMPONENTS),
+)
+def radar_national(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entity against the mean of all."""
+    return _rounded(dashboard.radar(_index(spark, sf_dir), "national"), 6, "baseline")
+
+
 @register(
     "radar_best_region",
     f"""{INDEX}, {_BASE.format(group='region_name', by='1')},
