@@ -172,13 +172,58 @@ def accessibility(df: DataFrame, scale_km: float = 500.0) -> DataFrame:
 # -- neighbours ---------------------------------------------------------------------
 
 
-def pairwise_distance(df: DataFrame, max_km: float) -> DataFrame:
+#: Most rows of either side that one key of the neighbour join should hold.
+BLOCK_ROWS = 1_000
+
+
+def pairwise_distance(df: DataFrame, max_km: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id_a, id_b, km`` for every two entities at most ``max_km`` apart, also at one spot, smaller id first.
 
-    An equality join on grid cells: each entity visits the cells its radius
-    touches, so far pairs are never formed.
+    The pairs of an entity at a spot with n others are n rows; ``spot_pairs`` and ``spot_members`` hold the same in linear space.
+    """
+    placed = df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    spots = placed.select(F.col("entity_id").alias("first_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    return _near_pairs(spots, max_km, block_rows)
+
+
+def spot_pairs(df: DataFrame, max_km: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id_a, id_b, n_a, n_b, km`` for every two different spots at most ``max_km`` apart, named by their smallest entity.
+
+    Every entity of one spot is that far from every entity of the other; ``spot_members`` tells who they are.
+    """
+    spots = materialize(positions(df).select("first_id", "lat", "lon", "n"), "spots")
+    pairs = _near_pairs(spots.drop("n"), max_km, block_rows)
+    for side in ("a", "b"):
+        pairs = pairs.join(spots.select(F.col("first_id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}")), f"id_{side}")
+    return pairs.select("id_a", "id_b", "n_a", "n_b", "km")
+
+
+def spot_members(df: DataFrame) -> DataFrame:
+    """``entity_id, spot_id``: the smallest entity at the same spot; null without coordinates."""
+    at = {"lat": F.col("lat").cast("double"), "lon": F.col("lon").cast("double")}
+    spots = materialize(positions(df).select("lat", "lon", "n", F.col("first_id").alias("spot_id")), "spots")
+    return lookup_join(df.select("entity_id", "lat", "lon").withColumns(at), spots, ["lat", "lon"], "n").select("entity_id", "spot_id")
+
+
+def _near_pairs(spots: DataFrame, max_km: float, block_rows: int) -> DataFrame:
+    """``id_a, id_b, km`` of any two rows at most ``max_km`` apart.
+
+    An equality join on grid cells: each row visits the cells its radius touches, so far pairs are never formed. Crowded cells are
+    split by ``_blocks``.
     """
-    spots = df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col("entity_id").alias("first_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    visiting, resident = _blocks(*_cell_sides(spots, max_km), block_rows)
+    km = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    return (
+        visiting.join(resident, ["cell", "part_a", "part_b"])
+        .filter(F.col("id_a") < F.col("id_b"))
+        .withColumn("km", km)
+        .filter(F.col("km") <= max_km)
+        .select("id_a", "id_b", "km")
+    )
+
+
+def _cell_sides(spots: DataFrame, max_km: float) -> tuple[DataFrame, DataFrame]:
+    """Rows by the cells they visit, and rows by the one cell they lie in."""
     reach = max_km / KM_PER_DEGREE
     size = max(reach, 0.01)
     # whole columns only, so that wrapping past 180 degrees stays aligned
@@ -192,20 +237,37 @@ def pairwise_distance(df: DataFrame, max_km: float) -> DataFrame:
     west, east = F.floor((F.col("lon") - span + 180) / width), F.floor((F.col("lon") + span + 180) / width)
     east = F.least(east, west + columns - 1)
     own_col = F.least(F.floor((F.col("lon") + 180) / width), F.lit(columns - 1))
+    touched = F.array_distinct(F.transform(F.sequence("w", "e"), lambda c: F.pmod(c, F.lit(columns))))
     visiting = (
         spots.select(F.col("first_id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), lowest.alias("lo"), highest.alias("hi"), west.alias("w"), east.alias("e"))
         .select("id_a", "lat_a", "lon_a", "w", "e", F.explode(F.sequence("lo", "hi")).alias("cell_row"))
-        .select("id_a", "lat_a", "lon_a", "cell_row", F.explode(F.array_distinct(F.transform(F.sequence("w", "e"), lambda c: F.pmod(c, F.lit(columns))))).alias("cell_col"))
+        .select("id_a", "lat_a", "lon_a", "cell_row", F.explode(touched).alias("cell_col"))
     )
+    cell = (F.col("cell_row") * columns + F.col("cell_col")).cast("bigint").alias("cell")
     resident = spots.select(F.col("first_id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), row.alias("cell_row"), own_col.alias("cell_col"))
-    km = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return (
-        visiting.join(resident, ["cell_row", "cell_col"])
-        .filter(F.col("id_a") < F.col("id_b"))
-        .withColumn("km", km)
-        .filter(F.col("km") <= max_km)
-        .select("id_a", "id_b", "km")
-    )
+    return visiting.select("id_a", "lat_a", "lon_a", cell), resident.select("id_b", "lat_b", "lon_b", cell)
+
+
+def _blocks(visiting: DataFrame, resident: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``part_a, part_b``: a crowded cell is a table of blocks, each the work of one key.
+
+    The rows of a cell are dealt out by a hash into parts of about ``block_rows`` on either side, and every part of one side meets every
+    part of the other. A row is repeated once per ``block_rows`` rows that it is compared with, so what is shuffled stays a small
+    part of the comparisons, and no key holds more than about ``block_rows`` squared of them.
+    """
+    n_a = visiting.groupBy("cell").agg(F.count(F.lit(1)).alias("n_a"))
+    n_b = resident.groupBy("cell").agg(F.count(F.lit(1)).alias("n_b"))
+    parts = [F.ceil(F.col(n) / block_rows).alias(p) for n, p in (("n_a", "parts_a"), ("n_b", "parts_b"))]
+    # cells that only one side has hold no pair
+    cells = materialize(n_a.join(n_b, "cell").select("cell", "n_a", "n_b", *parts), "cells")
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        weighed = cells.select("cell", F.col(f"n_{own}").alias("n"), "parts_a", "parts_b")
+        met = lookup_join(side, weighed, ["cell"], "n").filter(F.col("parts_a").isNotNull())
+        place = F.pmod(F.xxhash64(f"id_{own}"), F.col(f"parts_{own}")).alias(f"part_{own}")
+        return met.select(*side.columns, place, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"parts_{other}") - 1)).alias(f"part_{other}"))
+
+    return dealt(visiting, "a", "b"), dealt(resident, "b", "a")
 
 
 # -- gravity --------------------------------------------------------------------------

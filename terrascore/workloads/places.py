@@ -155,6 +155,24 @@ def pairwise_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("km", F.round("km", 6))
 
 
+@register(
+    "spot_pairs",
+    f"""WITH {SHOPS}, spots AS (SELECT lat, lon, min(entity_id) AS first_id, count(*) AS n FROM shops WHERE lat IS NOT NULL GROUP BY 1, 2)
+    SELECT a.first_id AS id_a, b.first_id AS id_b, a.n AS n_a, b.n AS n_b, {km_sql('a', 'b')} AS km
+    FROM spots a JOIN spots b ON a.first_id < b.first_id WHERE {km_sql('a', 'b')} <= 200""",
+)
+def spot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.spot_pairs(roles.shops(spark, sf_dir), 200.0).withColumn("km", F.round("km", 6))
+
+
+@register(
+    "spot_members",
+    f"""WITH {SHOPS} SELECT entity_id, CASE WHEN lat IS NOT NULL THEN min(entity_id) OVER (PARTITION BY lat, lon) END AS spot_id FROM shops""",
+)
+def spot_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.spot_members(roles.shops(spark, sf_dir))
+
+
 @register(
     "distance_stats",
     f"""WITH {SPOTS}, every AS (SELECT unnest(range(n)) AS copy, km FROM pairs)

@@ -77,6 +77,38 @@ def test_neighbours_match_brute_force(spark, cloud, reach):
     assert ours == {(a, b) for a in ids for b in ids if a < b and km(cloud[a], cloud[b]) <= reach}
 
 
+@pytest.mark.parametrize("reach", [300.0, 2_500.0])
+def test_split_cells_lose_and_repeat_nothing(spark, cloud, reach):
+    whole = sorted((r.id_a, r.id_b) for r in distance.pairwise_distance(frame(spark, cloud), reach).collect())
+    assert sorted((r.id_a, r.id_b) for r in distance.pairwise_distance(frame(spark, cloud), reach, block_rows=3).collect()) == whole
+
+
+def test_crowded_cell_is_even_work(spark):
+    """Half of all rows in one cell: the comparisons spread over the tasks, and no key holds more than a block of them."""
+    draw = np.random.default_rng(5)
+    points = {i: (draw.uniform(50, 50.4), draw.uniform(30, 30.4)) if i % 2 else (draw.uniform(-60, 60), draw.uniform(-180, 179)) for i in range(2_400)}
+    sides = distance._cell_sides(frame(spark, points).withColumnRenamed("entity_id", "first_id"), 100.0)
+    assert sides[1].groupBy("cell").count().agg(F.max("count")).head()[0] > 500
+    a, b = distance._blocks(*sides, 100)
+    keys = ["cell", "part_a", "part_b"]
+    work = a.groupBy(*keys).count().withColumnRenamed("count", "a").join(b.groupBy(*keys).count(), keys).withColumn("work", F.col("a") * F.col("count"))
+    assert work.agg(F.max("work")).head()[0] < 2 * 100 * 100
+    # as the shuffle of the join deals out its keys
+    loads = [r["sum(work)"] for r in work.groupBy(F.pmod(F.hash(*keys), F.lit(8))).sum("work").collect()]
+    assert max(loads) <= 2 * sum(loads) / 8
+
+
+def test_spot_pairs_with_members_are_all_pairs(spark, cloud):
+    df = frame(spark, cloud)
+    spot = {r.entity_id: r.spot_id for r in distance.spot_members(df).collect()}
+    assert set(spot) == set(cloud) and all((spot[i] is None) == (p is None) for i, p in cloud.items())
+    apart = {(r.id_a, r.id_b): r for r in distance.spot_pairs(df, 300.0).collect()}
+    ours = {(i, j) for i in cloud for j in cloud if i < j and cloud[i] and cloud[j] and (spot[i] == spot[j] or tuple(sorted((spot[i], spot[j]))) in apart)}
+    assert ours == {(r.id_a, r.id_b) for r in distance.pairwise_distance(df, 300.0).collect()}
+    size = {s: sum(t == s for t in spot.values()) for s in spot.values()}
+    assert all((r.n_a, r.n_b) == (size[a], size[b]) for (a, b), r in apart.items())
+
+
 @pytest.mark.parametrize("open_pairs", [100, 1 << 16])
 def test_pair_statistics_match_brute_force(spark, cloud, open_pairs):
     spots = materialize(distance.positions(frame(spark, cloud), second=True), "spots")
