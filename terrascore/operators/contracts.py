@@ -310,13 +310,19 @@ def watermark_advance(rows: DataFrame, previous: DataFrame | None, grace_days: i
     return newest.groupBy("source_name").agg(F.max("watermark_date").alias("watermark_date")).withColumn("grace_days", F.lit(grace_days).cast("smallint"))
 
 
+def load_starts(watermarks: DataFrame) -> DataFrame:
+    """``_source, _from``: the first date to load again of each source."""
+    return watermarks.select(F.col("source_name").alias("_source"), F.date_sub("watermark_date", F.col("grace_days").cast("int")).alias("_from"))
+
+
 def incremental_filter(rows: DataFrame, watermarks: DataFrame, source: str = "source_name", loaded: str = "loaded_at") -> DataFrame:
     """Rows at or after their source's watermark less its grace days; unknown sources pass whole.
 
     ``watermarks`` has one row per source and should be a stored table, so that its size decides how it is joined. The earliest date of
-    all sources is a plain bound on the load time, which reaches the scan of the known sources.
+    all sources is a plain bound on the load time, which reaches the scan of the known sources. For unknown ones all of ``rows`` is read;
+    ``sources.ledger.incremental_read`` opens only the files that can hold rows to load.
     """
-    marks = watermarks.select(F.col("source_name").alias("_source"), F.date_sub("watermark_date", F.col("grace_days").cast("int")).alias("_from"))
+    marks = load_starts(watermarks)
     unknown = rows.join(marks, F.col(source) == F.col("_source"), "left_anti")
     floor = marks.agg(F.min("_from")).first()[0]
     if floor is None:

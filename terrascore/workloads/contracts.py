@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from terrascore.functions.numbers import round_half_up
 from terrascore.operators import contracts, file_contracts
 from terrascore.plans import platforms, roles
 from terrascore.plans.composite import IndexSettings
-from terrascore.session import materialize
+from terrascore.session import materialize, shared_folder
+from terrascore.sources import ledger
 from terrascore.workloads import register
 from terrascore.workloads.index import index_frame
 from terrascore.workloads.sql import INDEX, rnd
@@ -214,13 +217,27 @@ def watermark_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.watermark_advance(events, idle, 3, source="event_type", loaded="ts")
 
 
-@register(
-    "incremental_filter",
-    """WITH marks AS (SELECT event_type, max(CAST(ts AS DATE)) AS mark FROM events WHERE ts < TIMESTAMP '2024-01-20' AND event_type <> 'click' GROUP BY 1)
-    SELECT event_id, event_type FROM events LEFT JOIN marks USING (event_type) WHERE mark IS NULL OR CAST(ts AS DATE) >= mark - 3""",
-)
+INCREMENT = """WITH marks AS (SELECT event_type, max(CAST(ts AS DATE)) AS mark FROM events WHERE ts < TIMESTAMP '2024-01-20' AND event_type <> 'click' GROUP BY 1)
+    SELECT event_id, event_type FROM events LEFT JOIN marks USING (event_type) WHERE mark IS NULL OR CAST(ts AS DATE) >= mark - 3"""
+
+
+def _event_marks(events: DataFrame) -> DataFrame:
+    seen = events.filter((F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("event_type") != "click"))
+    return materialize(contracts.watermark_advance(seen, None, 3, source="event_type", loaded="ts"), "watermarks")
+
+
+@register("incremental_filter", INCREMENT)
 def incremental_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = roles.scan(spark, sf_dir, "events")
-    seen = events.filter((F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("event_type") != "click"))
-    marks = materialize(contracts.watermark_advance(seen, None, 3, source="event_type", loaded="ts"), "watermarks")
-    return contracts.incremental_filter(events, marks, source="event_type", loaded="ts").select("event_id", "event_type")
+    return contracts.incremental_filter(events, _event_marks(events), source="event_type", loaded="ts").select("event_id", "event_type")
+
+
+@register("incremental_read", INCREMENT)
+def incremental_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from files that landed by type and time: the ledger is entered, then only files that are due are opened."""
+    events = roles.scan(spark, sf_dir, "events")
+    landed = f"{shared_folder(spark)}/terrascore/landed-{uuid.uuid4().hex}"
+    events.repartitionByRange(4 * spark.sparkContext.defaultParallelism, "event_type", "ts").write.parquet(f"{landed}/files")
+    entries = ledger.update_ledger(spark, f"{landed}/files", f"{landed}/ledger", events.schema, source="event_type", loaded="ts")
+    out = ledger.incremental_read(spark, f"{landed}/files", entries, _event_marks(events), events.schema, source="event_type", loaded="ts")
+    return out.select("event_id", "event_type")
