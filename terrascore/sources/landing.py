@@ -210,21 +210,26 @@ def csv_records(df: DataFrame, text: Column, sep: Column, skip_rows: Column, has
     body = F.slice("_lines", F.col("_skip") + 1, F.greatest(F.size("_lines") - F.col("_skip"), F.lit(0)))
     rows = F.transform(F.filter(body, lambda line: F.trim(line) != ""), lambda line: csv_cells(line, F.col("_sep"), F.col("_quote")))
     staged = staged.withColumn("_rows", rows).withColumn("_names", F.transform(F.get("_rows", F.lit(0)), lambda c: F.trim(c)))
-    header = F.when(F.col("_head"), free_names(F.col("_names"))).otherwise(F.transform("_names", lambda c, i: i.cast("string")))
     data = F.when(F.col("_head"), F.slice("_rows", F.lit(2), F.greatest(F.size("_rows") - 1, F.lit(0)))).otherwise(F.col("_rows"))
-    staged = staged.withColumns({"_header": header, "_data": data})
-
-    def record(cells: Column) -> Column:
-        named = F.transform("_header", lambda name, i: F.struct(name.alias("key"), present(F.get(cells, i)).alias("value")))
-        beyond = F.slice(cells, F.size("_header") + 1, F.greatest(F.size(cells) - F.size("_header"), F.lit(0)))
-        spare = F.transform(beyond, lambda c, i: F.struct(_spare_name(i).alias("key"), present(c).alias("value")))
-        return F.map_from_entries(F.concat(named, F.filter(spare, lambda e: e["value"].isNotNull())))
-
-    return staged.withColumn(out, F.when(F.col("_header").isNotNull(), F.transform("_data", record))).drop(
+    staged = staged.withColumns({"_header": csv_header("_names", F.col("_head")), "_data": data})
+    return staged.withColumn(out, F.when(F.col("_header").isNotNull(), F.transform("_data", csv_record))).drop(
         "_sep", "_skip", "_head", "_quote", "_lines", "_rows", "_names", "_header", "_data"
     )
 
 
+def csv_header(first: str, has_header: Column) -> Column:
+    """Column names from the trimmed cells of the first row: the cells themselves, or their numbers."""
+    return F.when(has_header, free_names(F.col(first))).otherwise(F.transform(first, lambda c, i: i.cast("string")))
+
+
+def csv_record(cells: Column) -> Column:
+    """The cells of a row by the names in the column ``_header``."""
+    named = F.transform("_header", lambda name, i: F.struct(name.alias("key"), present(F.get(cells, i)).alias("value")))
+    beyond = F.slice(cells, F.size("_header") + 1, F.greatest(F.size(cells) - F.size("_header"), F.lit(0)))
+    spare = F.transform(beyond, lambda c, i: F.struct(_spare_name(i).alias("key"), present(c).alias("value")))
+    return F.map_from_entries(F.concat(named, F.filter(spare, lambda e: e["value"].isNotNull())))
+
+
 def _spare_name(i: Column) -> Column:
     """Name of the cell i places beyond the header: ``column_`` and its number, marked until no header has it."""
     plain = F.concat(F.lit("column_"), (F.size("_header") + i + 1).cast("string"))

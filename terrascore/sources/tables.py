@@ -43,11 +43,12 @@ def read_database(spark: SparkSession, url: str, table: str, split_on: str, lowe
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """UTF-8 CSV with a header row and a declared schema (no inference pass)."""
-    return spark.read.schema(schema).option("encoding", "UTF-8").csv(path, header=True)
+    return spark.read.schema(schema).option("encoding", "UTF-8").option("escape", '"').csv(path, header=True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("encoding", "UTF-8").csv(path, header=True)
+    """UTF-8 CSV with a header row in every file; a quote inside a cell is doubled."""
+    df.write.option("encoding", "UTF-8").option("escape", '"').csv(path, header=True)
 
 
 def write_json(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:

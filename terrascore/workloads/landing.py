@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascore.functions.text import numify, period_from_name, to_number
 from terrascore.operators import curated
 from terrascore.plans import curation, roles
-from terrascore.session import materialize
+from terrascore.session import materialize, shared_folder
 from terrascore.sources import landing
+from terrascore.sources.csv_lines import csv_rows, file_lines, text_lines
+from terrascore.sources.tables import write_csv
 from terrascore.workloads import register
 
 L0 = """
@@ -97,6 +101,34 @@ def content_csv_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.explode_records(parsed).select("id", "record_no", F.explode("record").alias("key", "value"))
 
 
+@register(
+    "csv_text_lines",
+    f"""WITH {L0} SELECT id, 0 AS record_no, 'Land, ' || land AS first, CAST(CAST(units AS INT) AS VARCHAR) AS second FROM l0 WHERE shape = 2
+    UNION ALL SELECT id, 1, NULL, '7' FROM l0 WHERE shape = 2
+    UNION ALL SELECT id, 0, land, '$' || printf('%.2f', money) FROM l0 WHERE shape = 3""",
+)
+def csv_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV texts of the landing table by lines."""
+    ruled = landing.match_rule(roles.landing_rows(spark, sf_dir).filter(F.col("content").isNotNull()), roles.RULES).filter(F.col("rule").isNotNull())
+    rows = csv_rows(text_lines(ruled, "id", F.col("content"), F.col("rule")))
+    cell = F.map_values("record")
+    return rows.select(F.col("file").alias("id"), F.col("record_no").cast("int").alias("record_no"), F.get(cell, F.lit(0)).alias("first"), F.get(cell, F.lit(1)).alias("second"))
+
+
+@register(
+    "csv_file_lines",
+    """SELECT CAST(c_custkey AS VARCHAR) AS custkey, c_name || chr(10) || '"' || c_mktsegment || '", no. ' || c_custkey AS note, CAST(c_nationkey AS VARCHAR) AS nation
+    FROM customer""",
+)
+def csv_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers through CSV files with quotes, separators and line breaks in a cell, read back by lines."""
+    path = f"{shared_folder(spark)}/terrascore/csv-{uuid.uuid4().hex}"
+    note = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('", no. '), F.col("c_custkey").cast("string"))
+    write_csv(roles.scan(spark, sf_dir, "customer").select("c_custkey", note.alias("note"), "c_nationkey"), path)
+    rows = csv_rows(file_lines(spark, path, [landing.FileRule("customers", "*.csv", skip_rows=0)]))
+    return rows.select(*[F.col("record")[c].alias(name) for c, name in (("c_custkey", "custkey"), ("note", "note"), ("c_nationkey", "nation"))])
+
+
 @register(
     "csv_preface",
     f"WITH {L0} SELECT id, CASE shape WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 5 THEN 1 END AS preface FROM l0 WHERE shape IN (2, 3, 5)",
