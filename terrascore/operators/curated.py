@@ -89,8 +89,9 @@ def load_outcome() -> Column:
 
 
 def load_stats(rows: DataFrame, sales: DataFrame, revenue: DataFrame) -> DataFrame:
-    """One row: landing rows read, without rule, empty, and curated rows per target."""
-    counts = {"sales_rows": sales, "rev_rows": revenue}
+    """One row: landing rows read, without rule, empty; curated rows per target, and how many of them an upsert writes, one per key."""
+    written = {"l1_sales_upserted": sales, "l1_revenue_upserted": revenue}
+    counts = {"sales_rows": sales, "rev_rows": revenue} | {name: df.select(*KEYS).distinct() for name, df in written.items()}
     out = rows.withColumn("_outcome", load_outcome()).agg(
         F.count(F.lit(1)).alias("l0_read"),
         F.count_if(F.col("_outcome") == "no_rule").alias("no_rule"),
@@ -99,6 +100,13 @@ def load_stats(rows: DataFrame, sales: DataFrame, revenue: DataFrame) -> DataFra
     return out.withColumns({name: df.agg(F.count(F.lit(1))).scalar() for name, df in counts.items()})
 
 
+def upsert_counts(target: DataFrame, batch: DataFrame) -> DataFrame:
+    """One row ``inserted, updated``: what an upsert of the batch does to the target; null is a key value of its own."""
+    keys = batch.select(*KEYS).distinct()
+    met = keys.alias("b").join(target.select(*KEYS).distinct().withColumn("_there", F.lit(True)).alias("t"), [F.col(f"b.{k}").eqNullSafe(F.col(f"t.{k}")) for k in KEYS], "left")
+    return met.agg(F.count_if(F.col("_there").isNull()).alias("inserted"), F.count_if(F.col("_there").isNotNull()).alias("updated"))
+
+
 # -- profiling ----------------------------------------------------------------------
 
 

@@ -151,6 +151,13 @@ def composite_index(roles: IndexRoles, settings: IndexSettings | None = None) ->
     )
 
 
+def recomputed_index(roles: IndexRoles, settings: IndexSettings | None = None) -> DataFrame:
+    """``entity_id, index_score, index_score_100`` from the fact tables, the components unrounded: the other side of a reconciliation."""
+    s = settings or IndexSettings()
+    anew = component_scores(materialize(index_inputs(roles, s), "index-inputs"), s)
+    return anew.select("entity_id", round_half_up(F.col("score"), 4).alias("index_score"), round_half_up(F.col("score") * 100, 2).alias("index_score_100"))
+
+
 def export_index(index: DataFrame) -> DataFrame:
     """Projection handed to the dashboard, ordered by rank."""
     dropped = ("mobility_km", "climate_band", "heating_over_baseline")

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascore.functions.numbers import round_half_up
 from terrascore.operators import contracts, file_contracts
 from terrascore.plans import platforms, roles
-from terrascore.plans.composite import IndexSettings
+from terrascore.plans.composite import composite_index, recomputed_index
 from terrascore.session import materialize, shared_folder
 from terrascore.sources import ledger
 from terrascore.workloads import register
-from terrascore.workloads.index import index_frame
-from terrascore.workloads.sql import INDEX, rnd
+from terrascore.workloads.index import SETTINGS, index_frame
+from terrascore.workloads.sql import INDEX, SCORED, rnd
 
 CONTRACTS = {
     "orders": contracts.Contract(
@@ -185,25 +185,36 @@ def apply_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("amount", F.col("amount").cast("double"))
 
 
-@register(
-    "reconcile",
-    f"""{INDEX}, again AS (SELECT entity_id, {rnd('0.35 * quality_score + 0.20 * market_score + 0.15 * consumption_score + 0.15 * access_score + 0.10 * climate_score + 0.05 * mobility_score', 4)} AS s,
-      {rnd('(0.35 * quality_score + 0.20 * market_score + 0.15 * consumption_score + 0.15 * access_score + 0.10 * climate_score + 0.05 * mobility_score) * 100', 2)} AS s100 FROM index_view),
-    j AS (SELECT i.*, again.s, again.s100, again.entity_id AS other FROM index_view i LEFT JOIN again USING (entity_id))
-    SELECT 'index_score' AS column_name, count(other) AS compared, count(*) - count(other) AS only_stored, 0::BIGINT AS only_recomputed,
-      count(*) FILTER (abs(index_score - s) > 0.0001) AS beyond, count(*) - count(index_score) AS nulls, 0::BIGINT AS out_of_range FROM j
-    UNION ALL SELECT 'index_score_100', count(other), count(*) - count(other), 0, count(*) FILTER (abs(index_score_100 - s100) > 0.01),
-      count(*) - count(index_score_100), count(*) FILTER (index_score_100 < 0 OR index_score_100 > 100) FROM j""",
-)
+def _reconciled(stored: str, anew: str) -> str:
+    columns = {"index_score": ("0.0001", "NULL"), "index_score_100": ("0.01", "100")}
+    one = """SELECT '{c}' AS column_name, count(*) FILTER (a.entity_id IS NOT NULL AND b.entity_id IS NOT NULL) AS compared,
+      count(*) FILTER (b.entity_id IS NULL) AS only_stored, count(*) FILTER (a.entity_id IS NULL) AS only_recomputed,
+      count(*) FILTER (abs(a.{c} - b.{c}) > {tol}) AS beyond, count(*) FILTER (a.entity_id IS NOT NULL AND a.{c} IS NULL) AS nulls,
+      count(*) FILTER (a.{c} < 0 AND {top} IS NOT NULL OR a.{c} > {top}) AS out_of_range FROM stored a FULL JOIN anew b USING (entity_id)"""
+    rows = " UNION ALL ".join(one.format(c=c, tol=tol, top=top) for c, (tol, top) in columns.items())
+    return f"WITH stored AS ({stored}), anew AS ({anew}) {rows}"
+
+
+_ANEW = f"{SCORED} SELECT entity_id, {rnd('score', 4)} AS index_score, {rnd('score * 100', 2)} AS index_score_100 FROM ranked"
+_EARLIER = f"{INDEX} SELECT * FROM index_view".replace("1996-12-31", "1996-06-30").replace("1996-07-01", "1996-01-01")
+TOLERANCES = {"index_score": 0.0001, "index_score_100": 0.01}
+
+
+@register("reconcile", _reconciled(f"{INDEX} SELECT * FROM index_view", _ANEW))
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = materialize(index_frame(spark, sf_dir), "index")
-    total = F.lit(0.0)
-    for c, w in IndexSettings().weights.items():
-        total = total + F.lit(w) * F.col(f"{c}_score")
-    again = index.select(
-        "entity_id", round_half_up(total, 4).alias("index_score"), round_half_up(total * 100, 2).alias("index_score_100")
-    )
-    return contracts.reconcile(index, again, "entity_id", {"index_score": 0.0001, "index_score_100": 0.01}, {"index_score_100": 100.0})
+    """The stored view against one computed anew from the fact tables, before any rounding of components."""
+    stored = materialize(index_frame(spark, sf_dir), "index")
+    anew = recomputed_index(roles.index_roles(spark, sf_dir), SETTINGS)
+    return contracts.reconcile(stored, anew, "entity_id", TOLERANCES, {"index_score_100": 100.0})
+
+
+@register("reconcile_periods", _reconciled(_EARLIER, _ANEW))
+def reconcile_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view stored for the first half of the year against the second half: what a stale view would show."""
+    first_half = replace(SETTINGS, period=("1996-01-01", "1996-06-30"))
+    stored = materialize(composite_index(roles.index_roles(spark, sf_dir), first_half), "index")
+    anew = recomputed_index(roles.index_roles(spark, sf_dir), SETTINGS)
+    return contracts.reconcile(stored, anew, "entity_id", TOLERANCES, {"index_score_100": 100.0})
 
 
 @register(

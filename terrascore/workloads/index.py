@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from terrascore.functions.numbers import round_half_up
 from terrascore.operators.scaling import group_mean_fill, minmax_scale
 from terrascore.plans import composite as plan
 from terrascore.plans import roles
-from terrascore.session import materialize
+from terrascore.session import materialize, shared_folder
+from terrascore.sources import tables
 from terrascore.workloads import register
 from terrascore.workloads.sql import ENTITIES, INDEX, MARKET, SCORED, rnd
 
@@ -41,6 +44,24 @@ def export_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.export_index(index_frame(spark, sf_dir))
 
 
+@register("json_sink", f"{INDEX} SELECT * EXCLUDE (mobility_km, climate_band, heating_over_baseline) FROM index_view")
+def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported index through JSON lines and back."""
+    out = plan.export_index(index_frame(spark, sf_dir))
+    path = f"{shared_folder(spark)}/terrascore/index-json-{uuid.uuid4().hex}"
+    tables.write_json(out, path)
+    return spark.read.schema(out.schema).json(path)
+
+
+@register("csv_sink", f"{INDEX} SELECT * FROM index_view")
+def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole view through CSV and back, by a declared schema."""
+    out = index_frame(spark, sf_dir)
+    path = f"{shared_folder(spark)}/terrascore/index-csv-{uuid.uuid4().hex}"
+    tables.write_csv(out, path)
+    return tables.read_csv(spark, path, out.schema)
+
+
 @register("entity_base", f"WITH {ENTITIES} SELECT * FROM entities")
 def entity_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.entity_base(roles.settlements(spark, sf_dir), roles.regions(spark, sf_dir), roles.territories(spark, sf_dir))

@@ -202,12 +202,26 @@ def l0_to_l1_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "l0_load_stats",
     f"""WITH {L0} SELECT count(*) AS l0_read, count(*) FILTER (shape = 5) AS no_rule, count(*) FILTER (shape = 4) AS empty_df,
-      (SELECT count(*) FROM sales) AS sales_rows, (SELECT count(*) FROM revenue) AS rev_rows FROM l0""",
+      (SELECT count(*) FROM sales) AS sales_rows, (SELECT count(*) FROM revenue) AS rev_rows,
+      (SELECT count(*) FROM (SELECT DISTINCT id, source_file, country, report_period FROM sales)) AS l1_sales_upserted,
+      (SELECT count(*) FROM (SELECT DISTINCT id, source_file, country, report_period FROM revenue)) AS l1_revenue_upserted FROM l0""",
 )
 def l0_load_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batch(spark, sf_dir).stats()
 
 
+@register(
+    "upsert_counts",
+    f"""WITH {L0}, keys AS (SELECT id, min(loaded_at) AS landed FROM revenue JOIN l0 USING (id) GROUP BY id)
+    SELECT count(*) FILTER (landed >= TIMESTAMP '2024-01-20') AS inserted, count(*) FILTER (landed < TIMESTAMP '2024-01-20') AS updated
+    FROM keys WHERE landed >= TIMESTAMP '2024-01-10'""",
+)
+def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load of ten days and more over a table that already holds the first of them."""
+    stored = materialize(_batch(spark, sf_dir, end="2024-01-20").revenue, "l1-revenue")
+    return curated.upsert_counts(stored, _batch(spark, sf_dir, start="2024-01-10").revenue)
+
+
 _ROLES = f"""{L0}, inferred AS (
   SELECT id, 'sales' AS kind, 'country' AS role, CASE shape WHEN 1 THEN 'country' ELSE 'Country' END AS column_name FROM l0 WHERE shape IN (0, 1, 2)
   UNION ALL SELECT id, 'sales', 'units', CASE shape WHEN 1 THEN 'detail.units_sold' ELSE 'Units' END FROM l0 WHERE shape IN (0, 1, 2)

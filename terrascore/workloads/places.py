@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from terrascore.functions.numbers import round_half_up
 from terrascore.operators import distance, pairs
 from terrascore.plans import access as plan
 from terrascore.plans import roles
-from terrascore.session import materialize
+from terrascore.session import materialize, shared_folder
+from terrascore.sources.tables import write_matrix
 from terrascore.workloads import register
 from terrascore.workloads.sql import rnd
 
@@ -145,16 +148,24 @@ pairs AS (
 )"""
 
 
-@register(
-    "pairwise_distance",
-    f"""WITH {PLACES} SELECT a.entity_id AS id_a, b.entity_id AS id_b, {km_sql('a', 'b')} AS km
-    FROM places a JOIN places b ON a.entity_id < b.entity_id WHERE {km_sql('a', 'b')} <= 400""",
-)
+NEIGHBOURS = f"""WITH {PLACES} SELECT a.entity_id AS id_a, b.entity_id AS id_b, {km_sql('a', 'b')} AS km
+    FROM places a JOIN places b ON a.entity_id < b.entity_id WHERE {km_sql('a', 'b')} <= 400"""
+
+
+@register("pairwise_distance", NEIGHBOURS)
 def pairwise_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = distance.pairwise_distance(roles.places(spark, sf_dir), 400.0)
     return out.withColumn("km", F.round("km", 6))
 
 
+@register("pair_sink", NEIGHBOURS)
+def pair_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours through the pair table and back; ids in the rows stand for positions in a matrix."""
+    path = f"{shared_folder(spark)}/terrascore/pairs-{uuid.uuid4().hex}"
+    write_matrix(pairwise_distance(spark, sf_dir), path)
+    return spark.read.schema("id_a bigint, id_b bigint, km double").parquet(path)
+
+
 @register(
     "spot_pairs",
     f"""WITH {SHOPS}, spots AS (SELECT lat, lon, min(entity_id) AS first_id, count(*) AS n FROM shops WHERE lat IS NOT NULL GROUP BY 1, 2)
