@@ -16,6 +16,8 @@ from terrascore.session import materialize
 
 #: Parts of the code table when every entity, or every code, meets every code because the result has a row for each pair.
 GRID_PARTS = 32
+#: Most codes that are broadcast to meet every row.
+BROADCAST_CODES = 10_000
 
 
 def known_cells(entities: DataFrame, facts: DataFrame, pick: str = "earliest") -> DataFrame:
@@ -63,9 +65,15 @@ def _parted(codes: DataFrame) -> DataFrame:
 
 
 def with_every_code(rows: DataFrame, codes: DataFrame) -> DataFrame:
-    """Each row once per code, joined part by part."""
+    """Each row once per code: few codes go to the rows, many are joined part by part.
+
+    The codes are stored first, so that their number is known and no plan takes the repeated rows for the smaller side.
+    """
+    codes = materialize(codes, "grid-codes")
+    if codes.count() <= BROADCAST_CODES:
+        return rows.crossJoin(F.broadcast(codes))
     parts = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(GRID_PARTS - 1).cast("bigint"))))
-    return parts.join(_parted(codes), "_part").drop("_part")
+    return parts.join(_parted(codes).hint("shuffle_hash"), "_part").drop("_part")
 
 
 def imputed_cells(entities: DataFrame, cells: DataFrame, codes: DataFrame) -> DataFrame:

@@ -81,3 +81,19 @@ def test_ten_thousand_codes(spark):
     assert long.codes.count() == 10_000
     best = cells.top_codes(long.entities, long.cells, long.codes, "population", 5).orderBy("place").head()
     assert best.code == "k77" and best.correlation == pytest.approx(1.0)
+
+
+def test_repeated_rows_are_never_the_broadcast_side(spark):
+    """The codes come out of an aggregate over a large table, which looks larger than the entities do."""
+    codes = spark.range(50_000_000).groupBy(F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("code")).agg(F.min("id").cast("double").alias("median"))
+    grid = cells.with_every_code(spark.range(40).withColumnRenamed("id", "entity_id"), codes)
+    assert grid.count() == 120
+    assert "Generate" not in grid._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_codes_are_joined_part_by_part(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BROADCAST_CODES", 2)
+    codes = spark.createDataFrame([(f"c{k}", float(k)) for k in range(5)], "code string, median double")
+    grid = cells.with_every_code(spark.range(4).withColumnRenamed("id", "entity_id"), codes)
+    assert {(r.entity_id, r.code, r.median) for r in grid.collect()} == {(e, f"c{k}", float(k)) for e in range(4) for k in range(5)}
+    assert "BroadcastExchange" not in grid._jdf.queryExecution().executedPlan().toString()
