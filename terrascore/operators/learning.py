@@ -25,8 +25,10 @@ from terrascore.session import materialize, spread
 
 #: Rows of a batch that meet all centres at once.
 STRIP = 1024
-#: Parts of a cluster in the exact silhouette.
-BLOCKS = 16
+#: Rows on either side of a block of distances in the exact silhouette.
+BLOCK_ROWS = 8192
+#: Squared distances below this share of the squared lengths are taken from the differences themselves.
+CLOSE = 1e-6
 
 
 def to_vectors(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ("entity_id",), out: str = "features") -> DataFrame:
@@ -265,15 +267,39 @@ def davies_bouldin(df: DataFrame, features: str = "features", label: str = "clus
     return spark.createDataFrame([(float(np.mean(worst)) if worst else None,)], "davies_bouldin double")
 
 
+def _distance_sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For every row of ``x`` the sum of its distances to the rows of ``y``, strip by strip as matrix products."""
+    middle = y.mean(axis=0)
+    x, y = x - middle, y - middle
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    out = np.zeros(len(x))
+    width = max(1, STRIP * STRIP * 4 // len(y))
+    for at in range(0, len(x), width):
+        part = slice(at, at + width)
+        both = xx[part, None] + yy
+        squares = both - 2 * (x[part] @ y.T)
+        i, j = np.nonzero(squares <= CLOSE * both)
+        for k in range(0, len(i), STRIP * 16):
+            a, b = i[k : k + STRIP * 16], j[k : k + STRIP * 16]
+            squares[a, b] = ((x[at + a] - y[b]) ** 2).sum(axis=1)
+        out[part] = np.sqrt(squares).sum(axis=1)
+    return out
+
+
+def _blocks_of(count: Column) -> Column:
+    return F.ceil(count / F.lit(BLOCK_ROWS)).cast("int")
+
+
 def silhouette_euclidean(df: DataFrame, entity: str, features: str = "features", label: str = "cluster_id") -> float:
     """Exact silhouette with plain distances.
 
     The mean distance of a row to a cluster is at least its distance to the centre, and at most that plus the mean distance of the
     members to it. Only clusters whose least is not above the smallest most of the row can be its nearest other one; for these and its
-    own cluster the distances are summed, as rows of a join on (cluster, block), a block being a bounded part of a cluster.
+    own cluster the distances are summed. The rows that ask for a cluster and its members are both dealt out into blocks of about
+    BLOCK_ROWS rows; every pair of blocks is one group, whose distances come from matrix products and never become rows.
     """
     rows = df.select(F.col(entity).alias("id"), F.col(label).cast("int").alias("label"), vector_to_array(features).alias("x"))
-    members = materialize(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")), "labelled")
+    members = materialize(rows.withColumn("dealt", F.xxhash64("id", "x")), "labelled")
     centres = materialize(df.groupBy(F.col(label).cast("int").alias("other")).agg(Summarizer.mean(F.col(features)).alias("_c"), F.count(F.lit(1)).alias("size")).select("other", "size", vector_to_array("_c").alias("centre")), "centres")
     # k rows, one for each cluster
     known = centres.agg(F.collect_list(F.struct("other", "size", "centre"))).scalar()
@@ -283,12 +309,30 @@ def silhouette_euclidean(df: DataFrame, entity: str, features: str = "features",
     bounded = reach.join(spread, F.col("other") == F.col("_o")).select("id", "label", "other", "size", "least", (F.col("least") + F.col("spread")).alias("most"))
     nearest_most = F.min(F.when(F.col("label") != F.col("other"), F.col("most"))).over(Window.partitionBy("id"))
     open_ = bounded.withColumn("_m", nearest_most).filter((F.col("label") == F.col("other")) | (F.col("least") <= F.col("_m") * (1 + 1e-9)))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    open_ = materialize(open_.select("id", "label", "other", "size"), "open")
+    # the blocks of a cluster and of the rows that ask for it
+    asked = open_.groupBy("other").agg(_blocks_of(F.count(F.lit(1))).alias("parts"))
+    sides = materialize(centres.select("other", _blocks_of(F.col("size")).alias("blocks")).join(asked, "other"), "blocks")
+    few = F.broadcast(sides)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = open_.join(members.select("id", "x", "dealt"), "id").join(few, "other")
+    asking = asking.select("id", "label", "other", "size", "x", F.pmod("dealt", "parts").cast("int").alias("part"), every("blocks").alias("block"))
+    held = members.select(F.col("label").alias("other"), F.col("x").alias("y"), "dealt").join(few, "other")
+    held = held.select("other", "y", F.pmod("dealt", "blocks").cast("int").alias("block"), every("parts").alias("part"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        total = _distance_sums(flat(left, "x"), flat(right, "y")) if left.num_rows and right.num_rows else np.zeros(left.num_rows)
+        found = left.select(["id", "label", "other", "size"]).append_column("total", pa.array(total))
+        return found if right.num_rows else found.slice(0, 0)
+
+    keys = ["other", "block", "part"]
     # few bytes, much arithmetic: a stated number of partitions is not coalesced
-    asking = open_.select("id", "label", "other", "size").join(members.select("id", "x"), "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    held = members.select(F.col("label").alias("other"), "block", F.col("x").alias("y")).repartition(parts, "other", "block")
-    met = asking.repartition(parts, "other", "block").join(held.hint("shuffle_hash"), ["other", "block"])
-    sums = met.groupBy("id", "label", "other").agg(F.max("size").alias("size"), F.sum(_gap("x", "y")).alias("total"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    met = asking.repartition(parts, *keys).groupBy(*keys).cogroup(held.repartition(parts, *keys).groupBy(*keys))
+    kind = members.schema["id"].dataType.simpleString()
+    met = met.applyInArrow(meet, f"id {kind}, label int, other int, size bigint, total double")
+    sums = met.groupBy("id", "label", "other").agg(F.max("size").alias("size"), F.sum("total").alias("total"))
     own = F.col("label") == F.col("other")
     each = sums.groupBy("id").agg(
         F.max(F.when(own, F.col("size"))).alias("n"),
