@@ -8,8 +8,8 @@ so what is gathered grows with the kinds of n-grams in the texts, and a model se
 
 A worker keeps one hash-sorted array per order with a row of log probabilities, one per language, and looks up all characters of a
 run of texts at once. The language with the lowest cross-entropy per character is chosen. The score is the posterior at a temperature
-fitted on a bounded sample of the learning fold, and a text whose cross-entropy is beyond the ``reject_quantile`` of the texts of its
-language in that sample is marked as not ``accepted``.
+fitted on the learning fold, and a text whose cross-entropy is beyond the ``reject_quantile`` of the texts of its language in that fold
+is marked as not ``accepted``. Both come from every text of the fold: mean losses and exact quantiles are Spark aggregates.
 
 Letters are lowered, everything else counts as a space; a run of spaces is read as one per character. Defined results: null text or one
 without a letter: ``und``, score 0, not accepted. Equal cross-entropy: the language first in order. Null languages teach nothing. No
@@ -28,17 +28,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrascore.llm.common import Scratch, char_runs, held_out, mix, sampled
+from terrascore.llm.common import Scratch, char_runs, held_out, mix
+from terrascore.operators.quantiles import exact_quantiles
 
 #: Packed n-grams a task holds before they are counted together.
 HELD_GRAMS = 1_500_000
+#: Temperatures of the posterior that are tried.
+TEMPERATURES = [2.0**k for k in range(9)]
 
 
 @dataclass(frozen=True)
 class LanguageSettings:
     order: int = 4  # four codes of 16 bits fill a long
     least_share: float = 0.0
-    calibration_rows: int = 4_000
     reject_quantile: float = 0.995
 
 
@@ -264,37 +266,37 @@ def fit_language(docs: DataFrame, settings: LanguageSettings = LanguageSettings(
         low = low + np.where((at >= 0)[:, None], model.backs[-1].values[at], 0) if len(model.backs[-1].keys) else low
         model.grams.append(HashArray(keys, np.where(np.isnan(values), low, values).astype(np.float32)))
     if langs:
-        calibrate(model, sampled(train, "doc_id", settings.calibration_rows))
+        calibrate(model, train, scratch)
+        scratch.drop("measured")
     for k in range(1, settings.order + 1):
         for name in ("counts", "contexts", "grams"):
             scratch.drop(f"{name}{k}")
     return model
 
 
-def calibrate(model: LanguageModel, sample: DataFrame) -> None:
-    """Temperature of the posterior and the largest accepted cross-entropy of each language, from a bounded sample."""
+def calibrate(model: LanguageModel, train: DataFrame, scratch: Scratch) -> None:
+    """Temperature of the posterior and the largest accepted cross-entropy of each language, from all texts of a frame (lang, text)."""
+    losses = [f"loss{k}" for k in range(len(TEMPERATURES))]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = letter_codes()
         for batch in batches:
             entropy, known = model.entropies(batch.column("text"), code)
             keep = np.flatnonzero(known)
-            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(keep)), pa.array(list(entropy[keep]), pa.list_(pa.float64()))], names=["lang", "entropy"])
-
-    rows = sample.select("lang", "text").mapInArrow(measure, "lang string, entropy array<double>").toPandas()
+            entropy, langs = entropy[keep], batch.column("lang").take(pa.array(keep))
+            n, true = np.arange(len(keep)), np.searchsorted(model.langs, np.array(langs.to_pylist(), str))
+            best, gaps = entropy.argmin(axis=1), entropy - entropy.min(axis=1, keepdims=True)
+            lost = [np.log(np.exp(-t * gaps).sum(axis=1)) + t * gaps[n, true] for t in TEMPERATURES]
+            own = pa.array(entropy[n, best], mask=best != true)
+            yield pa.RecordBatch.from_arrays([langs, own, *map(pa.array, lost)], names=["lang", "own", *losses])
+
+    kinds = ", ".join(f"{c} double" for c in losses)
+    rows = scratch.store(train.select("lang", "text").mapInArrow(measure, f"lang string, own double, {kinds}"), "measured")
     model.limits = np.full(len(model.langs), np.inf)
-    if not len(rows):
+    means = rows.agg(*[F.avg(c).alias(c) for c in losses]).head()
+    if means[0] is None:
         return
-    entropy = np.stack(rows.entropy.to_list())
-    true = np.searchsorted(model.langs, rows.lang.to_numpy(str))
-    best = entropy.argmin(axis=1)
-
-    def loss(t: float) -> float:
-        z = -t * (entropy - entropy.min(axis=1, keepdims=True))
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(true)), true]).mean())
-
-    model.temperature = min((2.0**k for k in range(9)), key=loss)
-    for i in range(len(model.langs)):
-        own = entropy[(best == i) & (true == i), i]
-        if len(own):
-            model.limits[i] = np.quantile(own, model.settings.reject_quantile)
+    model.temperature = min(zip(TEMPERATURES, means), key=lambda pair: pair[1])[0]
+    # one row per language
+    for r in exact_quantiles(rows, ["lang"], "own", {"limit": model.settings.reject_quantile}).collect():
+        model.limits[model.langs.index(r["lang"])] = r["limit"]

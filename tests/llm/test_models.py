@@ -89,6 +89,18 @@ def test_language_of_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_limits_come_from_every_learning_text(spark):
+    """Far more texts than a sample of 4,000 would take: the limit of each language is the exact quantile over all of them."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "".join(rng.choice(list("abcd" if i % 2 else "cdef"), 6)), "x" if i % 2 else "y") for i in range(9_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_language(docs, LanguageSettings(order=2, reject_quantile=0.75))
+    learned = docs.where(~held_out())
+    found = model.predict(learned).join(docs.select("doc_id", "lang"), "doc_id").where("lang = lang_pred").collect()
+    for i, lang in enumerate(model.langs):
+        assert model.limits[i] == pytest.approx(np.quantile([r.cross_entropy for r in found if r.lang == lang], 0.75), abs=1e-12)
+
+
 def test_texts_without_letters_are_undetermined(spark):
     docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(TEXTS * 4)], "doc_id long, text string, lang string")
     asked = spark.createDataFrame([(1, None), (2, ""), (3, "12 -- 3"), (4, "ab")], "doc_id long, text string")
