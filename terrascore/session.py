@@ -54,7 +54,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share few input splits among all cores, for row work far heavier than moving the row."""
+def spread(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """Deal the rows out evenly, at most about ``rows`` to a task, for row work far heavier than moving the row.
+
+    The splits of a scan say nothing of this: a file has rows in as many of them as it has row groups.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-df.count() // rows)))
