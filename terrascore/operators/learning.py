@@ -127,6 +127,19 @@ def _starts(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.stack(chosen)
 
 
+def _first_least(gaps: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which gap along the first axis is the least; of equal ones the first, as ``argmin`` has it."""
+    out = gaps == least
+    taken = out[0].copy()
+    for here in out[1:]:
+        here &= ~taken
+        taken |= here
+    if not taken.all():  # what is no number equals nothing
+        at = np.nonzero(~taken)
+        out[(gaps[(slice(None), *at)].argmin(axis=0), *at)] = True
+    return out
+
+
 def _moved(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, float]]:
     """For every model the means of its clusters and its cost, from one pass over the rows; an empty cluster keeps its centre."""
 
@@ -135,23 +148,23 @@ def _moved(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, tuple[np
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros((c.shape[0], c.shape[1], c.shape[2] + 2)) for _, c in stacks]
+        # centres by (cluster, model), so that the clusters of a model are compared whole strip by whole strip
+        turned = [(-2 * c.transpose(1, 0, 2).reshape(-1, c.shape[2]), (c * c).sum(axis=2).T.reshape(-1, 1)) for _, c in stacks]
         seen = False
         for batch in batches:
             every = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
             seen = seen or len(every) > 0
             for at in range(0, len(every), STRIP):
                 x = every[at : at + STRIP]
-                n = np.arange(len(x))
                 own = (x * x).sum(axis=1)
                 wide = np.column_stack([x, np.ones(len(x))])
-                for (_, c), total in zip(stacks, sums):
-                    m, k, d = c.shape
-                    gaps = (c * c).sum(axis=2) - 2 * (x @ c.reshape(-1, d).T).reshape(-1, m, k)
-                    near = gaps.argmin(axis=2)
-                    member = np.zeros((len(x), m * k))
-                    member[n[:, None], near + k * np.arange(m)] = 1
-                    total[:, :, :-1] += (member.T @ wide).reshape(m, k, -1)
-                    total[:, 0, -1] += np.maximum(gaps.min(axis=2) + own[:, None], 0).sum(axis=0)
+                for (_, c), (doubled, lengths), total in zip(stacks, turned, sums):
+                    m, k, _ = c.shape
+                    gaps = (doubled @ x.T + lengths).reshape(k, m, -1)
+                    least = gaps.min(axis=0)
+                    member = _first_least(gaps, least).reshape(k * m, -1).astype(float)
+                    total[:, :, :-1] += (member @ wide).reshape(k, m, -1).transpose(1, 0, 2)
+                    total[:, 0, -1] += np.maximum(least + own, 0).sum(axis=1)
         for (names, c), total in zip(stacks, sums if seen else []):
             m, k, d = c.shape
             flat = pa.ListArray.from_arrays(pa.array(np.arange(m * k + 1, dtype=np.int32) * (d + 2)), pa.array(total.ravel()))
@@ -178,7 +191,7 @@ def kmeans_fits(
     ``tol`` times the mean variance of the columns. Tasks return sums by (model, cluster), which Spark adds up: what reaches the driver is the centres. Starts are drawn by k-means++ from at
     most about ``sample_rows`` rows, chosen by a hash of their values.
     """
-    rows = spread(df.select(vector_to_array(features).alias("x"))).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = spread(df.select(vector_to_array(features).alias("x")), 50_000).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         size = rows.agg(F.count(F.lit(1)).alias("n"), Summarizer.variance(array_to_vector("x")).alias("v")).head()
         n, least = size["n"], tol * float(np.mean(size["v"].toArray())) if size["n"] > 1 else 0.0
@@ -230,12 +243,16 @@ def kmeans_select(
         rows = []
         models = kmeans_fits(held, ks, range(seed, seed + restarts), max_iter, features)
         for k, model in models.items():
-            labelled = model.transform(held)
-            if metric == "euclidean":
-                quality = silhouette_euclidean(labelled, entity, features)
-            else:
-                quality = ClusteringEvaluator(featuresCol=features, predictionCol="cluster_id").evaluate(labelled)
-            spread = davies_bouldin(labelled, features).head()[0]
+            # several passes read the clusters, one finds them
+            labelled = model.transform(held).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                if metric == "euclidean":
+                    quality = silhouette_euclidean(labelled, entity, features)
+                else:
+                    quality = ClusteringEvaluator(featuresCol=features, predictionCol="cluster_id").evaluate(labelled)
+                spread = davies_bouldin(labelled, features).head()[0]
+            finally:
+                labelled.unpersist()
             rows.append((k, float(model.cost), float(quality), float(spread)))
     finally:
         held.unpersist()

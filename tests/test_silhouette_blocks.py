@@ -49,3 +49,22 @@ def test_rows_are_dealt_out_by_their_number(spark):
     lone = spark.range(1000).coalesce(1).union(spark.range(0, 0, 1, 7))
     sizes = spread(lone, 100).rdd.glom().map(len).collect()
     assert len(sizes) == 10 and max(sizes) < 200
+
+
+def test_nearest_centres_as_argmin_has_them():
+    gaps = np.random.default_rng(8).integers(0, 3, (5, 4, 200)).astype(float)
+    gaps[2, 1, :9] = np.nan
+    gaps[:, 3, 7] = np.nan
+    found = learning._first_least(gaps, gaps.min(axis=0))
+    assert (found.sum(axis=0) == 1).all() and (found.argmax(axis=0) == gaps.argmin(axis=0)).all()
+
+
+def test_clusters_are_found_once_per_k(spark, monkeypatch):
+    """The quality of a k reads stored clusters."""
+    seen = []
+    inner = learning.davies_bouldin
+    monkeypatch.setattr(learning, "davies_bouldin", lambda df, *a: (seen.append(df.storageLevel.useMemory), inner(df, *a))[1])
+    x = np.random.default_rng(9).normal(0, 1, (40, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entity_id long, x array<double>").select("entity_id", array_to_vector("x").alias("features"))
+    learning.kmeans_select(df, ks=(2, 3), restarts=2)
+    assert seen == [True, True]
